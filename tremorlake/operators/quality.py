@@ -12,6 +12,7 @@ from tremorlake.operators.scan import (
     attach,
     exact_quantiles,
     halo,
+    key_stats,
     micros,
     running,
     with_row_index,
@@ -69,27 +70,18 @@ def outliers_mad_global(
     med = exact_quantiles(df, keys, F.col(value), {"_med": 0.5})
     dev = attach(df, med, keys, [value]).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
     mad = exact_quantiles(dev, keys, F.col("_dev"), {"_mad": 0.5})
-    std = df.groupBy(*keys).agg(F.stddev_samp(value).alias("_std"))
+    both = key_stats(attach(dev, mad, keys, [value]), keys, {"_std": F.stddev_samp(value)}, salt_on=[value])
     scale = F.when(F.col("_mad") > 0, MAD_TO_SIGMA * F.col("_mad")).otherwise(F.col("_std"))
-    stats = med.join(mad, list(keys)).join(std, list(keys)).select(
-        *keys, "_med", scale.alias("_scale")
-    )
-    flagged = attach(df, stats, keys, [value]).withColumn(
-        "is_outlier",
-        F.coalesce(F.abs(F.col(value) - F.col("_med")) > n_sigma * F.col("_scale"), F.lit(False)),
-    )
-    return flagged.drop("_med", "_scale")
+    flag = F.coalesce(F.col("_dev") > n_sigma * scale, F.lit(False))
+    return both.withColumn("is_outlier", flag).drop("_med", "_dev", "_mad", "_std")
 
 
 def outliers_sigma_global(
     df: DataFrame, keys: Sequence[str], value: str, *, n_sigma: float = 5.0
 ) -> DataFrame:
     """Adds is_outlier: beyond n_sigma sample deviations from the key's mean."""
-    stats = df.groupBy(*keys).agg(
-        F.avg(value).alias("_mu"), F.stddev_samp(value).alias("_std")
-    )
     return (
-        attach(df, stats, keys, [value])
+        key_stats(df, keys, {"_mu": F.avg(value), "_std": F.stddev_samp(value)}, salt_on=[value])
         .withColumn(
             "is_outlier",
             F.coalesce(F.abs(F.col(value) - F.col("_mu")) > n_sigma * F.col("_std"), F.lit(False)),

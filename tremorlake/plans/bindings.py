@@ -147,7 +147,7 @@ def ccf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         with_row_index(
             e, ["pair_id", "component"], ["vec_id"], "day",
-            chunk=F.floor(F.col("vec_id") / 4096).cast("long"),
+            chunk=F.floor(F.col("vec_id") / 4096).cast("long"), hot=True,
         )
         .drop("vec_id")
     )
@@ -200,6 +200,15 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dv/v with both forcings on its epochs; complete rows only."""
+    from tremorlake.operators.align import align_forcings
+
+    return align_forcings(
+        dvv_daily(spark, sf_dir), forcing_long(spark, sf_dir), ["precipitation", "temperature"]
+    ).na.drop(subset=["precipitation", "temperature"])
+
+
 def dvv_by_day_number(df: DataFrame) -> DataFrame:
     """Adds ``d`` = whole days since 1970."""
     return df.withColumn("d", F.floor(micros("ts") / 86_400_000_000).cast("long"))
@@ -255,6 +264,54 @@ CTE = {
       from events)""",
 }
 
+CTE["aligned"] = """nb as (select d.site_id, d.ts,
+    (select max(ts) from fw f where f.site_id=d.site_id and f.ts<=d.ts) as p,
+    (select min(ts) from fw f where f.site_id=d.site_id and f.ts>=d.ts) as n from dvv d),
+  e as (select site_id, min(ts) as f0, max(ts) as f1 from fw group by 1),
+  al0 as (select nb.site_id, nb.ts, d.dvv, d.dvv_err, d.cc,
+    coalesce(f.precipitation, case when nb.ts between f0 and f1 then 0.0::double end) as precipitation,
+    case when p is null then null when n is null then a.temperature when p=n then a.temperature
+      else a.temperature+(c.temperature-a.temperature)*((nb.ts-p)::double/(n-p)::double) end as temperature
+    from nb join dvv d on d.site_id=nb.site_id and d.ts=nb.ts join e on e.site_id=nb.site_id
+    left join fw f on f.site_id=nb.site_id and f.ts=nb.ts
+    left join fw a on a.site_id=nb.site_id and a.ts=nb.p left join fw c on c.site_id=nb.site_id and c.ts=nb.n),
+  al as materialized (select *, row_number() over (partition by site_id order by ts)-1 as idx from al0
+    where precipitation is not null and temperature is not null)"""
+CTE["gw"] = """gw as materialized (select a.site_id, a.ts,
+    sum(b.precipitation/0.05::double*exp(-(a.ts-b.ts)/180.0::double)) as r
+    from al a join al b on a.site_id=b.site_id and b.ts<=a.ts group by 1,2)"""
+CTE["tlag"] = """tl as materialized (select x.site_id, x.ts,
+    case when p is null or n is null then 0.0::double when p=n then pv-mu
+      else pv+(nv-pv)*((x.s-p)::double/(n-p)::double)-mu end as t_lag
+    from (select t.*, a.temperature as pv, c.temperature as nv from (
+      select d.site_id, d.ts, d.ts-50 as s,
+      (select max(ts) from al f where f.site_id=d.site_id and f.ts<=d.ts-50) as p,
+      (select min(ts) from al f where f.site_id=d.site_id and f.ts>=d.ts-50) as n from al d) t
+      left join al a on a.site_id=t.site_id and a.ts=t.p left join al c on c.site_id=t.site_id and c.ts=t.n) x
+    join (select site_id, avg(temperature) as mu from al group by 1) m using(site_id))"""
+CTE["design"] = """ds as materialized (select al.*, gw.r-avg(gw.r) over (partition by al.site_id) as p1, tl.t_lag as p2
+    from al join gw using(site_id,ts) join tl using(site_id,ts))"""
+DESIGN = "dvv forcing aligned gw tlag design"
+
+
+def solve3_sql(name: str, rows: str, keys: str, d: str, x: tuple[str, str, str], w: str) -> str:
+    """CTE ``name``: 3-parameter weighted fit by cofactors, with the p1 <= 0 rule.
+
+    Columns: keys, n, x0..x2 (unbounded), v0..v2 (variances), y0..y2 (bounded), dd.
+    """
+    a, b, c = x
+    return f"""{name}_s as (select {keys}, count(*) as n, sum({w}*({a})*({a})) as s00, sum({w}*({a})*({b})) as s01,
+      sum({w}*({a})*({c})) as s02, sum({w}*({b})*({b})) as s11, sum({w}*({b})*({c})) as s12, sum({w}*({c})*({c})) as s22,
+      sum({w}*({a})*{d}) as b0, sum({w}*({b})*{d}) as b1, sum({w}*({c})*{d}) as b2, sum({w}*{d}*{d}) as dd from {rows} group by {keys}),
+    {name}_c as (select *, s11*s22-s12*s12 as c00, s02*s12-s01*s22 as c01, s01*s12-s02*s11 as c02,
+      s00*s22-s02*s02 as c11, s01*s02-s00*s12 as c12, s00*s11-s01*s01 as c22 from {name}_s),
+    {name}_x as (select *, s00*c00+s01*c01+s02*c02 as det from {name}_c),
+    {name}_u as (select *, (c00*b0+c01*b1+c02*b2)/det as x0, (c01*b0+c11*b1+c12*b2)/det as x1,
+      (c02*b0+c12*b1+c22*b2)/det as x2, c00/det as v0, c11/det as v1, c22/det as v2 from {name}_x),
+    {name} as (select *, case when x1>0 then (b0*s22-b2*s02)/c11 else x0 end as y0,
+      case when x1>0 then 0.0::double else x1 end as y1,
+      case when x1>0 then (b2*s00-b0*s02)/c11 else x2 end as y2 from {name}_u)"""
+
 
 def with_ctes(names: str, body: str, extra: str = "") -> str:
     """``with <ctes> [, extra] <body>`` for a space-separated list of view names."""

@@ -146,11 +146,8 @@ def _spacing(spark, sf):
 
 
 def _gap_detect(spark, sf):
-    h = b.dvv_hourly(spark, sf)
-    return q.gap_detect(h, KEY, expected_days=1 / 24).select(
-        "site_id", F.unix_seconds("gap_start").alias("gap_start"),
-        F.unix_seconds("gap_end").alias("gap_end"),
-        rnd("gap_days", 9).alias("gap_days"),
+    return q.gap_detect(b.dvv_daily(spark, sf), KEY).select(
+        "site_id", day("gap_start", "gap_start"), day("gap_end", "gap_end"), "gap_days"
     )
 
 
@@ -236,9 +233,8 @@ ORACLE = {
         select *, row_number() over (partition by site_id order by ts)-1 as i from dvv) where i%3=0"""),
     "spacing": with_ctes("dvv", """select site_id, ts as day, lag(ts) over w as prev_day,
         cast(ts - lag(ts) over w as double) as gap_days from dvv window w as (partition by site_id order by ts)"""),
-    "gap_detect": with_ctes("hourly", """select site_id, epoch(p)::bigint as gap_start, epoch(ts)::bigint as gap_end,
-        round((epoch(ts)-epoch(p))/86400.0::double,9) as gap_days from (select site_id, ts,
-        lag(ts) over (partition by site_id order by ts) as p from hourly) where epoch(ts)-epoch(p)>3*3600"""),
+    "gap_detect": with_ctes("dvv", """select site_id, p as gap_start, ts as gap_end, cast(ts-p as double) as gap_days
+        from (select site_id, ts, lag(ts) over (partition by site_id order by ts) as p from dvv) where ts-p>3"""),
     "outliers_mad_global": with_ctes("dvv", """, m as (select site_id, median(dvv) as med, stddev_samp(dvv) as sd from dvv group by 1),
         a as (select site_id, median(abs(dvv-med)) as mad from dvv join m using(site_id) group by 1)
         select site_id, ts as day, round(dvv,12) as dvv,
