@@ -162,10 +162,10 @@ def refine_layers(layers: DataFrame, *, dz_km: float = 0.01, max_depth_km: float
     if max_depth_km is not None:
         m = m.where(F.col("_half") | (F.col("top_km") < max_depth_km))
     height = F.col("_bottom") - F.col("top_km")
-    n_sub = F.when(F.col("_half"), 1).otherwise(F.greatest(F.ceil(height / dz_km), F.lit(1))).cast("int")
+    n_sub = F.when(F.col("_half"), 1).otherwise(F.greatest(F.ceil(height / dz_km), F.lit(1))).cast("long")
     return m.withColumn("_n", n_sub).select(
         "site_id", "layer_idx",
-        F.explode(F.sequence(F.lit(1), F.col("_n"))).cast("long").alias("sub_idx"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("sub_idx"),
         F.when(F.col("_half"), F.col("thickness_km")).otherwise(height / F.col("_n")).alias("thickness_km"),
         "vp", "vs", "rho",
     )

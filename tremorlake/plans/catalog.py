@@ -8,6 +8,9 @@ MODULES = (
     "quality",
     "align",
     "fit",
+    "diagnose",
+    "sites",
+    "sweep",
 )
 
 
