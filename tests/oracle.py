@@ -62,8 +62,9 @@ def compare(spark, con, fn, sql, sf_dir):
     b = sorted((tuple(norm(r[i]) for i in order) for r in raw), key=repr)
     if a == b:
         return len(a) > 0, f"match ({len(a)} rows)" if a else "EMPTY", len(a), secs
-    only_a = [x for x in a if x not in set(b)][:3]
-    only_b = [x for x in b if x not in set(a)][:3]
+    sa, sb = set(a), set(b)
+    only_a = [x for x in a if x not in sb][:3]
+    only_b = [x for x in b if x not in sa][:3]
     return False, f"rows {len(a)}/{len(b)} cols={cols}\n   spark {only_a}\n   sql   {only_b}", len(a), secs
 
 

@@ -11,6 +11,7 @@ MODULES = (
     "diagnose",
     "sites",
     "sweep",
+    "uncertainty",
 )
 
 

@@ -23,13 +23,13 @@ def _component(spark, sf):
 def _network(spark, sf):
     d = b.component_dvv(spark, sf).withColumn("weight", F.greatest(F.col("cc"), F.lit(0.0)) + 0.01)
     out = c.network_combine(d, ["ts"])
-    return out.select(day(), "n_pairs", *[rnd(x, 9).alias(x) for x in ("weighted_mean", "n_eff", "weighted_se", "unweighted_mean", "unweighted_sd", "unweighted_se")])
+    return out.select(day(), "n_pairs", rnd("unweighted_mean", 13).alias("unweighted_mean"), *[rnd(x, 11).alias(x) for x in ("weighted_mean", "n_eff")], *[rnd(x, 7).alias(x) for x in ("weighted_se", "unweighted_sd", "unweighted_se")])
 
 
 def _network_dvv(spark, sf):
     d = b.component_dvv(spark, sf).withColumn("cc", F.col("cc") + 0.11)
     out = c.network_dvv(d)
-    return out.select(day(), "n_pairs", *[rnd(x, 9).alias(x) for x in ("weighted_mean", "n_eff", "weighted_se", "unweighted_mean", "unweighted_sd")])
+    return out.select(day(), "n_pairs", *[rnd(x, 7).alias(x) for x in ("weighted_mean", "n_eff", "weighted_se", "unweighted_mean", "unweighted_sd")])
 
 
 def _nanmean(spark, sf):
@@ -192,7 +192,7 @@ def _strip(spark, sf):
 
 def _public(spark, sf):
     cs = _cases(spark, sf).select("case_id", "use_case", "grade")
-    pub = b.table(spark, sf, "lineitem").where(F.col("l_quantity") > 25).select(F.col("l_partkey").alias("case_id")).distinct()
+    pub = b.table(spark, sf, "lineitem").where(F.col("l_quantity") >= 50).select(F.col("l_partkey").alias("case_id")).distinct()
     return lit.exclude_public(cs, pub)
 
 
@@ -286,11 +286,11 @@ _TWO = "(select pair_id, ts, count(*) as k, avg(dvv) as dm, sum(w*dvv)/(sum(w)+1
 
 ORACLE = {
     "component_combine": with_ctes("component", "select pair_id, ts as day, k as n_components, round(dm,11) as dvv_mean, round(dw,11) as dvv_weighted, round(cm,11) as cc_mean from " + _TWO.format(add="")),
-    "network_combine": with_ctes("component", """select ts as day, n as n_pairs, round(m,9) as weighted_mean, round(ne,9) as n_eff, round(sqrt(greatest(wxx/w-m*m,0.0::double)/ne),9) as weighted_se, round(um,9) as unweighted_mean,
-        round(sd,9) as unweighted_sd, round(sd/sqrt(n),9) as unweighted_se from (select *, wx/w as m, w*w/w2 as ne from (select ts, count(*) as n, sum(w) as w, sum(w*w) as w2, sum(w*dvv) as wx, sum(w*dvv*dvv) as wxx, avg(dvv) as um,
+    "network_combine": with_ctes("component", """select ts as day, n as n_pairs, round(m,11) as weighted_mean, round(ne,11) as n_eff, round(sqrt(greatest(wxx/w-m*m,0.0::double)/ne),7) as weighted_se, round(um,13) as unweighted_mean,
+        round(sd,7) as unweighted_sd, round(sd/sqrt(n),7) as unweighted_se from (select *, wx/w as m, w*w/w2 as ne from (select ts, count(*) as n, sum(w) as w, sum(w*w) as w2, sum(w*dvv) as wx, sum(w*dvv*dvv) as wxx, avg(dvv) as um,
         coalesce(stddev_samp(dvv),0.0::double) as sd from (select *, greatest(cc,0.0::double)+0.01::double as w from component) group by 1))"""),
-    "network_dvv": with_ctes("component", """select ts as day, n as n_pairs, round(m,9) as weighted_mean, round(ne,9) as n_eff, round(sqrt(greatest(wxx/w-m*m,0.0::double)/ne),9) as weighted_se, round(um,9) as unweighted_mean,
-        round(sd,9) as unweighted_sd from (select *, wx/w as m, w*w/w2 as ne from (select ts, count(*) as n, sum(cm) as w, sum(cm*cm) as w2, sum(cm*dw) as wx, sum(cm*dw*dw) as wxx, avg(dw) as um,
+    "network_dvv": with_ctes("component", """select ts as day, n as n_pairs, round(m,7) as weighted_mean, round(ne,7) as n_eff, round(sqrt(greatest(wxx/w-m*m,0.0::double)/ne),7) as weighted_se, round(um,7) as unweighted_mean,
+        round(sd,7) as unweighted_sd from (select *, wx/w as m, w*w/w2 as ne from (select ts, count(*) as n, sum(cm) as w, sum(cm*cm) as w2, sum(cm*dw) as wx, sum(cm*dw*dw) as wxx, avg(dw) as um,
         coalesce(stddev_samp(dw),0.0::double) as sd from """ + _TWO.format(add="+0.11::double") + " group by 1))"),
     "nanmean_channels": with_ctes("component", "select pair_id, ts as day, round(avg(case when cc>0.4 then dvv end),12) as dvv, bool_or(cc>0.4) as valid from component group by 1,2"),
     "percentile_band": with_ctes("component", "select ts as day, round(quantile_cont(dvv,0.1),12) as p10, round(quantile_cont(dvv,0.5),12) as p50, round(quantile_cont(dvv,0.9),12) as p90 from component group by 1"),
@@ -338,7 +338,7 @@ ORACLE = {
         round(p_size::double,6) as window_hi, stack::bigint as stack, 'fixed' as reference, true as gate from part join uc on uc.uid=p_size%6""",
     "filter_split_visibility": "with " + _UC + "," + _CASES + " select case_id, use_case, case case_id%3 when 0 then 'validation' else 'test' end as split, 'public' as visibility from cs where case_id%3<2 and case_id%4<>0",
     "strip_truth": with_ctes("component", "select case_id, config, day, round(dvv,12) as dvv from sr", _SER),
-    "exclude_public": "with " + _UC + "," + _CASES + " select case_id, use_case, grade from cs where case_id not in (select l_partkey from lineitem where l_quantity>25)",
+    "exclude_public": "with " + _UC + "," + _CASES + " select case_id, use_case, grade from cs where case_id not in (select l_partkey from lineitem where l_quantity>=50)",
     "write_read_sweep": with_ctes("sweep", "select case_id, estimator, band_idx, stack, round(rms,10) as rms, ok from sweep"),
     "dedupe_study": "with " + _STUDY + """ select study_key, page_id, application, freq_band, coda_window, uncertainty, n_copies, coalesce((select string_agg(distinct a.application, ',' order by a.application) from sk a where a.study_key=dd.study_key and a.application<>dd.application),'') as also from dd""",
     "overlay_verified": "with " + _STUDY + """ select study_key, case when page_id%2=0 and page_id%3<>1 then 'checked' else freq_band end as freq_band, case when page_id%2=0 and page_id%3<>1 and page_id%4<>0 then '10-30' else coda_window end as coda_window, uncertainty,
