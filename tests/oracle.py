@@ -90,7 +90,7 @@ if __name__ == "__main__":
     q, o = entry.queries(), entry.oracle_sql()
     names = [n for n in q if not only or any(n == x or (x.endswith("*") and n.startswith(x[:-1])) for x in only)]
     spark = session()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = duck(sf)
     bad = []
     for n in names:

@@ -12,6 +12,7 @@ MODULES = (
     "sites",
     "sweep",
     "uncertainty",
+    "waveform",
 )
 
 

@@ -169,7 +169,7 @@ _BD = "bd as (select distinct p_brand as site_id, p_size/20.0::double as fmin, p
 _CW = "cw as (select *, st+du as end_s from (select site_id, fmin, fmax, unnest([2.0,2.0,5.0,5.0,10.0,10.0]::double[]) as st, unnest([5.0,20.0,5.0,20.0,5.0,20.0]::double[]) as du from bd), (select unnest([{}]::double[]) as substack_days))"
 _SC = _CW.format("null,7,45") + """, ob as (select p_brand as site_id, p_size/20.0::double as fmin, case when min(p_partkey)%5>0 then avg(p_retailprice)/2000 end as coherence, avg(p_retailprice)/200 as snr, count(*)/4e4 as sg,
     case when min(p_partkey)%3>0 then avg(p_partkey)/1e4 end as sl from part group by 1,2),
-  mm as (select c.*, least(coherence,1.0::double) as coherence, 1-exp(-snr/5) as snr, least((end_s-st)*c.fmin/10,1.0::double) as cycles,
+  mm as (select c.*, case when coherence>1 then 1.0::double else coherence end as coherence, 1-exp(-snr/5) as snr, least((end_s-st)*c.fmin/10,1.0::double) as cycles,
     exp(-0.5*pow(ln(8000/((st+end_s)/2)/800.0::double)/ln(1.5::double),2)) as wave_type,
     case when z between 150 and 400 then 1.0::double else exp(-0.5*pow(ln(z/(case when z<150 then 150.0::double else 400.0::double end))/ln(2.0::double),2)) end as depth,
     exp(-sg/1e-4) as uncertainty, 1/(1+abs(sl)/0.2::double) as stability, case when substack_days<=15 then 1.0::double when substack_days is not null then exp(-(substack_days/15-1)) end as substack
