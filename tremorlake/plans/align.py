@@ -8,7 +8,7 @@ from tremorlake.functions.exprs import day, rnd
 from tremorlake.operators import align as a
 from tremorlake.operators.scan import with_row_index
 from tremorlake.plans import bindings as b
-from tremorlake.plans.bindings import with_ctes
+from tremorlake.plans.bindings import BINNED, with_ctes
 
 KEY = ["site_id"]
 
@@ -148,9 +148,6 @@ _BOTH = """nb as (select d.site_id, d.ts,
   nv as (select nb.*, a.temperature as pv, c.temperature as nv from nb
     left join fw a on a.site_id=nb.site_id and a.ts=nb.p left join fw c on c.site_id=nb.site_id and c.ts=nb.n)"""
 _LIN = "case when p is null then null when n is null then pv when p=n then pv else pv+(nv-pv)*((ts-p)::double/(n-p)::double) end"
-_GRID = """g as (select site_id, min(ts) as t0 from dvv group by 1),
-  e as (select f.site_id, min(f.ts) as f0, max(f.ts) as f1 from fw f group by 1)"""
-
 ORACLE = {
     "events_near_sites": with_ctes("quakes sites", """select * from (select s.site_id, q.event_id, q.ts as day, round(q.magnitude,6) as magnitude,
         round(2*6371.0::double*asin(sqrt(pow(sin(radians(q.latitude-s.latitude)/2),2)+cos(radians(s.latitude))*cos(radians(q.latitude))
@@ -165,16 +162,11 @@ ORACLE = {
         round(coalesce(n.value,p.value),9) as value from hourly h
         left join strain n on n.site_id=h.site_id and n.ts=h.ts+interval 30 minute
         left join strain p on p.site_id=h.site_id and p.ts=h.ts-interval 30 minute"""),
-    "bin_aggregate": with_ctes("dvv forcing", """select d.site_id, d.ts as day,
-        round(coalesce(f.precipitation, case when d.ts between f0 and f1 then 0.0::double end),9) as value
-        from dvv d join e using(site_id) left join fw f on f.site_id=d.site_id and f.ts=d.ts""", _GRID),
-    "bin_aggregate_mean": with_ctes("dvv forcing", """select d.site_id, d.ts as day, round(f.temperature,9) as value
-        from dvv d left join fw f on f.site_id=d.site_id and f.ts=d.ts"""),
+    "bin_aggregate": with_ctes("dvv forcing", "select site_id, ts as day, round(ps,9) as value from binned", BINNED),
+    "bin_aggregate_mean": with_ctes("dvv forcing", "select site_id, ts as day, round(tm,9) as value from binned", BINNED),
     "align_forcings": with_ctes("dvv forcing", f"""select nv.site_id, nv.ts as day, round(d.dvv,12) as dvv,
-        round(coalesce(f.precipitation, case when nv.ts between f0 and f1 then 0.0::double end),9) as precipitation,
-        round({_LIN.replace('(ts-p)', '(nv.ts-p)')},9) as temperature
-        from nv join dvv d on d.site_id=nv.site_id and d.ts=nv.ts join e on e.site_id=nv.site_id
-        left join fw f on f.site_id=nv.site_id and f.ts=nv.ts""", _BOTH + "," + _GRID),
+        round(b.ps,9) as precipitation, round({_LIN.replace('(ts-p)', '(nv.ts-p)')},9) as temperature
+        from nv join dvv d on d.site_id=nv.site_id and d.ts=nv.ts join binned b on b.site_id=nv.site_id and b.ts=nv.ts""", _BOTH + "," + BINNED),
     "lag_join": with_ctes("dvv forcing", """select x.site_id, x.ts as day,
         round(case when p is null or n is null then 0.0::double when p=n then pv-mu else pv+(nv-pv)*((x.s-p)::double/(n-p)::double)-mu end,9) as t_lag
         from (select t.*, a.temperature as pv, c.temperature as nv from (

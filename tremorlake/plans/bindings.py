@@ -264,16 +264,24 @@ CTE = {
       from events)""",
 }
 
-CTE["aligned"] = """nb as (select d.site_id, d.ts,
+# forcing bins as wide as the median dv/v spacing, anchored at the first epoch
+BINNED = """gr as (select site_id, min(ts) as t0, floor(quantile_cont(gap,0.5)*86400) as st from (select site_id, ts,
+    (ts-lag(ts) over (partition by site_id order by ts))::double as gap from dvv) group by 1),
+  bb as (select f.site_id, floor((f.ts-t0)*86400/st)::bigint as k, sum(precipitation) as ps, avg(temperature) as tm from fw f join gr using(site_id) group by 1,2),
+  be as (select site_id, min(k) as k0, max(k) as k1 from bb group by 1),
+  dk as (select d.site_id, d.ts, case when ((d.ts-t0)*86400)::double%st=0 then floor((d.ts-t0)*86400/st)::bigint end as k from dvv d join gr using(site_id)),
+  binned as materialized (select dk.site_id, dk.ts, coalesce(ps, case when dk.k between k0 and k1 then 0.0::double end) as ps, tm
+    from dk left join be using(site_id) left join bb on bb.site_id=dk.site_id and bb.k=dk.k)"""
+CTE["aligned"] = BINNED + """,
+  nb as (select d.site_id, d.ts,
     (select max(ts) from fw f where f.site_id=d.site_id and f.ts<=d.ts) as p,
     (select min(ts) from fw f where f.site_id=d.site_id and f.ts>=d.ts) as n from dvv d),
-  e as (select site_id, min(ts) as f0, max(ts) as f1 from fw group by 1),
+  bp as materialized (select * from binned),
   al0 as (select nb.site_id, nb.ts, d.dvv, d.dvv_err, d.cc,
-    coalesce(f.precipitation, case when nb.ts between f0 and f1 then 0.0::double end) as precipitation,
+    f.ps as precipitation,
     case when p is null then null when n is null then a.temperature when p=n then a.temperature
       else a.temperature+(c.temperature-a.temperature)*((nb.ts-p)::double/(n-p)::double) end as temperature
-    from nb join dvv d on d.site_id=nb.site_id and d.ts=nb.ts join e on e.site_id=nb.site_id
-    left join fw f on f.site_id=nb.site_id and f.ts=nb.ts
+    from nb join dvv d on d.site_id=nb.site_id and d.ts=nb.ts join bp f on f.site_id=nb.site_id and f.ts=nb.ts
     left join fw a on a.site_id=nb.site_id and a.ts=nb.p left join fw c on c.site_id=nb.site_id and c.ts=nb.n),
   al as materialized (select *, row_number() over (partition by site_id order by ts)-1 as idx from al0
     where precipitation is not null and temperature is not null)"""

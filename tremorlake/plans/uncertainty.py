@@ -212,6 +212,6 @@ ORACLE = {
     "lapse_profile": "with " + _BD + "," + _SC + " select site_id, fmin, st as start_s, end_s, row_number() over (partition by site_id order by (st+end_s)/2, fmin, st) as position, score>=0.7 as eligible from sc where substack_days=7",
     "kernel_overlap": "with " + _KN + """ select profile, band, round(case when t>0 then least(coalesce(i,0)/t,1.0::double) else 0.0::double end,8)+0.0 as overlap from (select profile, band, sum(ar) as t, sum(case when d>=99.9 and d1<=300.1 then ar end) as i from (select *, (a+a1)/2*(d1-d) as ar from
         (select *, lead(a) over w as a1, lead(d) over w as d1 from (select profile, band, z*1e3 as d, abs(k-1.4::double) as a from kn) window w as (partition by profile, band order by d))) group by 1,2)""",
-    "kernel_matrix": "with " + _KN + """ select profile, band, round(z,6) as depth_km, round(kr/nullif(sum(abs(kr)*dz) over (partition by profile, band),0)*dz,9) as g from (select *, vs/0.9::double*k as kr,
+    "kernel_matrix": "with " + _KN + """ select profile, band, round(z,6) as depth_km, round(coalesce(kr/nullif(sum(abs(kr)*dz) over (partition by profile, band),0),kr)*dz,9) as g from (select *, vs/0.9::double*k as kr,
         case when up is not null and dn is not null then (dn-up)/2 else coalesce(dn-z, z-up, 0.0::double) end as dz from (select *, lag(z) over w as up, lead(z) over w as dn from kn where z<=0.4 window w as (partition by profile, band order by z)))""",
 }
