@@ -6,12 +6,14 @@ from collections.abc import Sequence
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from tremorlake.functions.exprs import EARTH_RADIUS_KM, haversine_km
 from tremorlake.operators.scan import (
     DAY_US,
     attach,
     chunk_of,
+    is_hot,
     exact_quantiles,
     key_stats,
     micros,
@@ -60,7 +62,10 @@ def _num(c: Column, is_time: bool) -> Column:
 
 
 def _blend(x: Column, is_time: bool = True) -> Column:
-    p, n = F.col("prev"), F.col("next")
+    return _blend_pair(F.col("prev"), F.col("next"), x, is_time)
+
+
+def _blend_pair(p: Column, n: Column, x: Column, is_time: bool) -> Column:
     x0, x1, xt = _num(p["x"], is_time), _num(n["x"], is_time), _num(x, is_time)
     inside = p["v"] + (n["v"] - p["v"]) * (xt - x0) / (x1 - x0)
     return F.when(x0 == xt, p["v"]).when(n.isNotNull(), inside)
@@ -180,6 +185,8 @@ def align_forcings(
 
     Sum-type channels are binned, all others are interpolated in time.
     """
+    if not is_hot(dvv, None):
+        return _align_in_one_scan(dvv, forcing, channels, key)
     out = dvv
     epochs = dvv.select(key, "ts")
     for channel in channels:
@@ -189,6 +196,82 @@ def align_forcings(
     return out
 
 
+def _align_in_one_scan(dvv: DataFrame, forcing: DataFrame, channels: Sequence[str], key: str) -> DataFrame:
+    """Bounded form of ``align_forcings``: one shuffle by key for everything.
+
+    Epochs and forcing samples are united once; grid, bins and neighbours are
+    window functions over the same partitioning, so each input is read once.
+    """
+    extra = [c for c in dvv.columns if c not in (key, "ts")]
+    epochs = dvv.select(key, "ts", F.lit(1).alias("_is_t"), F.struct(F.lit(1).alias("_"), *extra).alias("_row"))
+    samples = forcing.where(F.col("channel").isin(list(channels)) & F.col("value").isNotNull()).select(
+        key, "ts", F.lit(0).alias("_is_t"), "channel", "value"
+    )
+    rows = epochs.unionByName(samples, allowMissingColumns=True)
+    is_t, us = F.col("_is_t") == 1, micros("ts")
+    whole = W.partitionBy(key)
+    earlier = W.partitionBy(key).orderBy("ts", "_is_t").rowsBetween(W.unboundedPreceding, -1)
+    gap = F.when(is_t, us - F.max(F.when(is_t, us)).over(earlier)) / 1e6
+    rows = rows.withColumn("_gap", gap).select(
+        "*",
+        F.min(F.when(is_t, us)).over(whole).alias("_t0"),
+        (F.floor(F.percentile("_gap", F.lit(0.5)).over(whole)) * 1_000_000).cast("long").alias("_step"),
+    )
+    offset = us - F.col("_t0")
+    rows = rows.withColumn("_bin", F.floor(offset / F.col("_step")).cast("long"))
+    specs = {"prev": {}, "next": {}}
+    bins, out = [], {}
+    in_bin = W.partitionBy(key, "_bin")
+    for i, channel in enumerate(channels):
+        mine = F.col("channel") == channel
+        if channel.lower() in SUM_CHANNELS:
+            bins += [
+                F.sum(F.when(mine, F.col("value"))).over(in_bin).alias(f"_sum{i}"),
+                F.min(F.when(mine, F.col("_bin"))).over(whole).alias(f"_lo{i}"),
+                F.max(F.when(mine, F.col("_bin"))).over(whole).alias(f"_hi{i}"),
+            ]
+            inside = F.col("_bin").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
+            total = F.coalesce(F.col(f"_sum{i}"), F.when(inside, F.lit(0.0)))
+            out[channel] = F.when(F.pmod(offset, F.col("_step")) == 0, total)
+            continue
+        sample = F.when(mine, F.struct(F.col("ts").alias("x"), F.col("value").alias("v")))
+        specs["prev"][f"_p{i}"] = specs["next"][f"_n{i}"] = ("last", sample)
+        p, n = F.col(f"_p{i}"), F.col(f"_n{i}")
+        out[channel] = F.when(p.isNotNull(), F.coalesce(_blend_pair(p, n, F.col("ts"), True), p["v"]))
+    rows = rows.select("*", *bins) if bins else rows
+    if specs["prev"]:
+        rows = running(rows, [key], ["ts", "_is_t"], specs["prev"], hot=False)
+        rows = running(rows, [key], ["ts", "_is_t"], specs["next"], hot=False, reverse=True)
+    return rows.where(is_t).select(
+        key, "ts", *[F.col(f"_row.{c}").alias(c) for c in extra], *[e.alias(c) for c, e in out.items()]
+    )
+
+
+def self_lag(
+    df: DataFrame, keys: Sequence[str], *, value: str, shifts_days: Sequence[float], out: str, shift: str | None = None
+) -> DataFrame:
+    """A series' own value (mean removed) ``shift`` days earlier, 0 outside the record.
+
+    Every row is expanded in place into its sample and one shifted reading point
+    per lag, so the input is read once whatever the number of lags.  ``shift``
+    names the lag column of the result; it is left out for a single lag.
+    """
+    centred = key_stats(df, keys, {"_mu": F.avg(value)})
+    points = F.array(F.lit(None).cast("double"), *[F.lit(float(s)) for s in shifts_days])
+    rows = centred.withColumn("_s", F.explode(points)).withColumn("_is_t", F.col("_s").isNotNull().cast("int"))
+    rows = rows.withColumn(
+        "_x", F.timestamp_micros((micros("ts") - F.coalesce("_s", F.lit(0.0)) * DAY_US).cast("long"))
+    )
+    sample = F.when(F.col("_is_t") == 0, F.struct(F.col("_x").alias("x"), (F.col(value) - F.col("_mu")).alias("v")))
+    rows = running(rows, keys, ["_x", "_is_t"], {"prev": ("last", sample)})
+    rows = running(rows, keys, ["_x", "_is_t"], {"next": ("last", sample)}, reverse=True)
+    lagged = F.coalesce(_blend(F.col("_x")), F.lit(0.0))
+    keep = [c for c in df.columns if c != out]
+    return rows.where(F.col("_is_t") == 1).select(
+        *keep, *([F.col("_s").alias(shift)] if shift else []), lagged.alias(out)
+    )
+
+
 def lag_join(
     targets: DataFrame,
     series: DataFrame,

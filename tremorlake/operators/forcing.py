@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from tremorlake.functions.exprs import GRAVITY, WATER_RHO
 from tremorlake.functions.special import erf_udf, exp1_udf
-from tremorlake.operators.align import lag_join
+from tremorlake.operators.align import self_lag
 from tremorlake.operators.scan import CHUNK_DAYS, DAY_US, halo, is_hot, key_stats, micros, running, with_row_index
 from tremorlake.session import cut
 
@@ -195,10 +195,7 @@ def thermo_shift(
         raise ValueError("shift_days must be non-negative")
     if shift_days == 0:
         return centre_column(df, keys, temperature, out)
-    series = df.select(*keys, "ts", temperature)
-    return lag_join(
-        df, series, keys, shift_days=F.lit(float(shift_days)), value=temperature, out=out
-    ).select(*df.columns, out)
+    return self_lag(df, keys, value=temperature, shifts_days=[shift_days], out=out)
 
 
 def skin_depth(diffusivity: Column, period_s: Column) -> Column:

@@ -303,12 +303,9 @@ def shift_scan(
         raise ValueError("shifts must be finite and non-negative")
     base, names, _ = build_design(aligned, keys, time_shift_days=0.0, **design)
     grid = sorted({float(s) for s in shifts_days})
-    series = base.select(*keys, "ts", "temperature")
-    targets = base.drop("p2_T", "temperature").withColumn(
-        "shift_days", F.explode(F.array(*[F.lit(s) for s in grid]))
-    )
-    lagged = align.lag_join(
-        targets, series, keys, shift_days=F.col("shift_days"), value="temperature", out="p2_T"
+    slim = base.select(*keys, "ts", "temperature", d, sigma, *[n for n in names if n not in (INTERCEPT, "p2_T")])
+    lagged = align.self_lag(
+        slim, keys, value="temperature", shifts_days=grid, out="p2_T", shift="shift_days"
     )
     full = [*keys, "shift_days"]
     # the weighted chi2 follows from the sums: no second pass over 201 copies

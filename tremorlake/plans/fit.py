@@ -203,7 +203,7 @@ def _pressure_sensitivity(spark, sf):
 
 
 def _shift(spark, sf):
-    _, curve = r.shift_scan(cut(b.aligned(spark, sf)), KEY, shifts_days=SHIFTS)
+    _, curve = r.shift_scan(b.aligned(spark, sf), KEY, shifts_days=SHIFTS)
     return curve.select("site_id", F.col("shift_days").cast("long").alias("shift_days"), "n_obs", rnd("chi2_red", 6).alias("chi2_red"))
 
 
