@@ -256,16 +256,18 @@ def self_lag(
     per lag, so the input is read once whatever the number of lags.  ``shift``
     names the lag column of the result; it is left out for a single lag.
     """
-    centred = key_stats(df, keys, {"_mu": F.avg(value)})
+    centred = key_stats(df, keys, {"_mu": F.avg(value)}).withColumn("_v", F.col(value) - F.col("_mu"))
+    # each sample carries its successor, so one forward scan finds both neighbours
+    own = F.struct(F.col("ts").alias("x"), F.col("_v").alias("v"))
+    centred = running(centred, keys, ["ts"], {"_after": ("lag", own)}, reverse=True)
     points = F.array(F.lit(None).cast("double"), *[F.lit(float(s)) for s in shifts_days])
     rows = centred.withColumn("_s", F.explode(points)).withColumn("_is_t", F.col("_s").isNotNull().cast("int"))
     rows = rows.withColumn(
         "_x", F.timestamp_micros((micros("ts") - F.coalesce("_s", F.lit(0.0)) * DAY_US).cast("long"))
     )
-    sample = F.when(F.col("_is_t") == 0, F.struct(F.col("_x").alias("x"), (F.col(value) - F.col("_mu")).alias("v")))
+    sample = F.when(F.col("_is_t") == 0, F.struct(F.col("ts").alias("x"), F.col("_v").alias("v"), F.col("_after").alias("n")))
     rows = running(rows, keys, ["_x", "_is_t"], {"prev": ("last", sample)})
-    rows = running(rows, keys, ["_x", "_is_t"], {"next": ("last", sample)}, reverse=True)
-    lagged = F.coalesce(_blend(F.col("_x")), F.lit(0.0))
+    lagged = F.coalesce(_blend_pair(F.col("prev"), F.col("prev.n"), F.col("_x"), True), F.lit(0.0))
     keep = [c for c in df.columns if c != out]
     return rows.where(F.col("_is_t") == 1).select(
         *keep, *([F.col("_s").alias(shift)] if shift else []), lagged.alias(out)
