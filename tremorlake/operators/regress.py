@@ -126,7 +126,8 @@ def _solver(columns: Sequence[str], bounds: dict | None, weighted: bool):
 
 
 def solve_normal(
-    ne: DataFrame, columns: Sequence[str], *, bounds: dict | None = None, weighted: bool = True
+    ne: DataFrame, columns: Sequence[str], *, bounds: dict | None = None, weighted: bool = True,
+    keep_sums: bool = False,
 ) -> DataFrame:
     """Adds coef, cov (row-major) and rank to the normal-equation rows."""
     solve = _solver(columns, bounds, weighted)
@@ -137,7 +138,7 @@ def solve_normal(
 
     out = ne.withColumn("_s", run("xtwx", "xtwd", "dtwd", "n_obs", "min_sigma"))
     return out.select(
-        *[c for c in ne.columns if c not in ("xtwx", "xtwd", "dtwd", "min_sigma")],
+        *[c for c in ne.columns if keep_sums or c not in ("xtwx", "xtwd", "dtwd", "min_sigma")],
         "_s.coef", "_s.cov", F.col("_s.rank").cast("long").alias("rank"),
     )
 
@@ -310,9 +311,7 @@ def shift_scan(
     full = [*keys, "shift_days"]
     # the weighted chi2 follows from the sums: no second pass over 201 copies
     ne = normal_equations(lagged, full, d, names, sigma)
-    fit = solve_normal(ne, names, bounds=bounds).join(
-        ne.select(*full, "xtwx", "xtwd", "dtwd"), full
-    )
+    fit = solve_normal(ne, names, bounds=bounds, keep_sums=True)
     p, pos = len(names), 0
     quad = F.lit(0.0)
     for i in range(p):
@@ -321,7 +320,7 @@ def shift_scan(
             pos += 1
     lin = sum((F.col("coef")[i] * F.col("xtwd")[i] for i in range(p)), start=F.lit(0.0))
     chi2 = (F.col("dtwd") - 2 * lin + quad) / F.greatest(F.col("n_obs") - F.col("rank"), F.lit(1))
-    curve = fit.withColumn("chi2_red", chi2).drop("xtwx", "xtwd", "dtwd")
+    curve = fit.withColumn("chi2_red", chi2).drop("xtwx", "xtwd", "dtwd", "min_sigma")
     best = curve.groupBy(*keys).agg(
         F.min_by(
             F.struct("shift_days", "chi2_red", "coef", "cov", "n_obs"),
