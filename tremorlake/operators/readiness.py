@@ -137,9 +137,10 @@ def missing_requirements(inventory: DataFrame) -> DataFrame:
         [(g, text, name) for g in GOALS for text, group in REQUIRED[g] for name in group],
         "goal string, requirement string, name string",
     )
-    rules = members.select("goal", "requirement").distinct()
-    sites = inventory.select("site_id").distinct()
-    wanted = sites.withColumn("_k", F.lit(1)).join(F.broadcast(rules.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    rules = F.array(
+        *[F.struct(F.lit(g).alias("goal"), F.lit(text).alias("requirement")) for g in GOALS for text, _ in REQUIRED[g]]
+    )
+    wanted = inventory.select("site_id").distinct().select("site_id", F.explode(rules).alias("r")).select("site_id", "r.*")
     named = inventory.select("site_id", normal_key("input_name").alias("name"))
     met = named.join(F.broadcast(members), "name").select("site_id", "goal", "requirement").distinct()
     return wanted.join(met, ["site_id", "goal", "requirement"], "left_anti")

@@ -262,7 +262,6 @@ def hierarchical_dvv(
         k, n = m.shape
         if n < 4:
             return pd.DataFrame(columns=[*keys, "t", "mu_mean", "mu_lo", "mu_hi", "tau", "s", "total_std"])
-        dd = np.diff(np.eye(n), 2, axis=0) if n < 64 else None
         ones = np.array([1.0, -2.0, 1.0])
         d0, d1, d2 = np.zeros(n), np.zeros(n - 1), np.zeros(n - 2)
         for j in range(n - 2):
@@ -458,18 +457,18 @@ def gain_matrix(kernel: DataFrame, band_cov: DataFrame, *, profile: str = "profi
     Works in data space: only an n_band x n_band system per profile is solved.
     ``kernel``: profile, band, depth_km, g; ``band_cov``: band_i, band_j, cov.
     """
-    cov = band_cov.groupBy().agg(F.collect_list(F.struct("band_i", "band_j", "cov")).alias("_cov"))
-    # one tiny row: bands squared entries shared by every profile
-    src = kernel.select(profile, "band", "depth_km", "g").crossJoin(F.broadcast(cov))
+    cov = band_cov.groupBy(F.col("band_i").alias("band")).agg(F.collect_list(F.struct("band_j", "cov")).alias("_cov"))
+    src = kernel.select(profile, "band", "depth_km", "g").join(cov, "band")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         g = pdf.pivot_table(index="band", columns="depth_km", values="g").fillna(0.0)
         bands, z = list(g.index), g.columns.to_numpy(dtype=float)
         pos = {b: i for i, b in enumerate(bands)}
         cd = np.zeros((len(bands), len(bands)))
-        for e in pdf["_cov"].iloc[0]:
-            if e["band_i"] in pos and e["band_j"] in pos:
-                cd[pos[e["band_i"]], pos[e["band_j"]]] = e["cov"]
+        for b, entries in pdf.groupby("band")["_cov"].first().items():
+            for e in entries:
+                if e["band_j"] in pos:
+                    cd[pos[b], pos[e["band_j"]]] = e["cov"]
         gm = g.to_numpy()
         cm = prior_std**2 * np.exp(-0.5 * ((z[:, None] - z[None, :]) / corr_length_km) ** 2)
         gc = gm @ cm

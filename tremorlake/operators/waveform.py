@@ -261,7 +261,7 @@ def measure_dvv(
     chunks = base.select(*keys, F.floor(F.col("day") / CHUNK).cast("long").alias("_chunk")).distinct()
     ref_rows = fixed.join(chunks, keys).select(*keys, F.lit(-1).cast("long").alias("day"), "ccf", "_chunk")
     both = rows.withColumn("ccf", F.col("ccf").cast("array<double>")).unionByName(ref_rows)
-    # halo copies alone (past the last chunk) carry no epoch of their own
+
     if grids is not None:
         both = both.join(grids, keys[0])
     schema = _key_schema(ccf, keys, RESULT)

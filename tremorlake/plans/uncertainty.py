@@ -50,7 +50,7 @@ def _cov(spark, sf):
 
 def _method_cov(spark, sf):
     out = u.methodological_cov(_members(spark, sf), ["pair_id"], member="component", reach=3)
-    return out.select("pair_id", "i", "j", "n_members", rnd(F.col("cov") * 1e4 / 3, 9).alias("cov"))
+    return out.select("pair_id", "i", "j", "n_members", rnd(F.col("cov") * 1e3 * F.pi(), 9).alias("cov"))
 
 
 def _neff(spark, sf):
@@ -191,7 +191,7 @@ ORACLE = {
     "error_covariance": with_ctes("dvv", """, d as (select *, row_number() over (partition by site_id order by ts)-1 as i from dvv) select a.site_id, a.i, b.i as j,
         round((a.dvv_err*b.dvv_err*exp(-(b.ts-a.ts)/3.0::double)+25e-8)*1e6,8) as cov from d a join d b on a.site_id=b.site_id and b.i>=a.i and b.ts-a.ts<=3*ln(1e4)"""),
     "methodological_cov": with_ctes("component", """, ep as (select pair_id, ts, row_number() over (partition by pair_id order by ts)-1 as i from (select distinct pair_id, ts from component)), m as (select * from component join ep using(pair_id,ts))
-        select a.pair_id, a.i, b.i as j, count(*) as n_members, round(covar_samp(a.dvv,b.dvv)*1e4/3,9)+0.0 as cov from m a join m b on a.pair_id=b.pair_id and a.component=b.component and b.i between a.i and a.i+3 group by 1,2,3 having count(*)>1"""),
+        select a.pair_id, a.i, b.i as j, count(*) as n_members, round(covar_samp(a.dvv,b.dvv)*1e3*pi(),9)+0.0 as cov from m a join m b on a.pair_id=b.pair_id and a.component=b.component and b.i between a.i and a.i+3 group by 1,2,3 having count(*)>1"""),
     "effective_n": with_ctes("dvv", """select site_id, n, round(n*(q/(1+1e-8*q))/d,6) as n_eff from (select site_id, count(*) as n, sum(case when pt is null then 1/(dvv_err*dvv_err) else pow(1/dvv_err-exp(-(ts-pt)/10.0::double)/ps,2)/(1-exp(-2*(ts-pt)/10.0::double)) end) as q,
         sum(1/(dvv_err*dvv_err)) as d from (select *, lag(ts) over w as pt, lag(dvv_err) over w as ps from dvv window w as (partition by site_id order by ts)) group by 1)"""),
     "single_reference_cov": with_ctes("dvv", """select site_id, i, round((case when i=0 then rv else dvv_err*dvv_err+rv end)*1e6,6) as var, round(rv*1e6,6) as ref_var from (select *, row_number() over (partition by site_id order by ts)-1 as i,
