@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_counts",)
+MODULES = ("licenses", "decontaminate", "token_counts")
 
 
 def _collect(attr: str) -> dict:
