@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("licenses", "decontaminate", "hmm", "token_counts")
+MODULES = ("hmm", "toxicity", "licenses", "decontaminate", "token_counts")
 
 
 def _collect(attr: str) -> dict:
