@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("hmm", "toxicity", "licenses", "near_dedup", "decontaminate", "token_store", "token_counts")
+MODULES = ("sharding", "mixing", "hmm", "toxicity", "licenses", "near_dedup", "decontaminate", "token_store", "token_counts")
 
 
 def _collect(attr: str) -> dict:
