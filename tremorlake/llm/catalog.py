@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "mixing", "hmm", "toxicity", "licenses", "near_dedup", "decontaminate", "token_store", "token_counts")
+MODULES = (
+    "sharding", "hash_search", "mixing", "hmm", "toxicity", "licenses", "near_dedup", "decontaminate", "token_store", "token_counts",
+)
 
 
 def _collect(attr: str) -> dict:
