@@ -9,13 +9,9 @@ import __spark_entry__ as entry
 from oracle import compare, duck
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUICK = (
-    "load_dvv export_benchmark_rows gap_detect quality_summary rolling_outlier_mad events_near_sites interp_linear bin_aggregate "
-    "align_forcings provider_fallback reservoir wls_fit_bounded pearson rolling_zscore rank_attribution tier1_poroelastic "
-    "validate_sites depth_rule_of_thumb readiness_report component_combine sobol_first_order build_grid resolve_use_case "
-    "dedupe_study effective_n window_scores kernel_matrix fixed_reference cc_image"
-).split()
-NAMES = sorted(entry.queries()) if os.environ.get("TEST_ALL_QUERIES") else QUICK
+NAMES = sorted(entry.queries())
+#: results that are empty on the smallest table by their own definition
+MAY_BE_EMPTY: set[str] = set()
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables not present")
 
@@ -23,7 +19,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables not p
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, name):
     ok, message, rows, _ = compare(spark, duck(SF), entry.queries()[name], entry.oracle_sql().get(name), SF)
-    assert ok or rows == 0 and message == "EMPTY", message
+    assert ok or (name in MAY_BE_EMPTY and message == "EMPTY"), message
 
 
 def test_every_twin_has_a_query():

@@ -32,22 +32,12 @@ def decay_sum(
 ) -> DataFrame:
     """sum over n <= i of value_n * exp(-rate * (t_i - t_n)).
 
-    Bounded series: one running sum, with the exponentials anchored at the middle
-    of the record (good for rate * span up to 1400).  Hot series: chunk by chunk,
-    anchored at each chunk start; earlier chunks enter through one decayed total
-    each, looking back as far as a double can represent the decay.
+    Chunk by chunk, with the exponentials anchored at each chunk's start so that none leaves the
+    range of a double whatever the rate and the span; earlier chunks enter through one decayed total
+    each, looking back as far as a double can represent the decay.  Both forms compute the same: a bounded series
+    in windows over one partitioning by key, a hot one with one summary row per chunk.
     """
     keys = list(keys)
-    if not is_hot(df, hot):
-        t = micros(ts) / 1e6
-        w = W.partitionBy(*keys)
-        src = df.withColumn("_age", t - (F.min(t).over(w) + F.max(t).over(w)) / 2)
-        grown = running(
-            src, keys, [ts], {"_g": ("sum", value * F.exp(rate_per_s * F.col("_age")))}, hot=False
-        )
-        return grown.withColumn(out, F.col("_g") * F.exp(-rate_per_s * F.col("_age"))).select(
-            *df.columns, out
-        )
     days = min(CHUNK_DAYS, 30.0 / (rate_per_s * 86400.0))
     span_s = days * 86400.0
     reach = math.ceil(745.0 / (rate_per_s * span_s)) + 1
@@ -57,17 +47,23 @@ def decay_sum(
         .withColumn("_age", t - F.col("_chunk") * span_s)
         .withColumn("_in", value)
     )
-    src = cut(src)
+    bounded = not is_hot(df, hot)
+    src = src if bounded else cut(src)
     grow = F.col("_in") * F.exp(F.lit(rate_per_s) * F.col("_age"))
     local = (
         W.partitionBy(*keys, "_chunk").orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
     )
     fade = F.exp(F.lit(-rate_per_s) * F.col("_age"))
     inside = F.coalesce(F.sum(grow).over(local), F.lit(0.0)) * fade
-    ends = src.groupBy(*keys, "_chunk").agg(
-        F.sum(F.col("_in") * F.exp(F.lit(-rate_per_s) * (span_s - F.col("_age")))).alias("_end")
-    )
-    past = F.collect_list(F.struct("_chunk", F.coalesce("_end", F.lit(0.0)).alias("e"))).over(
+    end = F.sum(F.col("_in") * F.exp(F.lit(-rate_per_s) * (span_s - F.col("_age"))))
+    if bounded:
+        last = F.lead("_chunk").over(W.partitionBy(*keys, "_chunk").orderBy(ts)).isNull()
+        ends = src.withColumn("_inside", inside).withColumn("_last", last)
+        ends = ends.withColumn("_end", F.when(F.col("_last"), end.over(W.partitionBy(*keys, "_chunk"))))
+    else:
+        ends = src.groupBy(*keys, "_chunk").agg(end.alias("_end")).withColumn("_last", F.lit(True))
+    entry = F.struct("_chunk", F.coalesce("_end", F.lit(0.0)).alias("e"))
+    past = F.collect_list(F.when(F.col("_last"), entry)).over(
         W.partitionBy(*keys).orderBy("_chunk").rangeBetween(-reach, -1)
     )
     carried = F.aggregate(
@@ -76,6 +72,8 @@ def decay_sum(
         lambda acc, p: acc
         + p["e"] * F.exp(F.lit(-rate_per_s * span_s) * (F.col("_chunk") - p["_chunk"] - 1)),
     )
+    if bounded:
+        return ends.withColumn(out, F.col("_inside") + carried * fade).select(*df.columns, out)
     carry = ends.withColumn("_past", carried).select(*keys, "_chunk", "_past")
     return (
         src.join(carry, [*keys, "_chunk"])
@@ -224,7 +222,7 @@ def daily_grid(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def thermo_diffuse(
     grid: DataFrame, keys: Sequence[str], *, depth_m: float, diffusivity_m2_s: float
 ) -> DataFrame:
-    """Temperature diffused to depth, on a daily grid (keys, day_no, value).
+    """Temperature diffused to depth, on a daily grid (keys, day_no, value); NULL for a site of under four days.
 
     Linear in the record, so it is an FFT per key over at most one value per day.
     """
@@ -239,8 +237,8 @@ def thermo_diffuse(
     def diffuse(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("day_no")
         x = pdf["value"].to_numpy()
-        if len(x) < 4:
-            raise ValueError("diffusion needs at least 4 samples")
+        if len(x) < 4:  # too short for this site; the others go on
+            return pdf[[*keys, "day_no"]].assign(t_depth=np.nan)
         omega = 2 * np.pi * np.fft.rfftfreq(len(x), 86400.0)
         ratio = depth_m * np.sqrt(omega / (2 * diffusivity_m2_s))
         spectrum = np.fft.rfft(x - x.mean()) * np.exp(-(1 + 1j) * ratio)

@@ -47,7 +47,7 @@ def normal_equations(
 ) -> DataFrame:
     """Per key: n_obs, xtwx (row-major upper triangle), xtwd, dtwd, min_sigma."""
     rows = complete(df, d, columns, sigma)
-    w = F.lit(1.0) if sigma is None else 1.0 / (F.col(sigma) * F.col(sigma))
+    w = F.lit(1.0) if sigma is None else F.when(F.col(sigma) > 0, 1.0 / (F.col(sigma) * F.col(sigma)))
     upper = [
         F.sum(w * _x(columns[i]) * _x(columns[j]))
         for i in range(len(columns))
@@ -97,8 +97,11 @@ def _solver(columns: Sequence[str], bounds: dict | None, weighted: bool):
     def solve(xtwx, xtwd, dtwd, n_obs, min_sigma):
         coef, cov, rank = [], [], []
         for a, b, dd, m, s in zip(xtwx, xtwd, dtwd, n_obs, min_sigma):
-            if s <= 0:
-                raise ValueError("every sigma must be strictly positive")
+            if not s > 0:  # a key with a sigma that is not positive has no fit; the others go on
+                coef.append(None)
+                cov.append(None)
+                rank.append(None)
+                continue
             full = np.zeros((p, p))
             full[iu] = a
             full = full + full.T - np.diag(np.diag(full))
@@ -120,7 +123,7 @@ def _solver(columns: Sequence[str], bounds: dict | None, weighted: bool):
             coef.append((x / scale).tolist())
             cov.append(c.ravel().tolist())
             rank.append(int(r))
-        return pd.DataFrame({"coef": coef, "cov": cov, "rank": rank})
+        return pd.DataFrame({"coef": coef, "cov": cov, "rank": pd.array(rank, "Int32")})
 
     return solve
 
@@ -154,6 +157,8 @@ def wls_fit(
 ) -> DataFrame:
     """Per key: n_obs, rank, coef, cov.  Without sigma the covariance is scaled by RSS/dof.
 
+    A key with a sigma that is not positive gets NULL rank, coef and cov.
+
     With an active bound the bounded parameter gets a zero row and column, the
     others keep their variance from the full inverse.
     """
@@ -582,23 +587,33 @@ def pressure_sensitivity(coef: DataFrame, moduli: DataFrame, keys: Sequence[str]
 
 
 def posterior_draws(
-    coef: DataFrame, keys: Sequence[str], *, n_draws: int = 1000, seed: int = 7
+    fit: DataFrame, keys: Sequence[str], columns: Sequence[str], *, n_draws: int = 1000, seed: int = 7
 ) -> DataFrame:
-    """Gaussian draws per (key, param) from mean and std.
+    """Joint Gaussian draws of the parameters of each fit row (coef, cov): keys, param, draw, value.
 
-    The generator is a hash of (key, param, draw), so the result does not depend
-    on partitioning.
+    One factor of each key's small covariance (also a singular one, of bounded parameters) is taken;
+    the normals are hashes of (key, draw, number), so the result does not depend on partitioning.
     """
-    draws = coef.select(
-        *keys, "param", "mean", "std", F.explode(F.sequence(F.lit(1), F.lit(n_draws))).alias("draw")
-    )
+    p = len(columns)
+
+    @F.pandas_udf("array<double>")
+    def factor(cov: pd.Series) -> pd.Series:
+        def one(c):
+            w, v = np.linalg.eigh(np.asarray(c, float).reshape(p, p))
+            return (v * np.sqrt(np.clip(w, 0, None))).ravel()
+
+        return cov.map(lambda c: None if c is None else one(c))
 
-    def uniform(tag: int) -> Column:
-        h = F.xxhash64(*keys, "param", "draw", F.lit(seed), F.lit(tag))
-        return (F.pmod(h, F.lit(2**52)) + 0.5) / float(2**52)
+    def normal(i: Column) -> Column:
+        u = [(F.pmod(F.xxhash64(*keys, "draw", i, F.lit(seed), F.lit(t)), F.lit(2**52)) + 0.5) / float(2**52) for t in (1, 2)]
+        return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
 
-    z = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
-    return draws.select(*keys, "param", F.col("draw").cast("long").alias("draw"), (F.col("mean") + F.col("std") * z).alias("value"))
+    ready = fit.where(F.col("coef").isNotNull()).select(*keys, "coef", factor("cov").alias("_f"))
+    draws = ready.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_draws)).cast("array<long>")).alias("draw"))
+    draws = draws.withColumn("_z", F.array(*[normal(F.lit(k)) for k in range(p)]))
+    value = lambda i: sum((F.col("_f")[i * p + k] * F.col("_z")[k] for k in range(p)), start=F.col("coef")[i])
+    rows = F.array(*[F.struct(F.lit(c).alias("param"), value(i).alias("value")) for i, c in enumerate(columns)])
+    return draws.select(*keys, "draw", F.explode(rows).alias("r")).select(*keys, "r.param", "draw", "r.value")
 
 
 def truth_recovery_check(coef: DataFrame, truth: DataFrame, keys: Sequence[str], *, z_max: float = 4.0) -> DataFrame:

@@ -80,14 +80,17 @@ def resolve_use_case(text: Column) -> Column:
 def recommend_config(
     requests: DataFrame, *, use_case: str = "use_case", overrides: Sequence[str] = ()
 ) -> DataFrame:
-    """Config per request; override columns (named like the axes) win when not NULL."""
+    """Config per request; override columns (named like the axes) win when not NULL.
+
+    A request with an unknown use case is kept, with a NULL use case and without a recommendation.
+    """
     bad = set(overrides) - set(AXES)
     if bad:
         raise KeyError(f"unknown config axes {sorted(bad)}; valid: {AXES}")
     table = use_case_table(requests.sparkSession).withColumnsRenamed({a: f"_{a}" for a in AXES})
     keep = [c for c in requests.columns if c not in overrides and c != use_case]
     r = requests.withColumn("_key", resolve_use_case(F.col(use_case)))
-    joined = r.join(F.broadcast(table.withColumnRenamed("use_case", "_key")), "_key")
+    joined = r.join(F.broadcast(table.withColumnRenamed("use_case", "_key")), "_key", "left")
     axis = [
         (F.coalesce(F.col(a).cast(PAIR) if a in ("band", "window") else F.col(a), F.col(f"_{a}")) if a in overrides else F.col(f"_{a}")).alias(a)
         for a in AXES
@@ -126,12 +129,14 @@ def build_grid(cases: DataFrame, grid: str = "multiverse") -> DataFrame:
     """Every config of a grid per case, with config_index in product order.
 
     ``cases``: case_id, use_case, two_layer.  A recommended value equal to a
-    listed one gives duplicate cells, as the sweep expects.
+    listed one gives duplicate cells, as the sweep expects.  A case with an unknown use case
+    keeps one row without a config.
     """
     if grid not in GRIDS:
         raise ValueError(f"unknown grid {grid!r}; known: {sorted(GRIDS)}")
     spec = GRIDS[grid]
-    rec = recommend_config(cases.select("case_id", "use_case", "two_layer"))
+    every = recommend_config(cases.select("case_id", "use_case", "two_layer"))
+    rec = every.where(F.col("use_case").isNotNull())
     b, w = F.col("band"), F.col("window")
 
     def floor_lo(k: float) -> Column:
@@ -162,7 +167,8 @@ def build_grid(cases: DataFrame, grid: str = "multiverse") -> DataFrame:
         out = out.select("*", F.posexplode(f"_{axis}").alias("_p", axis)).withColumn(
             "config_index", F.col("config_index") * F.size(f"_{axis}") + F.col("_p")
         ).drop("_p", f"_{axis}")
-    return out
+    unknown = every.where(F.col("use_case").isNull()).select("case_id", "use_case", "eps_max", F.lit(None).cast("int").alias("config_index"), *AXES)
+    return out.unionByName(unknown)
 
 
 # --- scoring ---------------------------------------------------------------------------
@@ -318,13 +324,17 @@ def score_thresholds(target: Column, rel_tol: Column, wrong_layer: Column) -> tu
 def score_submissions(submitted: DataFrame, truth: DataFrame, cases: DataFrame, *, by: Sequence[str] = ("submission_id",)) -> DataFrame:
     """Score submitted (case, day, dvv) series; a wrong length scores 0.
 
-    ``cases``: case_id, rms_target, rel_tol, rms_wrong_layer, n_days.
+    ``cases``: case_id, rms_target, rel_tol, rms_wrong_layer, n_days.  Where a series of zeros is
+    worse than what still scores 1, its error is what scores 0.
     """
     keys = [*by, "case_id"]
     counts = submitted.groupBy(*keys).agg(F.count("*").alias("n_rows"))
     rms = rms_baseline_aligned(submitted.join(truth, ["case_id", "day"]), keys)
     good, bad = score_thresholds(F.col("rms_target"), F.col("rel_tol"), F.col("rms_wrong_layer"))
-    out = counts.join(cases, "case_id").join(rms.select(*keys, "rms"), keys, "left")
+    zeros = rms_baseline_aligned(truth.select("case_id", "day", "truth", F.lit(0.0).alias("dvv")), ["case_id"])
+    zeros = zeros.select("case_id", F.col("rms").alias("_null"))
+    bad = F.when(F.col("_null") > good, F.col("_null")).otherwise(bad)
+    out = counts.join(cases, "case_id").join(zeros, "case_id", "left").join(rms.select(*keys, "rms"), keys, "left")
     score = F.when(F.col("n_rows") != F.col("n_days"), 0.0).otherwise(score_from_rms(F.col("rms"), good, bad))
     return out.select(*keys, "n_rows", "rms", score.alias("score"))
 
@@ -339,4 +349,5 @@ def config_submissions(submitted: DataFrame, *, estimators: Sequence[str]) -> Da
         return F.col(c).isNotNull() & (F.col(f"{c}.hi") > F.col(f"{c}.lo"))
 
     valid = F.coalesce(F.col("estimator").isin(*estimators) & ordered("band") & ordered("window"), F.lit(False))
-    return recommend_config(submitted.withColumn("valid", valid), overrides=AXES)
+    out = recommend_config(submitted.withColumn("valid", valid), overrides=AXES)
+    return out.withColumn("valid", F.col("valid") & F.col("use_case").isNotNull())

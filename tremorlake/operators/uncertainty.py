@@ -77,8 +77,12 @@ def window_model_average(
     )
 
 
-def _epoch_pairs(df: DataFrame, keys: Sequence[str], columns: Sequence[str], reach: int) -> DataFrame:
-    """Ordered epoch pairs i <= j <= i + reach as an equi-join on the epoch number."""
+def _epoch_pairs(df: DataFrame, keys: Sequence[str], columns: Sequence[str], reach: int | None) -> DataFrame:
+    """Ordered epoch pairs i <= j <= i + reach as an equi-join on the epoch number; all of a key without a reach."""
+    if reach is None:
+        left = df.select(*keys, "i", *[F.col(c).alias(f"{c}_i") for c in columns])
+        right = df.select(*keys, F.col("i").alias("j"), *[F.col(c).alias(f"{c}_j") for c in columns])
+        return left.join(right, list(keys)).where(F.col("i") <= F.col("j"))
     left = df.select(*keys, "i", *[F.col(c).alias(f"{c}_i") for c in columns], F.explode(F.sequence(F.col("i"), F.col("i") + reach)).alias("j"))
     right = df.select(*keys, F.col("i").alias("j"), *[F.col(c).alias(f"{c}_j") for c in columns])
     return left.join(right, [*keys, "j"])
@@ -86,13 +90,14 @@ def _epoch_pairs(df: DataFrame, keys: Sequence[str], columns: Sequence[str], rea
 
 def error_covariance(
     df: DataFrame, keys: Sequence[str], *, sigma: str, corr_length_days: float, common_mode: float = 0.0,
-    kind: str = "exp", tolerance: float = 1e-12, min_spacing_days: float = 1.0,
+    kind: str = "exp", tolerance: float = 1e-12,
 ) -> DataFrame:
     """Temporal error covariance as a banded long table (i <= j).
 
     Entries whose correlation is below ``tolerance`` are exactly the constant
-    ``common_mode`` squared to that tolerance and are not stored, so the table
-    grows with the epochs, not with their square.
+    ``common_mode`` squared to that tolerance; they are not stored, and ``beyond`` holds that constant.
+    Pairs meet by time, whatever the spacing: an epoch joins its own and the next span of the
+    reach, so the table grows with the epochs in reach, not with their square.
     """
     if corr_length_days <= 0 or kind not in ("exp", "gauss"):
         raise ValueError("need a positive correlation length and kind 'exp' or 'gauss'")
@@ -100,16 +105,23 @@ def error_covariance(
         -math.log(tolerance) if kind == "exp" else math.sqrt(-2 * math.log(tolerance))
     )
     idx = with_row_index(df.select(*keys, "ts", sigma), keys, ["ts"], "i").withColumn("t", micros("ts") / 86_400e6)
-    pairs = _epoch_pairs(idx, keys, ["t", sigma], math.ceil(reach_days / min_spacing_days))
+    span = F.floor(F.col("t") / reach_days).cast("long")
+    early = idx.select(*keys, "i", F.col("t").alias("t_i"), F.col(sigma).alias(f"{sigma}_i"), F.explode(F.array(span, span + 1)).alias("_span"))
+    late = idx.select(*keys, F.col("i").alias("j"), F.col("t").alias("t_j"), F.col(sigma).alias(f"{sigma}_j"), span.alias("_span"))
+    pairs = early.join(late, [*keys, "_span"]).where(F.col("i") <= F.col("j"))
     dt = F.col("t_j") - F.col("t_i")
     rho = F.exp(-dt / corr_length_days) if kind == "exp" else F.exp(-0.5 * F.pow(dt / corr_length_days, 2))
     return pairs.where(dt <= reach_days).select(
-        *keys, "i", "j", (F.col(f"{sigma}_i") * F.col(f"{sigma}_j") * rho + common_mode**2).alias("cov")
+        *keys, "i", "j", (F.col(f"{sigma}_i") * F.col(f"{sigma}_j") * rho + common_mode**2).alias("cov"),
+        F.lit(float(common_mode) ** 2).alias("beyond"),
     )
 
 
-def methodological_cov(members: DataFrame, keys: Sequence[str], *, member: str, reach: int) -> DataFrame:
-    """Across-member covariance of epoch pairs up to ``reach`` epochs apart."""
+def methodological_cov(members: DataFrame, keys: Sequence[str], *, member: str, reach: int | None = None) -> DataFrame:
+    """Across-member covariance of all epoch pairs, or of those up to ``reach`` epochs apart.
+
+    The full table has a row for each pair of epochs; ``methodological_factor`` has the same matrix as a factor.
+    """
     epochs = with_row_index(members.select(*keys, "ts").distinct(), keys, ["ts"], "i")
     rows = members.join(epochs, [*keys, "ts"]).select(*keys, member, "i", "dvv")
     pairs = _epoch_pairs(rows, [*keys, member], ["dvv"], reach)
@@ -118,6 +130,17 @@ def methodological_cov(members: DataFrame, keys: Sequence[str], *, member: str,
     ).where(F.col("n_members") > 1)
 
 
+def methodological_factor(members: DataFrame, keys: Sequence[str], *, member: str) -> DataFrame:
+    """Factor form of the full across-member covariance: cov(i, j) = sum over members of f_i * f_j.
+
+    Exact where every epoch has all members (the rank is members - 1); linear in the rows.
+    """
+    mean = members.groupBy(*keys, "ts").agg(F.avg("dvv").alias("_mean"), F.count("dvv").alias("n_members"))
+    rows = members.join(mean, [*keys, "ts"]).where(F.col("n_members") > 1)
+    factor = (F.col("dvv") - F.col("_mean")) / F.sqrt(F.col("n_members") - 1)
+    return rows.select(*keys, member, "ts", "n_members", factor.alias("factor"))
+
+
 def effective_n(df: DataFrame, keys: Sequence[str], *, sigma: str, corr_length_days: float, common_mode: float = 0.0) -> DataFrame:
     """Effective number of epochs under exponential correlation, without a matrix.
 
@@ -228,13 +251,15 @@ def hierarchical_dvv(
 ) -> DataFrame:
     """Gibbs posterior of the common series, one chain per key.
 
-    Rows: keys, member, t (epoch number), dvv, sigma; members share the epochs.
+    Rows: keys, member, t (epoch number), dvv, sigma.  A member may lack epochs; every epoch of any member is kept.
     mu has a second-difference prior, so its precision is pentadiagonal and the
     draw is a banded Cholesky.  The seed is a hash of the key.
     """
     keys = list(keys)
     src = members.select(*keys, member, "t", "dvv", "sigma", F.xxhash64(*keys, F.lit(seed)).alias("_seed"))
 
+    names = [*keys, "t", "mu_mean", "mu_lo", "mu_hi", "tau", "s", "within_std", "method_std", "total_std"]
+
     def band_draw(diag, off1, off2, rhs, z):
         n = len(diag)
         l0, l1, l2, y = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
@@ -256,20 +281,24 @@ def hierarchical_dvv(
 
     def sample(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(int(pdf["_seed"].iloc[0]) & 0x7FFFFFFFFFFFFFFF)
-        wide = pdf.pivot_table(index=member, columns="t", values="dvv").dropna(axis=1)
+        good = pdf[pdf["dvv"].notna() & pdf["sigma"].notna()]
+        wide = good.pivot_table(index=member, columns="t", values="dvv")
         m = wide.to_numpy()
-        v = np.clip(pdf.pivot_table(index=member, columns="t", values="sigma")[wide.columns].to_numpy(), 1e-9, None) ** 2
+        has = np.isfinite(m)  # a missing member has no weight at that epoch
+        v = np.clip(good.pivot_table(index=member, columns="t", values="sigma").to_numpy(), 1e-9, None) ** 2
         k, n = m.shape
         if n < 4:
-            return pd.DataFrame(columns=[*keys, "t", "mu_mean", "mu_lo", "mu_hi", "tau", "s", "total_std"])
+            return pd.DataFrame(columns=names)
+        within, method = np.nanmean(v, axis=0), np.where(has.sum(0) > 1, pd.DataFrame(m).std(axis=0, ddof=1).to_numpy(), 0.0)
+        mu, tau2 = np.nanmean(m, axis=0), np.nanmean(m, axis=1).var() + 1e-12
+        m, v = np.where(has, m, 0.0), np.where(has, v, np.inf)
         ones = np.array([1.0, -2.0, 1.0])
         d0, d1, d2 = np.zeros(n), np.zeros(n - 1), np.zeros(n - 2)
         for j in range(n - 2):
             d0[j : j + 3] += ones**2
             d1[j : j + 2] += -2.0
             d2[j] += 1.0
-        mu, beta = m.mean(0), np.zeros(k)
-        tau2, s2 = m.mean(1).var() + 1e-12, 1.0
+        beta, s2 = np.zeros(k), 1.0
         lam = 1.0 / (np.diff(mu, 2).var() + 1e-12)
         kept, taus, ss = [], [], []
         for it in range(n_iter):
@@ -279,7 +308,7 @@ def hierarchical_dvv(
             prec = 1.0 / tau2 + w.sum(1)
             beta = ((m - mu) * w).sum(1) / prec + rng.standard_normal(k) / np.sqrt(prec)
             tau2 = 1.0 / rng.gamma(2.0 + k / 2, 1.0 / (1e-8 + 0.5 * (beta**2).sum()))
-            s2 = 1.0 / rng.gamma(2.0 + k * n / 2, 1.0 / (1e-8 + 0.5 * (((m - mu - beta[:, None]) ** 2) / v).sum()))
+            s2 = 1.0 / rng.gamma(2.0 + has.sum() / 2, 1.0 / (1e-8 + 0.5 * (((m - mu - beta[:, None]) ** 2) / v).sum()))
             lam = rng.gamma(2.0 + (n - 2) / 2, 1.0 / (1e-10 + 0.5 * (np.diff(mu, 2) ** 2).sum()))
             if it >= burn and (it - burn) % thin == 0:
                 kept.append(mu)
@@ -288,17 +317,16 @@ def hierarchical_dvv(
         draws = np.array(kept)
         lo, hi = np.percentile(draws, [2.5, 97.5], axis=0)
         s = math.sqrt(np.mean(ss))
-        method = m.std(0, ddof=1) if k > 1 else np.zeros(n)
         out = pd.DataFrame(
             {"t": wide.columns.to_numpy(), "mu_mean": draws.mean(0), "mu_lo": lo, "mu_hi": hi, "tau": math.sqrt(np.mean(taus)),
-             "s": s, "total_std": np.sqrt(s * s * v.mean(0) + method**2)}
+             "s": s, "within_std": s * np.sqrt(within), "method_std": method, "total_std": np.sqrt(s * s * within + method**2)}
         )
         for key in keys:
             out[key] = pdf[key].iloc[0]
-        return out[[*keys, "t", "mu_mean", "mu_lo", "mu_hi", "tau", "s", "total_std"]]
+        return out[names]
 
     return src.groupBy(*keys).applyInPandas(
-        sample, _schema(members, keys, "t bigint, mu_mean double, mu_lo double, mu_hi double, tau double, s double, total_std double")
+        sample, _schema(members, keys, "t bigint, mu_mean double, mu_lo double, mu_hi double, tau double, s double, within_std double, method_std double, total_std double")
     )
 
 
@@ -308,9 +336,9 @@ def flatten_lapse(t1: Column, freq: Column, qc: Column, snr: Column) -> Column:
 
 
 def sample_choices(
-    spark: SparkSession, bands: DataFrame, *, n_samples: int, weights: Sequence[float] = (1.0, 1.0, 1.0), seed: int = 0,
-    start: tuple[float, float] = (4.0, 12.0), length: tuple[float, float] = (10.0, 30.0), moving_length: float = 10.0,
-    moving_span: float = 20.0, qc: float = 120.0, snr0: float = 20.0, cc0: float = 0.95, cc_decay: float = 60.0,
+    spark: SparkSession, bands: DataFrame, *, n_samples: int, weights: Sequence[float] = (0.5, 0.3, 0.2), seed: int = 0,
+    start: tuple[float, float] = (3.0, 12.0), length: tuple[float, float] = (10.0, 40.0), moving_length: float = 5.0,
+    moving_span: float = 40.0, qc: float = 40.0, snr0: float = 80.0, cc0: float = 0.98, cc_decay: float = 80.0,
 ) -> DataFrame:
     """Draws of (rule, band, window, cc) from a processing prior.
 
@@ -488,6 +516,13 @@ def gain_matrix(kernel: DataFrame, band_cov: DataFrame, *, profile: str = "profi
 
 
 def depth_profile(gain: DataFrame, dvv_bands: DataFrame, keys: Sequence[str], *, profile: str = "profile") -> DataFrame:
-    """Depth profile of every epoch: gain joined to the band vector and summed."""
-    joined = dvv_bands.join(gain, [profile, "band"])
-    return joined.groupBy(*keys, profile, "depth_km").agg(F.sum(F.col("gain") * F.col("dvv")).alias("mean"))
+    """Depth profile of every epoch: gain joined to the band vector and summed.
+
+    The gain holds for all its bands together, so ``mean`` is NULL at an epoch that lacks one; ``n_bands`` counts
+    those it has.
+    """
+    need = gain.groupBy(profile).agg(F.count_distinct("band").alias("_need"))
+    joined = dvv_bands.where(F.col("dvv").isNotNull()).join(gain, [profile, "band"])
+    sums = joined.groupBy(*keys, profile, "depth_km").agg(F.sum(F.col("gain") * F.col("dvv")).alias("_sum"), F.count_distinct("band").alias("n_bands"))
+    whole = F.when(F.col("n_bands") == F.col("_need"), F.col("_sum"))
+    return sums.join(need, profile).select(*keys, profile, "depth_km", "n_bands", whole.alias("mean"))

@@ -456,23 +456,37 @@ def multiverse_configs() -> list[dict]:
         for w in ((10, 30), (4, 14), (25, 45)) for k in (1, 10, 45) for r in ("fixed", "moving")
     ]
     return [
-        {"config_index": i, "estimator": e, "band": b, "window": w, "stack": k, "reference": r, "gate": True, "eps_max": 0.06}
+        {"config_index": i, "estimator": e, "band": b, "window": w, "stack": k, "reference": r, "gate": False, "eps_max": 0.06}
         for i, (e, b, w, k, r) in enumerate(cells)
     ]
 
 
-def score_cells(measured: DataFrame, truth: DataFrame, keys: Sequence[str] = ("pair_id",)) -> DataFrame:
-    """One row per case and config: channels averaged, RMS, ok flag and error text."""
+def score_cells(
+    measured: DataFrame, truth: DataFrame, keys: Sequence[str] = ("pair_id",), *, aligned: bool = True, event_day: Column | None = None
+) -> DataFrame:
+    """One row per case and config: channels averaged, RMS, ok flag and error text.
+
+    ``aligned`` takes the baselines off first; the plain RMS needs more than ten epochs.  With an
+    ``event_day`` the recovered drop is added.
+    """
     from tremorlake.operators.combine import nanmean_channels
-    from tremorlake.operators.sweep import rms_baseline_aligned
+    from tremorlake.operators.sweep import drop_amplitude, rms_baseline_aligned, rms_error
 
     keys = list(keys)
     cell = [*keys, "config_index"]
     combined = nanmean_channels(measured, [*cell, "day"], F.col("valid"))
-    rms = rms_baseline_aligned(combined.join(truth, [*keys, "day"]), cell, valid=F.col("valid"))
+    paired = combined.join(truth, [*keys, "day"])
+    if aligned:
+        rms = rms_baseline_aligned(paired, cell, valid=F.col("valid"))
+    else:
+        rms = rms_error(paired, cell, valid=F.col("valid")).withColumn("rms", F.when(F.col("n_valid") > 10, F.col("rms")))
+    more = []
+    if event_day is not None:
+        drop = drop_amplitude(paired.withColumn("dvv", F.when(F.col("valid"), F.col("dvv"))), cell, value="dvv", event_day=event_day)
+        rms, more = rms.join(drop, cell, "left"), ["drop"]
     errors = measured.groupBy(*cell).agg(F.min("error").alias("error"))
     return errors.join(rms, cell, "left").select(
-        *cell, "rms", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.col("error").isNull().alias("ok"), "error"
+        *cell, "rms", *more, F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.col("error").isNull().alias("ok"), "error"
     )
 
 

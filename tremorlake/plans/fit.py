@@ -181,7 +181,8 @@ def _coef_summary(spark, sf):
 
 
 def _draws(spark, sf):
-    d = r.posterior_draws(_coef(spark, sf), KEY, n_draws=500)
+    fit, names, _ = _resid(spark, sf)
+    d = r.posterior_draws(fit, KEY, names, n_draws=500)
     return d.groupBy("site_id", "param").agg(F.count("*").alias("n_draws"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
 
 

@@ -198,12 +198,11 @@ def _public(spark, sf):
 
 def _roundtrip(spark, sf):
     """Write the sweep as case partitions in the shared folder, read it back."""
-    import tempfile
     import uuid
 
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{root.rstrip('/')}/sweep-{uuid.uuid4().hex}"
+    from tremorlake.session import shared_folder
+
+    path = f"{shared_folder(spark).rstrip('/')}/sweep-{uuid.uuid4().hex}"
     io.write_sweep(b.sweep(spark, sf), path)
     out = io.read_sweep(spark, path, "estimator string, band_idx long, stack long, rms double, drop_err double, ok boolean, case_id string")
     return out.select("case_id", "estimator", "band_idx", "stack", rnd("rms", 10).alias("rms"), "ok")
@@ -317,8 +316,9 @@ ORACLE = {
         k as (select * exclude(stack), unnest([stack,1,45]) as stack, unnest([0,1,2]) as pk from w), r as (select *, unnest(['fixed','moving','inversion']) as reference, unnest([0,1,2]) as pr from k), t as (select *, unnest([0,1]) as pg from r)
         select use_case, estimator, reference, stack::bigint as stack, count(*) as n_cells, sum(((((pe*len(bands)+pb)*3+pw)*3+pk)*3+pr)*2+pg)::bigint as index_sum, round(sum(band.lo+10*band.hi+100*w2)/1e3,4) as "check" from t group by 1,2,3,4""",
     "resolve_use_case": f"select p_partkey, x as text, {_RESOLVE} as use_case from (select p_partkey, {_TEXT} as x from part)",
-    "recommend_config": "with " + _UC + f""" select p_partkey, uc.use_case, 'stretching (TS)' as estimator, blo as band_lo, bhi as band_hi, wlo as t1, whi as t2, coalesce(case when p_size%4=0 then p_size end, stack)::bigint as stack, 'fixed' as reference, true as gate, eps_max
-        from (select p_partkey, p_size, {_RESOLVE} as uk from (select p_partkey, p_size, {_TEXT} as x from part)) join uc on uc.use_case=uk""",
+    "recommend_config": "with " + _UC + f""" select p_partkey, uc.use_case, case when uc.use_case is not null then 'stretching (TS)' end as estimator, blo as band_lo, bhi as band_hi, wlo as t1, whi as t2, coalesce(case when p_size%4=0 then p_size end, stack)::bigint as stack,
+        case when uc.use_case is not null then 'fixed' end as reference, case when uc.use_case is not null then true end as gate, eps_max
+        from (select p_partkey, p_size, {_RESOLVE} as uk from (select p_partkey, p_size, {_TEXT} as x from part)) left join uc on uc.use_case=uk""",
     "representative_case": "with " + _UC + "," + _CASES + """, c2 as (select * from cs where use_case<>'cryosphere' or grade='hard'),
         rq as (select distinct uc.use_case, ['easy','medium','hard'][p_partkey%3+1] as grade from part join uc on uc.uid=p_size%6)
         select use_case, grade, coalesce((select min(case_id) from c2 where c2.use_case=rq.use_case and c2.grade=rq.grade),(select min(case_id) from c2 where c2.use_case=rq.use_case)) as case_id from rq""",
@@ -331,9 +331,12 @@ ORACLE = {
         n as (select submission_id, case_id, count(*) as n_rows from j group by 1,2), nd as (select case_id, max(n_rows) as n_days from n group by 1),
         q as (select submission_id, case_id, quantile_cont(day::double,0.2) as cut from j where dvv is not null group by 1,2),
         m as (select submission_id, case_id, avg(case when day<=cut then dvv-tt end) as off from j join q using(submission_id,case_id) where dvv is not null group by 1,2),
-        r as (select submission_id, case_id, case when count(*)>=10 then sqrt(avg(pow(dvv-tt-off,2))) end as rms from j join m using(submission_id,case_id) where dvv is not null group by 1,2)
-        select submission_id, case_id, n_rows, round(rms,10) as rms, round(case when n_rows<>n_days then 0.0::double when rms is null then 0.0::double when rms<=g then 1.0::double when rms>=0.9 then 0.0::double else (0.9-rms)/(0.9-g) end,8) as score
-        from (select *, greatest(0.05::double*1.35::double,0.05::double+5e-5) as g from n join nd using(case_id) left join r using(submission_id,case_id))""", _SER),
+        r as (select submission_id, case_id, case when count(*)>=10 then sqrt(avg(pow(dvv-tt-off,2))) end as rms from j join m using(submission_id,case_id) where dvv is not null group by 1,2),
+        zq as (select case_id, quantile_cont(day::double,0.2) as cut from tr group by 1),
+        zm as (select case_id, avg(case when day<=cut then -tt end) as off from tr join zq using(case_id) group by 1),
+        z as (select case_id, case when count(*)>=10 then sqrt(avg(pow(-tt-off,2))) end as zero from tr join zm using(case_id) group by 1),
+        b as (select *, case when zero>g then zero else 0.9::double end as bad from (select *, greatest(0.05::double*1.35::double,0.05::double+5e-5) as g from n join nd using(case_id) left join r using(submission_id,case_id) left join z using(case_id)))
+        select submission_id, case_id, n_rows, round(rms,10) as rms, round(case when n_rows<>n_days then 0.0::double when rms is null then 0.0::double when rms<=g then 1.0::double when rms>=bad then 0.0::double else (bad-rms)/(bad-g) end,8) as score from b""", _SER),
     "config_submissions": "with " + _UC + """ select p_partkey, use_case, p_size%5>0 and p_size%7>0 and p_size>5 as valid, case when p_size%5>0 then 'MWCS' else 'magic' end as estimator, round(case when p_size%7>0 then p_size/10.0::double else blo end,6) as band_lo,
         round(p_size::double,6) as window_hi, stack::bigint as stack, 'fixed' as reference, true as gate from part join uc on uc.uid=p_size%6""",
     "filter_split_visibility": "with " + _UC + "," + _CASES + " select case_id, use_case, case case_id%3 when 0 then 'validation' else 'test' end as split, 'public' as visibility from cs where case_id%3<2 and case_id%4<>0",

@@ -45,7 +45,20 @@ def _model_average(spark, sf):
 
 def _cov(spark, sf):
     out = u.error_covariance(b.dvv_daily(spark, sf), KEY, sigma="dvv_err", corr_length_days=3.0, common_mode=5e-4, tolerance=1e-4)
-    return out.select("site_id", "i", "j", rnd(F.col("cov") * 1e6, 8).alias("cov"))
+    return out.select("site_id", "i", "j", rnd(F.col("cov") * 1e6, 8).alias("cov"), rnd(F.col("beyond") * 1e6, 8).alias("beyond"))
+
+
+def _cov_hourly(spark, sf):
+    """Sub-daily, irregular epochs: the reach is a time, not a number of epochs."""
+    ev = b.table(spark, sf, "events")
+    h = ev.groupBy(F.col("event_type").alias("site_id"), F.date_trunc("hour", "ts").alias("ts")).agg((F.avg("value") / 100).alias("s"))
+    out = u.error_covariance(h, KEY, sigma="s", corr_length_days=0.5, common_mode=1e-3, tolerance=1e-3)
+    return out.groupBy("site_id").agg(F.count("*").alias("n_pairs"), F.max(F.col("j") - F.col("i")).cast("long").alias("widest"), rnd(F.sum("cov"), 4).alias("total"))
+
+
+def _factor(spark, sf):
+    out = u.methodological_factor(_members(spark, sf), ["pair_id"], member="component")
+    return out.select("pair_id", "component", F.col("ts").cast("date").alias("ts"), "n_members", rnd(F.col("factor") * 1e3, 8).alias("factor"))
 
 
 def _method_cov(spark, sf):
@@ -157,7 +170,7 @@ def _depth(spark, sf):
 
 QUERIES = {
     "ensemble_variance": _ensemble, "choice_floor": _floor, "band_marginal_error": _band_error, "window_model_average": _model_average,
-    "error_covariance": _cov, "methodological_cov": _method_cov, "effective_n": _neff, "single_reference_cov": _single,
+    "error_covariance": _cov, "error_covariance_hourly": _cov_hourly, "methodological_factor": _factor, "methodological_cov": _method_cov, "effective_n": _neff, "single_reference_cov": _single,
     "corr_length": _corr_length, "all_to_all_reference": _all_to_all, "hierarchical_dvv": _gibbs, "sample_choices": _sample,
     "flatten_lapse": _flatten, "candidate_windows": _candidates, "rolling_lapse_windows": _rolling, "window_scores": _window_scores,
     "rank_windows": _rank, "lapse_profile": _profile, "kernel_overlap": _overlap, "kernel_matrix": _matrix, "depth_profile": _depth,
@@ -189,7 +202,13 @@ ORACLE = {
         e as (select l_linestatus, l_linenumber, sum(w*pow(l_tax-mu,2))/sum(w) as ep from w join m using(l_linestatus,l_linenumber) group by 1,2)
         select l_linestatus, l_linenumber, n as n_windows, round(mu,9) as mean, round(sqrt(al),9) as aleatoric, round(sqrt(ep),9) as epistemic, round(sqrt(al+ep),9) as total from m join e using(l_linestatus,l_linenumber)""",
     "error_covariance": with_ctes("dvv", """, d as (select *, row_number() over (partition by site_id order by ts)-1 as i from dvv) select a.site_id, a.i, b.i as j,
-        round((a.dvv_err*b.dvv_err*exp(-(b.ts-a.ts)/3.0::double)+25e-8)*1e6,8) as cov from d a join d b on a.site_id=b.site_id and b.i>=a.i and b.ts-a.ts<=3*ln(1e4)"""),
+        round((a.dvv_err*b.dvv_err*exp(-(b.ts-a.ts)/3.0::double)+25e-8)*1e6,8) as cov, 0.25::double as beyond from d a join d b on a.site_id=b.site_id and b.i>=a.i and b.ts-a.ts<=3*ln(1e4)"""),
+    "error_covariance_hourly": """with h as (select event_type as site_id, epoch(date_trunc('hour', ts))/86400.0::double as t, avg(value)/100 as s from events group by 1,2),
+        d as (select *, row_number() over (partition by site_id order by t)-1 as i from h)
+        select a.site_id, count(*) as n_pairs, max(b.i-a.i) as widest, round(sum(a.s*b.s*exp(-(b.t-a.t)/0.5::double)+1e-6),4)+0.0 as total
+        from d a join d b on a.site_id=b.site_id and b.i>=a.i and b.t-a.t<=0.5*ln(1e3) group by 1""",
+    "methodological_factor": with_ctes("component", """, m as (select pair_id, ts, avg(dvv) as mean, count(*) as n from component group by 1,2 having count(*)>1)
+        select c.pair_id, c.component, cast(c.ts as date) as ts, n as n_members, round((c.dvv-mean)/sqrt(n-1)*1e3,8)+0.0 as factor from component c join m using(pair_id, ts)"""),
     "methodological_cov": with_ctes("component", """, ep as (select pair_id, ts, row_number() over (partition by pair_id order by ts)-1 as i from (select distinct pair_id, ts from component)), m as (select * from component join ep using(pair_id,ts))
         select a.pair_id, a.i, b.i as j, count(*) as n_members, round(covar_samp(a.dvv,b.dvv)*1e3*pi(),9)+0.0 as cov from m a join m b on a.pair_id=b.pair_id and a.component=b.component and b.i between a.i and a.i+3 group by 1,2,3 having count(*)>1"""),
     "effective_n": with_ctes("dvv", """select site_id, n, round(n*(q/(1+1e-8*q))/d,6) as n_eff from (select site_id, count(*) as n, sum(case when pt is null then 1/(dvv_err*dvv_err) else pow(1/dvv_err-exp(-(ts-pt)/10.0::double)/ps,2)/(1-exp(-2*(ts-pt)/10.0::double)) end) as q,

@@ -119,11 +119,15 @@ def _sweep(spark, sf):
 
 def _multiverse(spark, sf):
     c = cut(b.ccf(spark, sf))
-    cells = [{**m, "band": BAND if m["band"][0] < 0.5 else (0.1, 0.45), "window": {10: WIN, 4: (3.0, 20.0), 25: (8.0, 30.0)}[m["window"][0]]} for m in w.multiverse_configs() if m["estimator"] != "DTW"]
-    scored = w.score_cells(w.measure_dvv(c, cells, K, fs=FS, t0=T0, ref_days=15), _truth(c))
+    cells = [{**m, "band": BAND if m["band"][0] < 0.5 else (0.1, 0.45), "window": {10: WIN, 4: (3.0, 20.0), 25: (8.0, 30.0)}[m["window"][0]]} for m in w.multiverse_configs()]
+    scored = w.score_cells(w.measure_dvv(c, cells, K, fs=FS, t0=T0, ref_days=15), _truth(c), aligned=False, event_day=F.lit(25))
+    scored = cut(scored)
     axes = spark.createDataFrame([(m["config_index"], m["estimator"], str(m["band"]), str(m["window"]), m["stack"], m["reference"]) for m in cells],
                                  "config_index long, estimator string, band string, window string, stack long, reference string")
-    return sw.sobol_first_order(scored.where("ok").join(F.broadcast(axes), "config_index"), ["pair_id"], ["estimator", "band", "window", "stack", "reference"])
+    rows = scored.where("ok").join(F.broadcast(axes), "config_index")
+    names = ["estimator", "band", "window", "stack", "reference"]
+    share = lambda v: sw.sobol_first_order(rows, ["pair_id"], names, value=v).withColumn("of", F.lit(v))
+    return share("rms").unionByName(share("drop"))
 
 
 def _config_scores(spark, sf):

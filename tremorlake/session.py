@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,14 +17,38 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut a long lineage with a reliable checkpoint.
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, which may not have it installed."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/tremorlake", "zip", root, "tremorlake")
+    spark.sparkContext.addPyFile(archive)
+    return spark
+
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``; a local
-    folder is used only when the session names none (tests).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
+
+    A local master without one gets a folder of its own (tests); on a cluster that is an error,
+    as executors would each write to their own disk.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
+        import tempfile
+
+        named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut a long lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
