@@ -10,9 +10,9 @@ table has a bound that does not grow with the corpus, and it covers all document
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per text; texts that agree in all
 samples of a band are candidates.  Every member of a band's bucket is linked to the bucket's smallest
 member (a star, never all pairs), links are verified by weighted Jaccard similarity on the whole texts, and
-connected components follow.  Where a bucket still holds several components, its members are
-compared across components by their samples, and what may reach the threshold is verified too;
-that repeats until no link is new, so no cap is set on partners.
+connected components follow.  Where a bucket still holds several components, all its members are
+compared across components on their whole texts, so no link between different components is lost and no cap is
+set on partners.
 
 Exact copies are one node throughout and are never expanded into pairs.
 """
@@ -35,7 +35,7 @@ SAMPLES = BANDS * ROWS
 RARE = 1000
 FLOOR = 0.7
 COUNTED = 3_000_000  # shingles counted together before they are sent
-MAYBE = 0.6  # share of equal samples from which a pair across components is verified
+GROUP = 2048  # members of a bucket that one task compares with as many others
 SLICE = 2 << 20
 SEED = 17
 
@@ -61,10 +61,10 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keep = place <= np.repeat(n, n) - SHINGLE
     short = np.flatnonzero((n > 0) & (n < SHINGLE))
     for r in short:
-        w = np.uint64(n[r])
+        w = np.full(1, n[r], np.uint64)
         for x in h[rows[r] : rows[r + 1]]:
-            w = mix((w * np.uint64(3) + x).reshape(1))[0]
-        window[rows[r]], keep[rows[r]] = w, True
+            w = mix(w * np.uint64(3) + x)
+        window[rows[r]], keep[rows[r]] = w[0], True
     return window[keep], np.concatenate([[0], np.cumsum(keep)])[rows]
 
 
@@ -147,13 +147,13 @@ def common_shingles(docs: DataFrame) -> Weights:
 
 
 def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """(doc_id, node, bands, samples): the node is the text's digest; texts without words have no bands."""
+    """(doc_id, node, bands): the node is the text's digest; texts without words have no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=SLICE):
                 h, times, row = _distinct(*shingles(part.column("text")))
-                bands, sig = [[]] * part.num_rows, [b""] * part.num_rows
+                bands = [[]] * part.num_rows
                 if len(h):
                     starts = np.flatnonzero(np.diff(row, prepend=-1))
                     s = samples(h, weights.of(h, times), starts)
@@ -164,13 +164,12 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
                             k = mix(k * np.uint64(3) + s[:, b * ROWS + i])
                         keys[:, b] = k
                     for i, r in enumerate(row[starts]):
-                        bands[r], sig[r] = keys[i].view(np.int64), s[i].tobytes()
+                        bands[r] = keys[i].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("node"), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                    names=["doc_id", "node", "bands", "samples"],
+                    [part.column("doc_id"), part.column("node"), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"]
                 )
 
-    return docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node binary, bands array<long>, samples binary")
+    return docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node binary, bands array<long>")
 
 
 def _similar(weights: Weights, a: tuple, b: tuple) -> float:
@@ -223,16 +222,58 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "root")
 
 
-def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one bucket, of different components, whose samples agree often enough."""
-    s = np.stack([np.frombuffer(x, np.uint32) for x in group["samples"]])
-    root = pd.factorize(group["root"])[0]
-    node = group["node"].to_numpy()
-    out = []
-    for i in range(len(s) - 1):
-        j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & ((s[i + 1 :] == s[i]).mean(1) >= MAYBE))
-        out += [(min(node[i], node[x]), max(node[i], node[x])) for x in j]
-    return pd.DataFrame(out, columns=["a", "b"])
+def _bucket_links(weights: Weights, similar: float):
+    """Links of one bucket (or of two blocks of a large one) that join different components.
+
+    A member's overlap with all others is one count over the postings of its shingles, so every pair of different
+    components is compared exactly; a pair whose components are already joined is passed over.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("node")
+        h, times, row = _distinct(*shingles(pa.array(group["text"], pa.string())))
+        w, n = weights.of(h, times), len(group)
+        label = pd.factorize(group["root"])[0]
+        node = group["node"].to_numpy()
+        which = np.unique(h, return_inverse=True)[1]
+        order = np.argsort(which, kind="stable")
+        size = np.bincount(which)
+        start = np.cumsum(size) - size
+        total, number = np.bincount(row, w, n), np.bincount(row, minlength=n)
+        edge = np.searchsorted(row, np.arange(n + 1))
+        out = []
+        largest = np.bincount(label).argmax()
+        for i in np.flatnonzero(label != largest):
+            own = slice(edge[i], edge[i + 1])
+            s, c = start[which[own]], size[which[own]]
+            at = order[np.repeat(s - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
+            shared = np.bincount(row[at], np.minimum(np.repeat(w[own], c), w[at]), n)
+            count = np.bincount(row[at], minlength=n)
+            like = np.maximum(shared / (total[i] + total - shared), count / (number[i] + number - count))
+            for j in np.flatnonzero((like >= similar) & (label != label[i])):
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    out.append((min(node[i], node[j]), max(node[i], node[j]), like[j]))
+        return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    return run
+
+
+def across_components(buckets: DataFrame, roots: DataFrame, docs: DataFrame, weights: Weights, similar: float) -> DataFrame:
+    """Verified links inside the buckets that hold several components.
+
+    Large buckets are dealt into blocks of members, and every two blocks meet in one task.
+    """
+    rooted = buckets.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+    mixed = mixed.where(F.col("lo") != F.col("hi")).select("band", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
+    members = rooted.join(mixed, "band")
+    texts = docs.select("node", "text").join(members.select("node").distinct(), "node", "left_semi")
+    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "members")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    grid = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
+    dealt = members.select("band", "node", "root", F.explode(grid).alias("cell")).join(texts, "node")
+    return dealt.groupBy("band", "cell").applyInPandas(_bucket_links(weights, similar), "a binary, b binary, similarity double")
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -247,28 +288,16 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     docs = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("node"))
     weights = common_shingles(docs)
     sigs = written(signatures(docs, weights), "signatures")
-    one = sigs.where(F.size("bands") > 0).select("node", "bands", "samples")
-    banded = one.select("node", F.explode("bands").alias("band")).distinct()
+    banded = sigs.select("node", F.explode("bands").alias("band")).distinct()
     star = banded.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where(F.col("n") > 1)
     buckets = written(banded.join(star.select("band", "b"), "band"), "buckets")
     pairs = buckets.where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
     pairs = checkpointed(pairs)
     links = checkpointed(verified(pairs, docs, weights, similar))
     roots = components(links)
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    while True:
-        rooted = buckets.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi"))
-        members = rooted.join(mixed.select("band"), "band").join(one.dropDuplicates(["node"]).select("node", "samples"), "node")
-        more = members.groupBy("band").applyInPandas(_across, "a binary, b binary").distinct()
-        more = checkpointed(more.join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        found = checkpointed(verified(more, docs, weights, similar))
-        tried = tried.union(more)
-        if found.isEmpty():
-            break
-        links = checkpointed(links.union(found))
+    more = checkpointed(across_components(buckets, roots, docs, weights, similar).dropDuplicates(["a", "b"]))
+    if not more.isEmpty():
+        links = checkpointed(links.union(more))
         roots = components(links)
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
