@@ -7,7 +7,6 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -73,6 +72,8 @@ def test_classes_equal_all_pairs(spark, awkward, near_rows, nothing, all_null, m
     kept = n.one_of_each(awkward.unionByName(docs.limit(0), allowMissingColumns=True))
     assert kept.columns == awkward.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in (0, 1, 3, 5, 6, 7, 8, 9, 10)] + [(True, 0)]
+    unnamed = n.one_of_each(spark.createDataFrame([(None, prose(i % 3, 20)) for i in range(6)], "doc_id long, text string"))
+    assert Counter(r["text"] for r in unnamed.collect()) == Counter(prose(i, 20) for i in range(3))
     assert n.near_duplicates(nothing).count() == 0
     assert [r["class_id"] for r in n.near_duplicates(all_null).collect()] == [None] * 3
 
@@ -146,7 +147,7 @@ def test_toxicity(spark, awkward, nothing, all_null):
     assert all(0 <= r["score"] <= 1 for r in scored.collect()) and scored.count() == awkward.count()
     assert t.score_toxicity(nothing, model).count() == 0 and t.score_toxicity(all_null, model).count() == 3
     none = t.train(docs, marks.limit(0))
-    assert {r["score"] for r in t.score_toxicity(awkward, none).collect()} == {0.5} or max(r["score"] for r in t.score_toxicity(awkward, none).collect()) <= 0.5
+    assert max(r["score"] for r in t.score_toxicity(awkward, none).collect()) <= 0.5
     assert t.keep_harmless(awkward, marks).columns == awkward.columns
 
 
@@ -159,12 +160,10 @@ def test_cnn_gradients():
     label = np.array([1.0, 0, 1, 0])
 
     def loss():
-        p = model.compiled_exact(buckets, rows) if hasattr(model, "compiled_exact") else None
         row = np.repeat(np.arange(4), np.diff(rows))
         r = model._responses(model.embed[buckets].sum(1), row)
         pooled = np.array([[x[rows[i] : rows[i + 1]].max(0) if rows[i + 1] > rows[i] else np.zeros(t.FILTERS) for x in r] for i in range(4)]).reshape(4, -1)
         z = np.maximum(pooled, 0) @ model.out + model.offset
-        assert p is None
         return np.mean(np.log1p(np.exp(z)) - label * z)
 
     grads, offset, _, _ = model.gradients(buckets, rows, label)

@@ -277,9 +277,9 @@ def across_components(buckets: DataFrame, roots: DataFrame, docs: DataFrame, wei
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, node, class_id, n_copies, n_links.
+    """One row per row of ``docs`` (doc_id, text): doc_id, node, class_key, class_id, n_copies, n_links.
 
-    ``class_id`` is the smallest doc_id of the class (null if all are null), ``n_copies`` the rows with the very same text,
+    ``class_key`` names the class, ``class_id`` is its smallest doc_id (null if all are null), ``n_copies`` the rows with the very same text,
     ``n_links`` the verified links of that text to other texts.  Texts without words (empty, blank) are only
     alike when equal; a null text counts as empty.  Repeated rows each get a row.  An empty table gives an empty
     result.  Other columns are not read.
@@ -304,17 +304,15 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     nodes = sigs.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
     nodes = nodes.join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = nodes.groupBy("root").agg(F.min("first").alias("class_id"))
-    nodes = nodes.join(classes, "root").select("node", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return sigs.select("doc_id", "node").join(nodes, "node").select("doc_id", "node", "class_id", "n_copies", "n_links")
+    nodes = nodes.join(classes, "root").select("node", F.col("root").alias("class_key"), "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return sigs.select("doc_id", "node").join(nodes, "node").select("doc_id", "node", "class_key", "class_id", "n_copies", "n_links")
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One document of each class, that with the smallest doc_id, with its columns as they are."""
     first = F.col("doc_id").eqNullSafe(F.col("class_id"))
     # several rows can share a class's smallest doc_id: the smallest text digest, then any equal row
-    kept = near_duplicates(docs, similar).where(first).groupBy("class_id").agg(F.min("node").alias("node"))
-    null = kept.where(F.col("class_id").isNull())
-    kept = kept.where(F.col("class_id").isNotNull()).union(null)
+    kept = near_duplicates(docs, similar).where(first).groupBy("class_key").agg(F.first("class_id").alias("class_id"), F.min("node").alias("node"))
     node = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
     keyed = docs.withColumn("__node", node).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("k.class_id")) & (F.col("d.__node") == F.col("k.node"))
