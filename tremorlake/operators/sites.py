@@ -105,6 +105,7 @@ def validate_sites(sites: DataFrame, layers: DataFrame) -> DataFrame:
             issue(F.col("start_date") >= F.col("end_date"), "warning", "start date not before end date"),
             issue(F.col("uncertainty_method") == "mcmc", "warning", "mcmc not available, wls is used"),
             issue(~F.col("uncertainty_method").isin("wls", "mcmc"), "warning", "unknown uncertainty method"),
+            issue(F.least(*[F.col(f"{p}_std") for p in ("porosity", "skempton", "biot")]) <= 0, "error", "prior std not positive"),
             issue(tight("porosity", 0.0, 0.6), "error", "porosity prior outside (0, 0.6]"),
             issue(tight("skempton", 0.0, 1.05), "error", "skempton prior outside [0, 1.05]"),
             issue(tight("biot", 0.0, 1.05), "error", "biot prior outside [0, 1.05]"),

@@ -412,11 +412,11 @@ def coda_window(
 
 
 def processing_ensemble(
-    ccf: DataFrame, configs: Sequence[dict], keys: Sequence[str] = KEYS, *, fs: float, t0: float
+    ccf: DataFrame, configs: Sequence[dict], keys: Sequence[str] = KEYS, *, fs: float, t0: float, cadence: int = 1
 ) -> DataFrame:
     """Every config on shared waveforms with its own noise floor.
 
-    The floor comes from the stretching coherence of the same band, window and
+    With a ``cadence`` only every so many days are measured, as a series of their own.  The floor comes from the stretching coherence of the same band, window and
     stack, whatever the estimator.
     """
     keys = list(keys)
@@ -427,7 +427,11 @@ def processing_ensemble(
         if spot not in twin:
             twin[spot] = offset + len(twin)
             extra.append({**c, "estimator": "stretching (TS)", "reference": "fixed", "gate": False, "eps_max": 0.06, "config_index": twin[spot]})
+    if cadence > 1:
+        ccf = ccf.where(F.col("day") % cadence == 0).withColumn("day", F.expr(f"day div {int(cadence)}").cast(ccf.schema["day"].dataType))
     out = measure_dvv(ccf, [*configs, *extra], keys, fs=fs, t0=t0)
+    if cadence > 1:
+        out = out.withColumn("day", F.col("day") * cadence)
     info = ccf.sparkSession.createDataFrame(
         [(int(c["config_index"]), twin[(tuple(c["band"]), tuple(c["window"]), c["stack"])], float(sum(c["band"]) / 2), float(c["window"][0]), float(c["window"][1])) for c in configs],
         "config_index long, twin long, fc double, t1 double, t2 double",

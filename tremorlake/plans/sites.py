@@ -210,6 +210,7 @@ ORACLE = {
             ("sites", "error", "frequency band not ordered", "fmin>=fmax"), ("sites", "error", "no forcing channel enabled", "not hydro_enabled and not thermo_enabled"),
             ("sites", "error", "unknown hydrological model", "hydro_model='unknown_model'"), ("sites", "warning", "start date not before end date", "start_date>=end_date"),
             ("sites", "warning", "mcmc not available, wls is used", "uncertainty_method='mcmc'"), ("sites", "warning", "unknown uncertainty method", "uncertainty_method='abc'"),
+            ("sites", "error", "prior std not positive", "least(porosity_std, skempton_std, biot_std)<=0"),
             ("sites", "error", "porosity prior outside (0, 0.6]", _tight("porosity", 0.6)), ("sites", "error", "skempton prior outside [0, 1.05]", _tight("skempton", 1.05)),
             ("sites", "error", "biot prior outside [0, 1.05]", _tight("biot", 1.05)), ("layers", "error", "vp/vs below sqrt(2)", "vp<=vs*sqrt(2.0::double)")]) + ")"),
     "prior_log_density": with_ctes("sites", "select site_id, round(-0.5*pow((balance/10-beta_mean)/beta_std,2),6)+0.0 as log_density from sites"),

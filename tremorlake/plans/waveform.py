@@ -87,8 +87,9 @@ def _coda(spark, sf):
 
 
 def _ensemble(spark, sf):
-    cfgs = [{**_cfg(e, i * 2 + j), "window": win} for i, e in enumerate(("stretching (TS)", "MWCS", "DTW")) for j, win in enumerate(((4.0, 28.0), (6.0, 30.0)))]
-    return w.processing_ensemble(cut(b.ccf(spark, sf)), cfgs, K, fs=FS, t0=T0)
+    # the twelve configs of the prior, in bands and windows of the test waveforms
+    cfgs = [{**m, "band": BAND if m["band"][0] < 0.5 else (0.1, 0.45), "window": {8: (4.0, 28.0), 12: (6.0, 30.0)}[m["window"][0]]} for m in w.ensemble_configs()]
+    return w.processing_ensemble(cut(b.ccf(spark, sf)), cfgs, K, fs=FS, t0=T0, cadence=2)
 
 
 def _truth(c):
