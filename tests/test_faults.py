@@ -135,3 +135,24 @@ def test_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_folder(Session())
+
+
+def test_shared_band_pass_changes_nothing():
+    from tremorlake.functions import kernels
+    from tremorlake.operators import waveform
+
+    rng = np.random.default_rng(4)
+    x, day = rng.normal(size=(40, 128)), np.arange(40)
+    pdf = pd.DataFrame({"pair_id": "p", "day": [*day, -1], "ccf": [*x, x.mean(0)], "_chunk": 0})
+    cells = [(e, b, r) for e in kernels.ESTIMATORS for b in ((0.1, 0.3), (0.15, 0.4)) for r in ("fixed", "moving")]
+    cfgs = [{"config_index": i, "estimator": e, "band": b, "window": (6.0, 50.0), "stack": 3, "reference": r, "gate": False, "eps_max": 0.06} for i, (e, b, r) in enumerate(cells)]
+    run = lambda: waveform._measure_chunk(pdf, ["pair_id"], 1.0, -64.0, 10, cfgs)
+    shared, names = run(), kernels.BAND_LIMITED
+    kernels.BAND_LIMITED = ()
+    try:
+        alone = run()
+    finally:
+        kernels.BAND_LIMITED = names
+    assert shared["error"].isna().all()
+    np.testing.assert_allclose(shared["dvv"], alone["dvv"], rtol=1e-9, atol=1e-12)
+    assert not {"WCS", "WTS", "WTDTW"} & set(names)

@@ -25,6 +25,11 @@ def bandpass(x: np.ndarray, fs: float, band) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(x, axis=-1) * band_mask(n, fs, *band), n=n, axis=-1)
 
 
+def in_band(x: np.ndarray, fs: float, cfg) -> np.ndarray:
+    """The band-passed waveforms; ``filtered`` configs bring waveforms that are in the band already."""
+    return x if cfg.get("filtered") else bandpass(x, fs, cfg["band"])
+
+
 def window_index(t: np.ndarray, window, branch: str = "both") -> np.ndarray:
     lag = {"both": np.abs(t), "causal": t, "acausal": -t}[branch]
     return np.flatnonzero((lag >= window[0]) & (lag <= window[1]))
@@ -75,7 +80,7 @@ def peak(eps: np.ndarray, image: np.ndarray):
 
 def stretching(cur, ref, t, fs, cfg, n_eps=161):
     eps = np.linspace(-cfg["eps_max"], cfg["eps_max"], n_eps)
-    image = cc_image(bandpass(cur, fs, cfg["band"]), bandpass(ref, fs, cfg["band"]), t, cfg["window"], eps, cfg.get("branch", "both"))
+    image = cc_image(in_band(cur, fs, cfg), in_band(ref, fs, cfg), t, cfg["window"], eps, cfg.get("branch", "both"))
     e, cc = peak(eps, image)
     return to_dvv(e), cc
 
@@ -91,8 +96,8 @@ def _segments(x, t, fs, window, width_s=6.0, step_s=3.0):
 
 def mwcs(cur, ref, t, fs, cfg):
     """Cross-spectral phase delay per sub-window; its slope is dv/v (wraps at half a period)."""
-    lapse, a = _segments(bandpass(cur, fs, cfg["band"]), t, fs, cfg["window"])
-    _, b = _segments(bandpass(ref, fs, cfg["band"]), t, fs, cfg["window"])
+    lapse, a = _segments(in_band(cur, fs, cfg), t, fs, cfg["window"])
+    _, b = _segments(in_band(ref, fs, cfg), t, fs, cfg["window"])
     if len(lapse) < 3:
         return np.full(len(cur), np.nan), None
     f = np.fft.rfftfreq(a.shape[-1], 1.0 / fs)
@@ -106,8 +111,8 @@ def mwcs(cur, ref, t, fs, cfg):
 
 def wcc(cur, ref, t, fs, cfg):
     """Time-domain correlation delay per sub-window; slope mapped to dv/v."""
-    lapse, a = _segments(bandpass(cur, fs, cfg["band"]), t, fs, cfg["window"])
-    _, b = _segments(bandpass(ref, fs, cfg["band"]), t, fs, cfg["window"])
+    lapse, a = _segments(in_band(cur, fs, cfg), t, fs, cfg["window"])
+    _, b = _segments(in_band(ref, fs, cfg), t, fs, cfg["window"])
     if len(lapse) < 3:
         return np.full(len(cur), np.nan), None
     a, b = a - a.mean(-1, keepdims=True), b - b.mean(-1, keepdims=True)
@@ -145,7 +150,7 @@ def _warp(u, v, fs, max_lag_s, gamma=0.3):
 
 def dtw(cur, ref, t, fs, cfg):
     sel = window_index(t, cfg["window"], "causal")
-    a, b = bandpass(cur, fs, cfg["band"])[:, sel], bandpass(ref, fs, cfg["band"])[..., sel]
+    a, b = in_band(cur, fs, cfg)[:, sel], in_band(ref, fs, cfg)[..., sel]
     return slope(t[sel], _warp(a, b, fs, cfg.get("max_lag_s", 0.8))), None
 
 
@@ -195,6 +200,9 @@ def wavelet_dtw(cur, ref, t, fs, cfg):
     return slope(tt[sel], _warp(a[:, sel], b[..., sel], fs, cfg.get("max_lag_s", 0.8))), None
 
 
+#: estimators that only see the band, so that a band-pass can be shared; the wavelet ones are not among them
+BAND_LIMITED = ("stretching (TS)", "WCC", "DTW", "MWCS")
+
 ESTIMATORS = {
     "stretching (TS)": stretching,
     "WCC": wcc,

@@ -56,12 +56,12 @@ def block_stack(ccf: DataFrame, keys: Sequence[str] = KEYS, *, block: int = BLOC
     return out.where(F.col("n_epochs") == block).drop("n_epochs")
 
 
-def _chunked(ccf: DataFrame, halo: int, day: str = "day") -> DataFrame:
+def _chunked(ccf: DataFrame, halo: int, size: int = CHUNK, day: str = "day") -> DataFrame:
     """Copy every epoch to its chunk and to the next chunks it is history for."""
     d = F.col(day)
     return ccf.withColumn(
         "_chunk",
-        F.explode(F.sequence(F.floor(d / CHUNK).cast("long"), F.floor((d + halo) / CHUNK).cast("long"))),
+        F.explode(F.sequence(F.floor(d / size).cast("long"), F.floor((d + halo) / size).cast("long"))),
     )
 
 
@@ -172,35 +172,53 @@ def peak_eps(image: DataFrame, keys: Sequence[str] = KEYS, *, eps_max: float = 0
     return rows.select(*keys, "day", eps.alias("eps"), eps_to_dvv(eps).alias("dvv"), F.col("_cc").alias("cc"))
 
 
-def _measure_chunk(pdf: pd.DataFrame, keys: list[str], fs: float, t0: float, ref_days: int, configs: list[dict]) -> pd.DataFrame:
-    """All configs of one chunk: stacks and references are shared between configs."""
+def _measure_chunk(pdf: pd.DataFrame, keys: list[str], fs: float, t0: float, ref_days: int, configs: list[dict], size: int = CHUNK) -> pd.DataFrame:
+    """All configs of one chunk: stacks, references and the band-pass are shared between configs.
+
+    The band-pass is linear, so a moving reference of filtered stacks is the filtered reference.
+    """
     chunk = int(pdf["_chunk"].iloc[0])
     fixed = pdf.loc[pdf["day"] < 0, "ccf"]
     ref = None if fixed.empty else np.asarray(fixed.iloc[0], float)
     rows = pdf[pdf["day"] >= 0].sort_values("day")
     day = rows["day"].to_numpy()
     x = np.stack(rows["ccf"].to_numpy()).astype(float)
-    t, mine = _axis(x.shape[1], fs, t0), day // CHUNK == chunk
+    t, mine = _axis(x.shape[1], fs, t0), day // size == chunk
     stacks: dict = {}
+
+    def stack(k: int, band: tuple | None) -> np.ndarray:
+        if (k, band) not in stacks:
+            stacks[k, band] = _stack(x, day, k) if band is None else kernels.bandpass(stack(k, None), fs, band)
+        return stacks[k, band]
+
+    references: dict = {}
+
+    def reference(band: tuple | None):
+        if band not in references:
+            references[band] = ref if ref is None or band is None else kernels.bandpass(ref, fs, band)
+        return references[band]
+
+    previous: dict = {}
     parts = []
     for cfg in configs:
         n = int(mine.sum())
         dvv, cc, error = np.full(n, np.nan), np.full(n, np.nan), None
         try:
             k = int(cfg["stack"])
-            if k not in stacks:
-                stacks[k] = _stack(x, day, k)
-            cur = stacks[k]
+            band = tuple(map(float, cfg["band"])) if cfg["estimator"] in kernels.BAND_LIMITED else None
+            cur = stack(k, band)
             if cfg["reference"] == "fixed":
-                use, refs = np.ones(n, bool), ref
+                use, refs = np.ones(n, bool), reference(band)
             elif cfg["reference"] == "moving":
-                before, enough = _previous(cur, ref_days)
+                if (k, band) not in previous:
+                    previous[k, band] = _previous(cur, ref_days)
+                before, enough = previous[k, band]
                 use = (enough & (day >= ref_days))[mine]
                 refs = before[mine][use]
             else:
                 raise ValueError(f"unknown reference {cfg['reference']!r}")
             if use.any():
-                d, c = kernels.ESTIMATORS[cfg["estimator"]](cur[mine][use], refs, t, fs, cfg)
+                d, c = kernels.ESTIMATORS[cfg["estimator"]](cur[mine][use], refs, t, fs, {**cfg, "filtered": band is not None})
                 dvv[use] = d
                 if c is not None:
                     cc[use] = c
@@ -255,10 +273,12 @@ def measure_dvv(
         shared = list(configs)
         max_stack = max(int(c["stack"]) for c in shared)
         grids = None
-    rows = _chunked(base, max_stack - 1 + ref_days)
+    halo = max_stack - 1 + ref_days
+    size = max(CHUNK, 4 * halo)  # a waveform is then copied to one and a quarter chunks
+    rows = _chunked(base, halo, size)
     fixed = fixed_reference(base, keys).select(*keys, F.col("ccf"))
     # the reference reaches every chunk as one extra row
-    chunks = base.select(*keys, F.floor(F.col("day") / CHUNK).cast("long").alias("_chunk")).distinct()
+    chunks = base.select(*keys, F.floor(F.col("day") / size).cast("long").alias("_chunk")).distinct()
     ref_rows = fixed.join(chunks, keys).select(*keys, F.lit(-1).cast("long").alias("day"), "ccf", "_chunk")
     both = rows.withColumn("ccf", F.col("ccf").cast("array<double>")).unionByName(ref_rows)
 
@@ -270,9 +290,9 @@ def measure_dvv(
         cfgs = shared if shared is not None else json.loads(pdf["_cfg"].iloc[0])
         chunk = int(pdf["_chunk"].iloc[0])
         cfgs = [c for c in cfgs if c["reference"] != "inversion"]
-        if not cfgs or not ((pdf["day"] >= 0) & (pdf["day"] // CHUNK == chunk)).any():
+        if not cfgs or not ((pdf["day"] >= 0) & (pdf["day"] // size == chunk)).any():
             return pd.DataFrame(columns=[*keys, "config_index", "day", "dvv", "cc", "valid", "error"])
-        return _measure_chunk(pdf, keys, fs, t0, ref_days, cfgs)
+        return _measure_chunk(pdf, keys, fs, t0, ref_days, cfgs, size)
 
     out = _null_nan(both.groupBy(*keys, "_chunk").applyInPandas(run, schema))
     if shared is None:
@@ -350,7 +370,7 @@ def _inversions(ccf: DataFrame, keys: list[str], fs: float, t0: float, smooth: f
             res[k] = pdf[k].iloc[0]
         return res[[*keys, "i", "j", "m", "w"]]
 
-    e = _chunked(blocks, MAX_BLOCK_LAG, "block").groupBy(*keys, "_chunk").applyInPandas(edges, edge_schema)
+    e = _chunked(blocks, MAX_BLOCK_LAG, day="block").groupBy(*keys, "_chunk").applyInPandas(edges, edge_schema)
     solved_schema = _key_schema(ccf, plain, "spot int, day bigint, dvv double")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
