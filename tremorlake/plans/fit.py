@@ -47,7 +47,7 @@ def _pressure_step(spark, sf):
         F.col("l_extendedprice"), F.col("l_quantity") * 10.0, (F.col("l_linenumber") * 86400.0),
         diffusivity=F.lit(0.1),
     )
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.avg(p).alias("pressure"), F.count("*").alias("n_rows"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(rnd(F.avg(p), 4).alias("pressure"), F.count("*").alias("n_rows"))
 
 
 def _healing(spark, sf):
@@ -319,6 +319,9 @@ _COEFS = """cf as (select site_id, unnest(['a0','p1_dGWL','p2_T']) as param, unn
     unnest(['fraction','fraction / m water head','fraction / degC']) as units from ft)"""
 
 ORACLE = {
+    "pressure_step": """with x as (select *, l_quantity*10.0::double/sqrt(4*0.1::double*l_linenumber*86400.0::double) as a from lineitem),
+        e as (select *, 2/sqrt(pi())*list_sum(list_transform(range(0,70), lambda k: (case when k%2=0 then 1 else -1 end)*pow(a,2*k+1)/(gamma(k+1.0::double)*(2*k+1)))) as erf from x)
+        select l_returnflag, l_linestatus, round(avg(l_extendedprice*(0.6::double*1.3::double/(3*0.7::double)*erf+1-erf)),4)+0.0 as pressure, count(*) as n_rows from e group by 1,2""",
     "groundwater_sensitivity": with_ctes(_AL + " gw", """select site_id, n as n_obs, round(case when x1>0 then b0/s00 else x0 end,10) as a0,
         round(case when x1>0 then 0.0::double else x1 end,10) as p1, round(case when x1>0 then 0.0::double else sqrt(s00/det) end,10) as p1_std,
         round(chi,6) as chi2_red from fx join (select d.site_id, sum(pow((dvv-(case when x1>0 then b0/s00 else x0+x1*p1 end))/dvv_err,2))

@@ -68,7 +68,7 @@ def _cfg(name, i=0, ref="fixed", stack=3, **kw):
 
 def _estimator(name, **kw):
     def run(spark, sf):
-        return w.measure_dvv(cut(b.ccf(spark, sf)), [_cfg(name, **kw)], K, fs=FS, t0=T0).select("pair_id", "day", "dvv", "cc", "valid", "error")
+        return w.measure_dvv(cut(b.ccf(spark, sf)), [_cfg(name, **kw)], K, fs=FS, t0=T0).select("pair_id", "day", rnd("dvv", 7).alias("dvv"), rnd("cc", 7).alias("cc"), "valid", "error")
 
     return run
 
@@ -157,7 +157,45 @@ _IM = _LONG + "," + _FX + """, ep as (select e, -0.06::double+0.015::double*e as
   tr as materialized (select a.pair_id, ps.e, ps.k, a.v*(1-(pos-least(floor(pos),62)))+c.v*(pos-least(floor(pos),62)) as r from ps join fx a on a.k=least(floor(pos),62) join fx c on c.k=least(floor(pos),62)+1 and c.pair_id=a.pair_id),
   im as materialized (select lg.pair_id, lg.day, e, sum(v*r)/((sqrt(sum(v*v))+1e-12)*(sqrt(sum(r*r))+1e-12)) as cc from lg join tr on tr.pair_id=lg.pair_id and tr.k=lg.k group by 1,2,3)"""
 
+# band-pass as a sum over lags: the inverse DFT of the pass band's shoulders
+_G = """g as materialized (select d, sum((case when f in (0,32) then 1.0::double else 2.0::double end)*m*cos(2*pi()*f*d/64))/64 as w from (select unnest(range(-63,64)) as d),
+    (select f, 0.25::double*(1-cos(pi()*least(greatest((f/64.0::double-(0.05::double-0.0875::double))/0.0875::double,0),1)))*(1-cos(pi()*least(greatest((0.4::double+0.0875::double-f/64.0::double)/0.0875::double,0),1))) as m
+     from (select unnest(range(33)) as f)) group by d)"""
+
+
+def _passed(name: str, src: str, by: str) -> str:
+    return f"{name} as materialized (select {by}, n as k, sum(v*w) as v from {src}, (select unnest(range(64)) as n), g where g.d=n-k group by {by}, n)"
+
+
+def _stretching_sql(inside: str) -> str:
+    st = "st as (select pair_id, day, k, avg(v) over (partition by pair_id, k order by day rows between 2 preceding and current row) as v from lg)"
+    return with_ctes("ccf", """, ep as (select e, -0.06::double+0.12::double*e/160 as eps from (select unnest(range(161)) as e)),
+      ps as (select k, e, least(greatest((k-32.0::double)/(1+eps)+32,0.0::double),63.0::double) as pos from (select unnest(range(64)) as k), ep where """ + inside + """),
+      tr as materialized (select a.pair_id, ps.e, ps.k, a.v*(1-(pos-least(floor(pos),62)))+c.v*(pos-least(floor(pos),62)) as r from ps join bf a on a.k=least(floor(pos),62) join bf c on c.k=least(floor(pos),62)+1 and c.pair_id=a.pair_id),
+      im as materialized (select bs.pair_id, bs.day, e, sum(v*r)/((sqrt(sum(v*v))+1e-12)*(sqrt(sum(r*r))+1e-12)) as cc from bs join tr on tr.pair_id=bs.pair_id and tr.k=bs.k group by 1,2,3),
+      bb as (select pair_id, day, arg_max(e,cc) as i, max(cc) as b from im group by 1,2),
+      ac as (select bb.*, x.cc as a, y.cc as c from bb left join im x on x.pair_id=bb.pair_id and x.day=bb.day and x.e=i-1 left join im y on y.pair_id=bb.pair_id and y.day=bb.day and y.e=i+1),
+      pe as (select *, -0.06::double+0.12::double/160*(i+case when a is null or c is null or a-2*b+c=0 then 0 else 0.5::double*(a-c)/(a-2*b+c) end) as eps from ac)
+      select pair_id, day, round(-eps/(1+eps),7)+0.0 as dvv, round(b,7)+0.0 as cc, b>0.6 as valid, null::varchar as error from pe""",
+      ",".join([_LONG, _FX, st, _G, _passed("bs", "st", "pair_id, day"), _passed("bf", "fx", "pair_id")]))
+
+
+_ST = "st as (select pair_id, day, k, avg(v) over (partition by pair_id, k order by day rows between 2 preceding and current row) as v from lg)"
+_MWCS = with_ctes("ccf", """, sg as (select c, 32+c-3+j as k, 0.5::double-0.5::double*cos(2*pi()*j/5) as h, j from (select unnest([7,10,13,16,19,22]) as c), (select unnest(range(6)) as j)),
+      fq as (select unnest([1,2]) as m),
+      fa as materialized (select pair_id, day, c, m, sum(v*h*cos(2*pi()*m*j/6)) as re, -sum(v*h*sin(2*pi()*m*j/6)) as im from bs join sg using(k), fq group by 1,2,3,4),
+      fb as materialized (select pair_id, c, m, sum(v*h*cos(2*pi()*m*j/6)) as re, -sum(v*h*sin(2*pi()*m*j/6)) as im from bf join sg using(k), fq group by 1,2,3),
+      ce as (select pair_id, c, sum(m/6.0::double*(re*re+im*im))/(sum(re*re+im*im)+1e-12) as f from fb group by 1,2),
+      dl as (select fa.pair_id, day, fa.c, atan2(sum(fa.im*fb.re-fa.re*fb.im), sum(fa.re*fb.re+fa.im*fb.im))/(2*pi()*any_value(ce.f)) as delay
+        from fa join fb on fa.pair_id=fb.pair_id and fa.c=fb.c and fa.m=fb.m join ce on ce.pair_id=fa.pair_id and ce.c=fa.c group by 1,2,3)
+      select pair_id, day, round(sum(delay*(c-14.5::double))/sum((c-14.5::double)*(c-14.5::double)),7)+0.0 as dvv, null::double as cc, true as valid, null::varchar as error from dl group by 1,2""",
+      ",".join([_LONG, _FX, _ST, _G, _passed("bs", "st", "pair_id, day"), _passed("bf", "fx", "pair_id")]))
+
 ORACLE = {
+    "mwcs": _MWCS,
+    "bandpass_ccf": with_ctes("ccf", f"select pair_id, day, {_OUT} from bp group by 1,2", ",".join([_LONG, _G, _passed("bp", "lg", "pair_id, day")])),
+    "stretching": _stretching_sql("abs(k-32) between 4 and 28"),
+    "stretching_causal": _stretching_sql("k-32 between 4 and 28"),
     "trailing_stack": with_ctes("ccf", f"select pair_id, day, {_OUT} from (select pair_id, day, k, avg(v) over (partition by pair_id, k order by day rows between 9 preceding and current row) as v from lg) group by 1,2", _LONG),
     "moving_reference": with_ctes("ccf", f"select pair_id, day, {_OUT} from (select pair_id, day, k, avg(v) over (partition by pair_id, k order by day rows between 20 preceding and 1 preceding) as v from lg) where day>=20 group by 1,2", _LONG),
     "fixed_reference": with_ctes("ccf", f"select pair_id, {_OUT} from fx group by 1", _LONG + "," + _FX),
