@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ PART_BYTES = 24 << 20
 ROUNDS = 5
 PAIRS = 3000  # new symbols of a round at most
 LEAST = 8  # occurrences from which a pair is worth a rule
+SLICE = 3 << 20
+TOGETHER = 10_000  # new pieces that the library gets at once
 MAGIC = 0x52455041495231
 
 
@@ -149,6 +152,9 @@ def _kinds() -> np.ndarray:
     return k
 
 
+_encoders: dict[str, "Encoder"] = {}  # one for each Python worker, kept from task to task
+
+
 class Encoder:
     """The tokenizers library, asked once for each different piece of text.
 
@@ -159,6 +165,12 @@ class Encoder:
 
     KINDS = _kinds()
 
+    @classmethod
+    def of_worker(cls, path: str) -> "Encoder":
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -207,12 +219,16 @@ class Encoder:
         if len(fresh):
             raw = data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(first[at[fresh]].tolist(), last[at[fresh]].tolist())]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            size = np.array([len(x) for x in ids], np.int64)
+            ids, sizes = [], []
+            for i in range(0, len(texts), TOGETHER):
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + TOGETHER], add_special_tokens=False)]
+                sizes += map(len, got)
+                ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
+            size = np.array(sizes, np.int64)
             where[fresh] = np.arange(len(self.start), len(self.start) + len(fresh))
             self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
             self.length = np.append(self.length, size)
-            self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum())))
+            self.flat = np.concatenate([self.flat, *ids])
             self.place.update((piece[f], int(where[f])) for f in fresh)
         where = where[back]
         length = self.length[where]
@@ -253,8 +269,8 @@ def write_blocks(docs: DataFrame, model: str, end: int = END, block_ids: int = B
             )
 
         for batch in batches:
-            for piece in slices(batch):
-                encoder = encoder or Encoder(model)
+            for piece in slices(batch, most=SLICE):
+                encoder = encoder or Encoder.of_worker(model)
                 ids, n = encoder.encode(*column_bytes(piece.column("text")))
                 ids = np.insert(ids, np.cumsum(n), end)
                 held.append((ids, n + 1, piece.column("doc_id")))
