@@ -234,7 +234,8 @@ def hmm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    dealt = _dealt(docs)
+    # ids travel as text: pandas would turn a column with a null into floating point
+    dealt = _dealt(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
     parts = dealt.repartition("chunk").sortWithinPartitions("chunk")
     local = written(parts.mapInArrow(_chunk_counts, "chunk long, token long, tail int, n long"), "chunk-tokens")
     tokens = written(local.groupBy("token").agg(F.sum("n").alias("count"), F.first("tail").alias("tail")), "tokens")
@@ -250,9 +251,9 @@ def hmm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     back = local.select("chunk", "token").join(ranked.select("token", "count", "rank"), "token")
     coded = parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(
         _encode(total, kinds, per_class),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, class_score double, classes binary",
+        "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, class_score double, classes binary",
     )
-    coded = written(coded, "classes")
+    coded = written(coded.withColumn("doc_id", F.col("doc_id").cast("long")), "classes")
     model = train(coded.where(~F.col("held_out")).select("classes"), weight, rounds)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
