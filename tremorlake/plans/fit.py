@@ -375,7 +375,7 @@ ORACLE = {
         select site_id, arg_min(s, c*1000000+s) as shift_days, min(c) as chi2_red from c where c is not null group by 1""",
     "pearson": with_ctes(_AL, "select site_id, round(corr(dvv,temperature),9) as r from al group by 1"),
     "wet_dry_variance": with_ctes(_AL, """select site_id, count(*) as n_rows, sum(case when precipitation>thr then 1 else 0 end)::bigint as n_wet, round(any_value(thr),9) as threshold,
-        round(var_samp(case when precipitation>thr then dvv end)/var_samp(case when precipitation<=thr then dvv end),8) as var_ratio
+        round(case when count(*)>30 and count_if(precipitation>thr)>5 and count_if(precipitation<=thr)>5 then var_samp(case when precipitation>thr then dvv end)/var_samp(case when precipitation<=thr then dvv end) else 1.0::double end,8) as var_ratio
         from al join (select site_id, quantile_cont(precipitation,0.9) as thr from al group by 1) using(site_id) group by 1"""),
     "harmonic_fit": with_ctes("dvv", "select site_id, n as n_rows, round(sqrt(x0*x0+x1*x1),9) as amplitude from hf", _harm_sql("hf", "dvv", "dvv")),
     "low_freq_drift": with_ctes("dvv", f"select site_id, round(drift_std,10) as drift_std from ({_drift_sql('dvv', 'dvv')})"),
@@ -383,7 +383,7 @@ ORACLE = {
         pr>=0.2 or vr>=1.5 as storm_band, se>=1 as seasonal, dr>=1 as low_freq_drift from (
         select site_id, abs(pr) as pr, vr, sqrt(h.x0*h.x0+h.x1*h.x1)/sg as se, drift_std/sg as dr from
         (select site_id, corr(abs(residual),precipitation) as pr, quantile_cont(dvv_err,0.5) as sg from rs group by 1)
-        join (select site_id, var_samp(case when precipitation>thr then residual end)/var_samp(case when precipitation<=thr then residual end) as vr
+        join (select site_id, case when count(*)>30 and count_if(precipitation>thr)>5 and count_if(precipitation<=thr)>5 then var_samp(case when precipitation>thr then residual end)/var_samp(case when precipitation<=thr then residual end) else 1.0::double end as vr
           from rs join (select site_id, quantile_cont(precipitation,0.9) as thr from rs group by 1) using(site_id) group by 1) using(site_id)
         join hr h using(site_id) join ({_drift_sql('rs', 'residual')}) using(site_id))""", _RES + "," + _harm_sql("hr", "rs", "residual")),
     "staged_fit": with_ctes(_AL + " gw", """, st as (select site_id, pr>=0.2 or vr>=1.5 as storm_band, aic_a, chi2_a from pa join ra using(site_id)),
@@ -403,6 +403,6 @@ ORACLE = {
         ra as (select site_id, sum(pow(residual/dvv_err,2))/(count(*)-max(ka)) as chi2_a, count(*)*ln(sum(residual*residual)/count(*))+4 as aic_a from xa group by 1),
         rb as (select site_id, sum(pow(resb/dvv_err,2))/(count(*)-max(kb)) as chi2_b, count(*)*ln(sum(resb*resb)/count(*))+6 as aic_b from xa group by 1),
         pa as (select * from (select site_id, abs(corr(abs(residual),precipitation)) as pr from xa group by 1) join (select site_id,
-          var_samp(case when precipitation>thr then residual end)/var_samp(case when precipitation<=thr then residual end) as vr
+          case when count(*)>30 and count_if(precipitation>thr)>5 and count_if(precipitation<=thr)>5 then var_samp(case when precipitation>thr then residual end)/var_samp(case when precipitation<=thr then residual end) else 1.0::double end as vr
           from xa join (select site_id, quantile_cont(precipitation,0.9) as thr from xa group by 1) using(site_id) group by 1) using(site_id))"""),
 }
