@@ -8,6 +8,8 @@ letters, digits and bytes over 0x7F (``ALNUM``), and runs of anything but white
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -74,6 +76,16 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def release_memory() -> None:
+    """Give the memory of finished numpy and Arrow work back to the system; the driver lives on after training."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the row offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
