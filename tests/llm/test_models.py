@@ -99,6 +99,43 @@ def test_large_bucket_in_blocks(spark, near_rows, monkeypatch):
     assert sizes == sorted(len(t) for t in by_class.values() if len(t) > 1)
 
 
+def test_large_bucket_by_bytes(spark, monkeypatch):
+    """Cells and slices are bounded by bytes, the largest component does not meet itself, no link is lost."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from tremorlake.llm import near_dedup as n
+
+    limit, base = 40_000, prose(80, 600)
+    texts = [edited(base, i, 2) for i in range(60)] + [prose(200 + i, 600) for i in range(20)]
+    texts += [edited(texts[60 + i], i, 3) for i in range(10)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("node", F.unhex(F.md5("text")))
+    node = {r["text"]: bytes(r["node"]) for r in docs.collect()}
+    main = [node[t] for t in texts[:60]]
+    roots = spark.createDataFrame([(x, min(main)) for x in main], "node binary, root binary")
+    buckets = docs.select(F.lit(1).cast("long").alias("band"), "node")
+    weights = n.Weights(np.zeros(0, np.uint64), np.zeros(0))
+    monkeypatch.setattr(n, "BLOCK_BYTES", limit, raising=False)
+    links = {(bytes(r["a"]), bytes(r["b"])) for r in n.across_components(buckets, roots, docs, weights, 0.8).collect()}
+    assert links == {tuple(sorted((node[texts[60 + i]], node[texts[80 + i]]))) for i in range(10)}
+
+    seen, shingles = [], n.shingles
+    monkeypatch.setattr(n, "SLICE", limit)
+    monkeypatch.setattr(n, "shingles", lambda x: seen.append(sum(len(t) for t in x.to_pylist())) or shingles(x))
+    n._bucket_links(weights, 0.8)(pd.DataFrame({"node": [node[t] for t in texts], "root": [node[t] for t in texts], "text": texts}))
+    assert max(seen) <= limit
+
+    def probe(weights, similar):
+        def run(group):
+            return pd.DataFrame({"a": [b"x"], "b": [b"one" if group["root"].nunique() == 1 else b"more"], "similarity": [float(group["text"].str.len().sum())]})
+
+        return run
+
+    monkeypatch.setattr(n, "_bucket_links", probe)
+    cells = n.across_components(buckets, roots, docs, weights, 0.8).collect()
+    assert max(r["similarity"] for r in cells) <= 4 * limit < sum(map(len, texts)) and {bytes(r["b"]) for r in cells} == {b"more"}
+
+
 def test_samples_estimate_weighted_jaccard():
     from tremorlake.llm import near_dedup as n
 

@@ -10,9 +10,9 @@ table has a bound that does not grow with the corpus, and it covers all document
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per text; texts that agree in all
 samples of a band are candidates.  Every member of a band's bucket is linked to the bucket's smallest
 member (a star, never all pairs), links are verified by weighted Jaccard similarity on the whole texts, and
-connected components follow.  Where a bucket still holds several components, all its members are
-compared across components on their whole texts, so no link between different components is lost and no cap is
-set on partners.
+connected components follow.  Where a bucket still holds several components, the members outside its largest one
+are compared with all others on their whole texts, in blocks of bounded bytes, so no link between different components
+is lost and no cap is set on partners.
 
 Exact copies are one node throughout and are never expanded into pairs.
 """
@@ -35,7 +35,8 @@ SAMPLES = BANDS * ROWS
 RARE = 1000
 FLOOR = 0.7
 COUNTED = 3_000_000  # shingles counted together before they are sent
-GROUP = 2048  # members of a bucket that one task compares with as many others
+GROUP = 2048  # members of a block of a bucket; a task compares two blocks
+BLOCK_BYTES = 8 << 20  # bytes of text of a block
 SLICE = 2 << 20
 SEED = 17
 
@@ -79,6 +80,16 @@ def _distinct(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h[at], np.diff(np.append(at, len(h))), row[at]
 
 
+def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different shingles of each text, worked out slice by slice: (shingle, times, row)."""
+    out, at = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), most=SLICE):
+        h, times, row = _distinct(*shingles(part.column("text")))
+        out.append((h, times, row + at))
+        at += part.num_rows
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 class Weights:
     """Shingle weights from the table of common shingles."""
 
@@ -231,7 +242,7 @@ def _bucket_links(weights: Weights, similar: float):
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("node")
-        h, times, row = _distinct(*shingles(pa.array(group["text"], pa.string())))
+        h, times, row = _sets(pa.array(group["text"], pa.string()))
         w, n = weights.of(h, times), len(group)
         label = pd.factorize(group["root"])[0]
         node = group["node"].to_numpy()
@@ -262,17 +273,32 @@ def _bucket_links(weights: Weights, similar: float):
 def across_components(buckets: DataFrame, roots: DataFrame, docs: DataFrame, weights: Weights, similar: float) -> DataFrame:
     """Verified links inside the buckets that hold several components.
 
-    Large buckets are dealt into blocks of members, and every two blocks meet in one task.
+    A bucket's largest component (by bytes) and its other members are each dealt into blocks of about ``BLOCK_BYTES``
+    and ``GROUP`` members at the most.  Every block of others meets every block in one task; blocks of the largest
+    component do not meet, as its members are joined already.
     """
     rooted = buckets.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-    mixed = mixed.where(F.col("lo") != F.col("hi")).select("band", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
-    members = rooted.join(mixed, "band")
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    members = rooted.join(mixed.where(F.col("lo") != F.col("hi")).select("band"), "band")
     texts = docs.select("node", "text").join(members.select("node").distinct(), "node", "left_semi")
     texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "members")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    grid = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
-    dealt = members.select("band", "node", "root", F.explode(grid).alias("cell")).join(texts, "node")
+    sizes = texts.select("node", F.octet_length("text").cast("long").alias("bytes"))
+    members = written(members.join(sizes, "node"), "mixed")
+    parts = members.groupBy("band", "root").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+    whole = parts.groupBy("band").agg(F.max(F.struct("bytes", "n", "root")).alias("main"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+    blocks = lambda size, n: F.greatest(F.lit(1), F.ceil(size / BLOCK_BYTES), F.ceil(n / GROUP)).cast("int")
+    whole = whole.select(
+        "band", F.col("main.root").alias("main"), blocks(F.col("main.bytes"), F.col("main.n")).alias("mains"),
+        blocks(F.col("bytes") - F.col("main.bytes"), F.col("n") - F.col("main.n")).alias("others"),
+    )
+    every = lambda n, cell: F.transform(F.sequence(F.lit(0), F.col(n) - 1), cell)
+    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    main, own = F.col("root") == F.col("main"), F.col("own")
+    # cell (i, j): others i and j if j is not negative, else others i and the largest component's block -1 - j
+    of_main = every("others", lambda o: cell(o, -1 - own))
+    of_other = F.concat(every("others", lambda o: cell(F.least(o, own), F.greatest(o, own))), every("mains", lambda o: cell(own, -1 - o)))
+    dealt = members.join(whole, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.when(main, F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    dealt = dealt.select("node", "band", "root", F.explode(F.when(main, of_main).otherwise(of_other)).alias("cell")).join(texts, "node")
     return dealt.groupBy("band", "cell").applyInPandas(_bucket_links(weights, similar), "a binary, b binary, similarity double")
 
 
