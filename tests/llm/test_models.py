@@ -136,6 +136,20 @@ def test_large_bucket_by_bytes(spark, monkeypatch):
     assert max(r["similarity"] for r in cells) <= 4 * limit < sum(map(len, texts)) and {bytes(r["b"]) for r in cells} == {b"more"}
 
 
+def test_document_frequencies_are_exact(spark):
+    from tremorlake.llm import near_dedup as n
+
+    texts = [prose(90, 40) + " " + prose(300 + i, 30) + (" " + prose(91, 20) if i % 8 == 0 else "") for i in range(24)]
+    texts += [prose(92, 30), None, "", prose(93, 10) + " " + prose(93, 10)]
+    want = Counter(x for t in texts for x in set(n.shingles(pa.array([t], pa.string()))[0].tolist()))
+    want = {h: k for h, k in want.items() if k > 1}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for parts in (1, 24):
+        got = n.common_shingles(docs.repartition(parts))
+        idf = n.Weights(np.array(list(want), np.uint64), np.array(list(want.values())) / len(texts))
+        assert np.array_equal(got.common, idf.common) and np.allclose(got.idf, idf.idf)
+
+
 def test_samples_estimate_weighted_jaccard():
     from tremorlake.llm import near_dedup as n
 

@@ -34,7 +34,7 @@ BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 RARE = 1000
 FLOOR = 0.7
-COUNTED = 3_000_000  # shingles counted together before they are sent
+COUNTED = 3_000_000  # shingles counted together
 GROUP = 2048  # members of a block of a bucket; a task compares two blocks
 BLOCK_BYTES = 8 << 20  # bytes of text of a block
 SLICE = 2 << 20
@@ -126,24 +126,63 @@ def samples(h: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray
     return out
 
 
+def _hot_buckets(docs: DataFrame, bits: int, least: int) -> np.ndarray:
+    """Packed flags of the hash buckets (by the upper ``bits``) in which shingles occur ``least`` times or more."""
+    block = 1 << min(12, bits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size = np.zeros(1 << bits, np.int64), [], 0
+        for batch in batches:
+            for part in slices(batch, most=SLICE):
+                held.append((shingles(part.column("text"))[0] >> np.uint64(64 - bits)).astype(np.int64))
+                size += len(held[-1])
+                if size > COUNTED:
+                    total += np.bincount(np.concatenate(held), minlength=len(total))
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
+        for i, part in enumerate(np.minimum(total, least).reshape(-1, block)):  # more than least is as good as least
+            if part.any():
+                data = part.astype(np.min_scalar_type(int(part.max()))).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([data])], names=["block", "counts"])
+
+    def flags(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(block, np.uint64)
+        for x in group["counts"]:
+            total += np.frombuffer(x, f"u{len(x) // block}")
+        return pd.DataFrame({"block": group["block"].iloc[:1], "hot": [np.packbits(total >= least).tobytes()]})
+
+    sent = docs.select("text").mapInArrow(count, "block long, counts binary")
+    hot = np.zeros((1 << bits) // block * block // 8, np.uint8).reshape(-1, block // 8)
+    for r in sent.groupBy("block").applyInPandas(flags, "block long, hot binary").collect():
+        hot[r["block"]] = np.frombuffer(r["hot"], np.uint8)
+    return hot.ravel()
+
+
 def common_shingles(docs: DataFrame) -> Weights:
-    """Share of the documents of every shingle that at least 1 in RARE has.
+    """Share of the documents of every shingle that at least 1 in RARE, and two at least, have.
 
-    Each task counts its texts in parts and sends the shingles that it met twice, so unique ones are never
-    shuffled; a common one is missed at most once per part, and the table is the same for every text.
+    Shares are exact and do not depend on how the rows are dealt.  A first pass adds up occurrences in a table of hash
+    buckets; a shingle whose bucket has too few cannot be common.  A second pass counts the documents of all others,
+    so most unique shingles are never shuffled.  Fuller buckets only let more shingles into the second pass.
     """
-    total = docs.count()
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    least = max(2, -(-total // RARE))
+    bits = int(np.clip(np.ceil(np.log2(1 + size / max(total, 1) * RARE / 2)), 16, 24))
+    packed = _hot_buckets(docs, bits, least)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        hot, held, size = np.unpackbits(packed).astype(bool), [], 0
 
         def send():
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
         for batch in batches:
             for part in slices(batch, most=SLICE):
-                h = _distinct(*shingles(part.column("text")))[0]
+                h, rows = shingles(part.column("text"))
+                keep = hot[(h >> np.uint64(64 - bits)).astype(np.int64)]
+                h = _distinct(h[keep], np.concatenate([[0], np.cumsum(keep)])[rows])[0]
                 held.append(h)
                 size += len(h)
                 if size > COUNTED:
@@ -153,7 +192,7 @@ def common_shingles(docs: DataFrame) -> Weights:
             yield send()
 
     counts = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") * RARE >= max(total, RARE)).toPandas()
+    rows = counts.where(F.col("n") >= least).toPandas()
     return Weights(rows["shingle"].to_numpy(np.int64).view(np.uint64), np.minimum(1.0, rows["n"].to_numpy(float) / max(total, 1)))
 
 
