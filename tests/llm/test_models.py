@@ -329,6 +329,26 @@ def test_search_recall_and_form(spark):
     assert nearest(df.where("vec_id = 2000"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_rows_longer_than_the_sample_are_found():
+    import pandas as pd
+
+    from tremorlake.llm.hash_search import Codes, _block_search
+
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(20, 32))
+    x = np.repeat(centre, 100, axis=0) + 0.05 * rng.normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    codes = Codes(x[::4], 5)
+    x[1::400] = rng.normal(size=(5, 32)) * 20  # none of the sample
+    table = pd.DataFrame({"vec_id": np.arange(2000), "embedding": list(x)})
+    got = _block_search(codes, 5)(table, table.iloc[::50])
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.argsort(-s)[:5]
+        assert set(best[np.isin(best, np.arange(1, 2000, 400))]) <= set(g.vec_id)
+
+
 def test_index_finds_every_code_in_the_radius():
     from tremorlake.llm.hash_search import Index, distance
 

@@ -9,6 +9,8 @@ A code is split into 16-bit substrings and each is indexed: the different values
 principle a code within radius r differs from the query in at most r // m bits in one of the m substrings (fewer by one
 beyond the first r % m + 1), so the values within that distance, of every substring, give every row within r; rows are
 then held against r on the whole code and ranked by the exact inner product.  If a block has fewer than k such rows, the radius grows.
+Rows longer than every sampled one (about one in ``SAMPLE``) are not on the common sphere, so their codes say nothing
+of the inner product: they are ranked for every query.
 
 All queries meet all rows in a grid of blocks of bounded size; a block returns its k best and a window
 merges them.
@@ -121,6 +123,7 @@ def _block_search(codes: Codes, k: int):
             x, ids = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
             q, names = np.stack(queries["embedding"]).astype(float), queries["vec_id"].to_numpy()
             index, words = Index(codes.index(x)), codes.query(q)
+            longer = np.flatnonzero((x**2).sum(1) > codes.norm**2)
             for i in range(len(q)):
                 radius = codes.radius
                 while True:
@@ -129,6 +132,7 @@ def _block_search(codes: Codes, k: int):
                     if len(found) >= k or radius >= codes.bits:
                         break
                     radius = min(codes.bits, radius + max(4, codes.bits // 16))
+                found = np.union1d(found, longer[ids[longer] != names[i]])
                 score = (x[found] * q[i]).sum(1)
                 if len(found) > k:
                     least = np.partition(score, -k)[-k]
