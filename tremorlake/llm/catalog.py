@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "sharding", "hash_search", "mixing", "hmm", "toxicity", "licenses", "near_dedup", "decontaminate", "token_store", "token_counts", "chat", "merkle",
+    "sharding", "hash_search", "mixing", "hmm", "toxicity", "licenses", "near_dedup", "decontaminate", "token_store", "token_counts", "chat", "merkle", "whitening",
 )
 
 
