@@ -80,7 +80,8 @@ def rolled(nodes: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
     digits = [f"d{i}" for i in range(BLOCK_DIGITS)]
     rows = nodes.select(
         *keys, "levels", F.shiftright("rank", 4 * BLOCK_DIGITS).alias("block"),
-        *[digit(i).alias(d) for i, d in enumerate(digits)], "hash", F.struct(*payload).alias("kids"),
+        *[digit(i).alias(d) for i, d in enumerate(digits)], "hash",
+        F.struct(*(payload or [F.lit(True).alias("inner")])).alias("kids"),  # a struct must have a field
     )
     rows = rows.repartition(*keys, "block")
     for i, d in enumerate(digits):
