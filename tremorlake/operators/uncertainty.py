@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tremorlake.functions.exprs import clip, weaver_error
+from tremorlake.operators.chain import chain_nodes
 from tremorlake.operators.scan import (
     exact_quantiles,
     key_stats,
@@ -203,47 +204,57 @@ def _schema(df: DataFrame, keys: Sequence[str], rest: str) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keys) + ", " + rest
 
 
-def all_to_all_reference(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Reference-free series from pairwise differences (i, j, rel, sigma).
+def _chain_of(edges: DataFrame, keys: Sequence[str], reach: int | None) -> DataFrame:
+    """Epoch rows of the chain with the totals of their component (_n, _x, _u) and key (_ss, n_pairs), in one pass."""
+    from pyspark.sql import Window as W
 
-    Parallel edges are merged by Spark; per key the weighted graph Laplacian is
-    solved by conjugate gradients from zero, which gives the minimum-norm
-    solution also for disconnected graphs.  Work and memory per key follow the
-    number of distinct edges of one series.
-    """
-    keys = list(keys)
     w = 1.0 / (F.col("sigma") * F.col("sigma"))
-    merged = edges.where(F.col("sigma") > 0).groupBy(*keys, "i", "j").agg(
+    merged = edges.where((F.col("sigma") > 0) & (F.col("i") != F.col("j")) & F.col("rel").isNotNull()).groupBy(*keys, "i", "j").agg(
         F.sum(w).alias("w"), F.sum(w * F.col("rel")).alias("wd"), F.sum(w * F.col("rel") * F.col("rel")).alias("wdd"),
         F.count("*").alias("m"),
     )
+    if reach is None:
+        reach = edges.agg(F.max(F.abs(F.col("i") - F.col("j")))).first()[0] or 1
+    nodes = chain_nodes(merged, keys, reach=int(reach), pairs=True)
+    key, comp = W.partitionBy(*keys), W.partitionBy(*keys, "comp")
+    nodes = nodes.withColumns({"_ss": F.sum("ss").over(key), "n_pairs": F.sum("m").over(key)})
+    return nodes.withColumns({"_n": F.count("*").over(comp), "_x": F.sum("x").over(comp), "_u": F.sum("u").over(comp)})
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, flat = np.unique(pdf[["i", "j"]].to_numpy(), return_inverse=True)
-        a, b = flat.reshape(-1, 2).T
-        n, wt = len(ids), pdf["w"].to_numpy()
-        scatter = lambda v: np.bincount(a, v, n) - np.bincount(b, v, n)
-        apply = lambda x: scatter(wt * (x[a] - x[b]))
-        x, r = np.zeros(n), scatter(pdf["wd"].to_numpy())
-        p, rr = r.copy(), r @ r
-        stop = 1e-24 * max(rr, 1e-300)
-        for _ in range(20 * n):
-            if rr <= stop:
-                break
-            q = apply(p)
-            step = rr / (p @ q)
-            x, r = x + step * p, r - step * q
-            new = r @ r
-            p, rr = r + (new / rr) * p, new
-        x -= x.mean()
-        d = x[a] - x[b]
-        ss = np.sum(wt * d * d - 2 * d * pdf["wd"].to_numpy() + pdf["wdd"].to_numpy())
-        out = pd.DataFrame({"i": ids, "dvv": x, "residual_rms": math.sqrt(max(ss, 0.0) / pdf["m"].sum())})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "i", "dvv", "residual_rms"]]
-
-    return merged.groupBy(*keys).applyInPandas(solve, _schema(edges, keys, "i bigint, dvv double, residual_rms double"))
+
+def _centred(g: Column, ui: Column, uj: Column) -> Column:
+    """Entry of the pseudo-inverse from the held inverse, its row sums and their total."""
+    n = F.col("_n")
+    return g - (ui + uj) / n + F.col("_u") / (n * n)
+
+
+def all_to_all_reference(edges: DataFrame, keys: Sequence[str], *, reach: int | None = None) -> DataFrame:
+    """Reference-free series from pairwise differences (i, j, rel, sigma), with its standard errors.
+
+    keys, i, dvv (minimum norm: the mean of every connected component is zero), sigma (root of the diagonal of the
+    pseudo-inverse), component (its smallest epoch), n_pairs and residual_rms of the key. Pairs without a positive sigma or a value,
+    and pairs of an epoch with itself, take no part. ``reach`` is the largest distance of a pair in epochs; it is measured if
+    not given. Memory follows a block of epochs, as wide as the reach asks for (``chain``).
+    """
+    keys = list(keys)
+    own = F.element_at("gs", F.array_position("js", F.col("i")).cast("int"))
+    return _chain_of(edges, keys, reach).select(
+        *keys, "i", (F.col("x") - F.col("_x") / F.col("_n")).alias("dvv"),
+        F.sqrt(F.greatest(_centred(own, F.col("u"), F.col("u")), F.lit(0.0))).alias("sigma"),
+        F.col("comp").alias("component"), "n_pairs", F.sqrt(F.greatest(F.col("_ss"), F.lit(0.0)) / F.col("n_pairs")).alias("residual_rms"),
+    )
+
+
+def all_to_all_covariance(edges: DataFrame, keys: Sequence[str], *, reach: int | None = None) -> DataFrame:
+    """Covariance (keys, i, j, cov; i <= j) of the reference-free series for epochs at most ``reach`` apart.
+
+    Entries of the pseudo-inverse of the weighted Laplacian, component by component; epochs of different components have none.
+    """
+    keys = list(keys)
+    pairs = _chain_of(edges, keys, reach).select(*keys, "i", "u", "_n", "_u", F.explode(F.arrays_zip("js", "gs", "us")).alias("_p"))
+    j = F.col("_p.js")
+    return pairs.select(
+        *keys, F.least("i", j).alias("i"), F.greatest("i", j).alias("j"), _centred(F.col("_p.gs"), F.col("u"), F.col("_p.us")).alias("cov")
+    )
 
 
 def hierarchical_dvv(

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tremorlake.functions import kernels
 from tremorlake.functions.exprs import eps_to_dvv, weaver_error
-from tremorlake.operators.scan import attach
+from tremorlake.operators.chain import chain_nodes
+from tremorlake.operators.scan import attach, running
 
 CHUNK = 64
 REF_DAYS = 45
@@ -341,7 +342,7 @@ def _inversions(ccf: DataFrame, keys: list[str], fs: float, t0: float, smooth: f
     """All (band, window) inversions of every key; ``_inv`` lists them with their cells.
 
     Edges (block i against block j, up to ten blocks apart) are measured in
-    chunks of blocks; the small system is solved from its edges; the search
+    chunks of blocks; the banded system is solved block by block (``chain``); the search
     half-width is fixed at 3 %.
     """
     plain = keys
@@ -371,28 +372,20 @@ def _inversions(ccf: DataFrame, keys: list[str], fs: float, t0: float, smooth: f
         return res[[*keys, "i", "j", "m", "w"]]
 
     e = _chunked(blocks, MAX_BLOCK_LAG, day="block").groupBy(*keys, "_chunk").applyInPandas(edges, edge_schema)
-    solved_schema = _key_schema(ccf, plain, "spot int, day bigint, dvv double")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        n_days, m = int(pdf["_n"].iloc[0]), int(pdf["i"].max()) + 1
-        i, j, w, d = (pdf[c].to_numpy() for c in ("i", "j", "w", "m"))
-        a = np.zeros((m, m))
-        np.add.at(a, (i, i), w)
-        np.add.at(a, (j, j), w)
-        np.add.at(a, (i, j), -w)
-        np.add.at(a, (j, i), -w)
-        s = smooth * np.diff(np.eye(m), 2, axis=0) if m > 2 else np.zeros((0, m))
-        a += s.T @ s + 1.0
-        rhs = np.bincount(i, w * d, m) - np.bincount(j, w * d, m)
-        x = np.linalg.lstsq(a, rhs, rcond=None)[0]
-        x -= x[: max(1, m // 20)].mean()
-        day = np.arange(n_days)
-        out = pd.DataFrame({"day": day, "dvv": np.interp(day, np.arange(m) * BLOCK_DAYS + BLOCK_DAYS // 2, x)})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "day", "dvv"]]
-
-    solved = e.join(days, plain).groupBy(*keys).applyInPandas(solve, solved_schema)
+    wd = F.col("w") * F.col("m")
+    e = e.select(*keys, "i", "j", "w", wd.alias("wd"), (wd * F.col("m")).alias("wdd"), F.lit(1).cast("long").alias("m"))
+    x = chain_nodes(e, keys, reach=MAX_BLOCK_LAG, smooth=smooth).select(*keys, "i", "x")
+    size = x.groupBy(*keys).agg((F.max("i") + 1).alias("_m"))
+    base = x.join(size, keys).where(F.col("i") < F.greatest(F.lit(1), F.floor(F.col("_m") / 20))).groupBy(*keys, "_m").agg(F.avg("x").alias("_base"))
+    x = running(x, keys, ["i"], {"_next": ("lag", F.col("x"))}, chunk=F.floor(F.col("i") / 1000), reverse=True)
+    x = x.join(base, keys).join(days, plain)
+    at = F.col("i") * BLOCK_DAYS + BLOCK_DAYS // 2  # day of a block's value; both ends are held
+    start = F.when(F.col("i") == 0, F.lit(0)).otherwise(at)
+    stop = F.when(F.col("i") == F.col("_m") - 1, F.col("_n") - 1).otherwise(at + BLOCK_DAYS - 1)
+    daily = x.withColumn("day", F.explode(F.sequence(start, stop)))
+    slope = F.coalesce(F.col("_next") - F.col("x"), F.lit(0.0)) / BLOCK_DAYS
+    dvv = F.col("x") + slope * F.greatest(F.col("day") - at, F.lit(0)) - F.col("_base")
+    solved = daily.select(*keys, "day", dvv.alias("dvv"))
     cells = specs.select(*plain, F.posexplode("_inv").alias("spot", "_s")).select(
         *plain, "spot", F.explode("_s.cells").alias("config_index")
     )

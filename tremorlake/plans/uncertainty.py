@@ -9,6 +9,7 @@ from tremorlake.operators import align as al
 from tremorlake.operators import uncertainty as u
 from tremorlake.plans import bindings as b
 from tremorlake.plans.bindings import with_ctes
+from tremorlake.session import cut
 
 KEY = ["site_id"]
 
@@ -84,7 +85,33 @@ def _corr_length(spark, sf):
 
 def _all_to_all(spark, sf):
     e = al.epoch_pair_join(b.dvv_daily(spark, sf), KEY, max_lag=5)
-    return u.all_to_all_reference(e, KEY)
+    return u.all_to_all_reference(e, KEY, reach=5)
+
+
+def _all_to_all_equations(spark, sf):
+    """The equations that define the solution and its covariance: L x = G'Wd, sum 0, and rows of L C = 1 - 1/n."""
+    e = cut(al.epoch_pair_join(b.dvv_daily(spark, sf), KEY, max_lag=5))
+    x = u.all_to_all_reference(e, KEY, reach=5).select(*KEY, "i", "dvv", "sigma", "n_pairs")
+    c = u.all_to_all_covariance(e, KEY, reach=5)
+    both = c.unionByName(c.where("i < j").select(*KEY, F.col("j").alias("i"), F.col("i").alias("j"), "cov"))
+    w = 1 / (F.col("sigma") * F.col("sigma"))
+    sides = e.select(*KEY, "i", "j", w.alias("w"), (w * F.col("rel")).alias("wd"))
+    sides = sides.unionByName(sides.select(*KEY, F.col("j").alias("i"), F.col("i").alias("j"), "w", (-F.col("wd")).alias("wd")))
+    rows = sides.join(x.select(*KEY, F.col("i").alias("j"), F.col("dvv").alias("xj")), [*KEY, "j"]).join(both, [*KEY, "i", "j"])
+    rows = rows.groupBy(*KEY, "i").agg(
+        F.sum("w").alias("w"), F.sum("wd").alias("wd"), F.sum(F.col("w") * F.col("xj")).alias("wx"), F.sum(F.col("w") * F.col("cov")).alias("wc"))
+    rows = rows.join(x, [*KEY, "i"])
+    defect = F.abs(F.col("w") * F.col("dvv") - F.col("wx") - F.col("wd")) / F.col("w")
+    unit = F.col("w") * F.col("sigma") ** 2 - F.col("wc")
+    return rows.groupBy(*KEY).agg(
+        F.count("*").alias("n_epochs"), F.max("n_pairs").alias("n_pairs"), rnd(F.max(defect), 8).alias("defect"), rnd(F.abs(F.sum("dvv")), 8).alias("sum"),
+        rnd(F.min(unit), 8).alias("least_unit"), rnd(F.max(unit), 8).alias("most_unit"))
+
+
+def _all_to_all_chain(spark, sf):
+    """Neighbours only: the solution is a running sum, its covariance that of a random walk."""
+    e = al.epoch_pair_join(b.dvv_daily(spark, sf), KEY, max_lag=1)
+    return u.all_to_all_reference(e, KEY).select(*KEY, "i", rnd(F.col("dvv") * F.pi(), 6).alias("dvv"), rnd(F.col("sigma") * F.pi(), 6).alias("sigma"), "component", "n_pairs")
 
 
 def _gibbs(spark, sf):
@@ -171,7 +198,7 @@ def _depth(spark, sf):
 QUERIES = {
     "ensemble_variance": _ensemble, "choice_floor": _floor, "band_marginal_error": _band_error, "window_model_average": _model_average,
     "error_covariance": _cov, "error_covariance_hourly": _cov_hourly, "methodological_factor": _factor, "methodological_cov": _method_cov, "effective_n": _neff, "single_reference_cov": _single,
-    "corr_length": _corr_length, "all_to_all_reference": _all_to_all, "hierarchical_dvv": _gibbs, "sample_choices": _sample,
+    "corr_length": _corr_length, "all_to_all_reference": _all_to_all, "all_to_all_equations": _all_to_all_equations, "all_to_all_chain": _all_to_all_chain, "hierarchical_dvv": _gibbs, "sample_choices": _sample,
     "flatten_lapse": _flatten, "candidate_windows": _candidates, "rolling_lapse_windows": _rolling, "window_scores": _window_scores,
     "rank_windows": _rank, "lapse_profile": _profile, "kernel_overlap": _overlap, "kernel_matrix": _matrix, "depth_profile": _depth,
 }
@@ -223,6 +250,12 @@ ORACLE = {
         f as (select pair_id, max(lag) as top, (sum(r*r)*sum(r*r*lag*ln(r))-sum(r*r*lag)*sum(r*r*ln(r)))/(sum(r*r)*sum(r*r*lag*lag)-pow(sum(r*r*lag),2)) as s from q group by 1),
         t as (select pair_id, quantile_cont(g,0.5) as dt from (select pair_id, (ts-lag(ts) over (partition by pair_id order by ts))::double as g from (select distinct pair_id, ts from m)) group by 1)
         select pair_id, dt, round(greatest(least(case when s<0 then -dt/s else dt*top end, dt*top),dt),6) as corr_length_days from f join t using(pair_id)"""),
+    "all_to_all_equations": with_ctes("dvv", """, n as (select site_id, count(*) as n from dvv group by 1)
+        select site_id, n as n_epochs, 5*n-15 as n_pairs, 0.0::double as defect, 0.0::double as "sum", round(1-1.0::double/n,8) as least_unit, round(1-1.0::double/n,8) as most_unit from n"""),
+    "all_to_all_chain": with_ctes("dvv", """, d as (select *, row_number() over w - 1 as i, count(*) over (partition by site_id) as n, pow(dvv_err,2)+pow(lag(dvv_err) over w,2) as s2 from dvv window w as (partition by site_id order by ts)),
+        s as (select *, coalesce(sum(s2) over w,0) as sv from d window w as (partition by site_id order by i)),
+        u as (select *, (sum(sv) over w + (n-1-i)*sv)/n as u from s window w as (partition by site_id order by i))
+        select site_id, i, round((dvv-avg(dvv) over (partition by site_id))*pi(),6)+0.0 as dvv, round(sqrt(greatest(sv-2*u+avg(u) over (partition by site_id),0))*pi(),6) as sigma, 0 as component, n-1 as n_pairs from u"""),
     "flatten_lapse": """select l_linenumber, count(t2) as n_valid, round(avg(t2),7) as t2 from (select l_linenumber, case when l_extendedprice/5e3>1 then l_quantity/10+120.0::double/(pi()*(l_linenumber/2.0::double))*ln(l_extendedprice/5e3) end as t2 from lineitem) group by 1""",
     "candidate_windows": "with " + _BD + "," + _CW.format("null,7") + " select site_id, fmin, fmax, st as start_s, end_s, substack_days from cw",
     "rolling_lapse_windows": "with " + _BD + " select site_id, fmin, fmax, 2.0::double+k as start_s, 7.0::double+k as end_s from bd, (select unnest(range(29)) as k)",
