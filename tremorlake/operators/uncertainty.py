@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tremorlake.functions.exprs import clip, weaver_error
 from tremorlake.operators.chain import chain_nodes
+from tremorlake.operators.gibbs import hierarchical_dvv, measurement_covariance  # noqa: F401  (part of this family)
 from tremorlake.operators.scan import (
     exact_quantiles,
     key_stats,
@@ -200,10 +201,6 @@ def corr_length(resid: DataFrame, keys: Sequence[str], *, member: str, value: st
     )
 
 
-def _schema(df: DataFrame, keys: Sequence[str], rest: str) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keys) + ", " + rest
-
-
 def _chain_of(edges: DataFrame, keys: Sequence[str], reach: int | None) -> DataFrame:
     """Epoch rows of the chain with the totals of their component (_n, _x, _u) and key (_ss, n_pairs), in one pass."""
     from pyspark.sql import Window as W
@@ -257,90 +254,6 @@ def all_to_all_covariance(edges: DataFrame, keys: Sequence[str], *, reach: int |
     )
 
 
-def hierarchical_dvv(
-    members: DataFrame, keys: Sequence[str], *, member: str, n_iter: int = 1500, burn: int = 500, thin: int = 2, seed: int = 0
-) -> DataFrame:
-    """Gibbs posterior of the common series, one chain per key.
-
-    Rows: keys, member, t (epoch number), dvv, sigma.  A member may lack epochs; every epoch of any member is kept.
-    mu has a second-difference prior, so its precision is pentadiagonal and the
-    draw is a banded Cholesky.  The seed is a hash of the key.
-    """
-    keys = list(keys)
-    src = members.select(*keys, member, "t", "dvv", "sigma", F.xxhash64(*keys, F.lit(seed)).alias("_seed"))
-
-    names = [*keys, "t", "mu_mean", "mu_lo", "mu_hi", "tau", "s", "within_std", "method_std", "total_std"]
-
-    def band_draw(diag, off1, off2, rhs, z):
-        n = len(diag)
-        l0, l1, l2, y = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
-        for i in range(n):
-            c2 = off2[i - 2] / l0[i - 2] if i > 1 else 0.0
-            c1 = (off1[i - 1] - (c2 * l1[i - 1] if i > 1 else 0.0)) / l0[i - 1] if i else 0.0
-            l2[i], l1[i] = c2, c1
-            l0[i] = math.sqrt(diag[i] - c1 * c1 - c2 * c2)
-            y[i] = (rhs[i] - (c1 * y[i - 1] if i else 0.0) - (c2 * y[i - 2] if i > 1 else 0.0)) / l0[i]
-        x = [0.0] * n
-        for i in range(n - 1, -1, -1):
-            s = y[i] + z[i]
-            if i + 1 < n:
-                s -= l1[i + 1] * x[i + 1]
-            if i + 2 < n:
-                s -= l2[i + 2] * x[i + 2]
-            x[i] = s / l0[i]
-        return np.array(x)
-
-    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(int(pdf["_seed"].iloc[0]) & 0x7FFFFFFFFFFFFFFF)
-        good = pdf[pdf["dvv"].notna() & pdf["sigma"].notna()]
-        wide = good.pivot_table(index=member, columns="t", values="dvv")
-        m = wide.to_numpy()
-        has = np.isfinite(m)  # a missing member has no weight at that epoch
-        v = np.clip(good.pivot_table(index=member, columns="t", values="sigma").to_numpy(), 1e-9, None) ** 2
-        k, n = m.shape
-        if n < 4:
-            return pd.DataFrame(columns=names)
-        within, method = np.nanmean(v, axis=0), np.where(has.sum(0) > 1, pd.DataFrame(m).std(axis=0, ddof=1).to_numpy(), 0.0)
-        mu, tau2 = np.nanmean(m, axis=0), np.nanmean(m, axis=1).var() + 1e-12
-        m, v = np.where(has, m, 0.0), np.where(has, v, np.inf)
-        ones = np.array([1.0, -2.0, 1.0])
-        d0, d1, d2 = np.zeros(n), np.zeros(n - 1), np.zeros(n - 2)
-        for j in range(n - 2):
-            d0[j : j + 3] += ones**2
-            d1[j : j + 2] += -2.0
-            d2[j] += 1.0
-        beta, s2 = np.zeros(k), 1.0
-        lam = 1.0 / (np.diff(mu, 2).var() + 1e-12)
-        kept, taus, ss = [], [], []
-        for it in range(n_iter):
-            w = 1.0 / (s2 * v)
-            rhs = ((m - beta[:, None]) * w).sum(0)
-            mu = band_draw((w.sum(0) + lam * d0).tolist(), (lam * d1).tolist(), (lam * d2).tolist(), rhs.tolist(), rng.standard_normal(n).tolist())
-            prec = 1.0 / tau2 + w.sum(1)
-            beta = ((m - mu) * w).sum(1) / prec + rng.standard_normal(k) / np.sqrt(prec)
-            tau2 = 1.0 / rng.gamma(2.0 + k / 2, 1.0 / (1e-8 + 0.5 * (beta**2).sum()))
-            s2 = 1.0 / rng.gamma(2.0 + has.sum() / 2, 1.0 / (1e-8 + 0.5 * (((m - mu - beta[:, None]) ** 2) / v).sum()))
-            lam = rng.gamma(2.0 + (n - 2) / 2, 1.0 / (1e-10 + 0.5 * (np.diff(mu, 2) ** 2).sum()))
-            if it >= burn and (it - burn) % thin == 0:
-                kept.append(mu)
-                taus.append(tau2)
-                ss.append(s2)
-        draws = np.array(kept)
-        lo, hi = np.percentile(draws, [2.5, 97.5], axis=0)
-        s = math.sqrt(np.mean(ss))
-        out = pd.DataFrame(
-            {"t": wide.columns.to_numpy(), "mu_mean": draws.mean(0), "mu_lo": lo, "mu_hi": hi, "tau": math.sqrt(np.mean(taus)),
-             "s": s, "within_std": s * np.sqrt(within), "method_std": method, "total_std": np.sqrt(s * s * within + method**2)}
-        )
-        for key in keys:
-            out[key] = pdf[key].iloc[0]
-        return out[names]
-
-    return src.groupBy(*keys).applyInPandas(
-        sample, _schema(members, keys, "t bigint, mu_mean double, mu_lo double, mu_hi double, tau double, s double, within_std double, method_std double, total_std double")
-    )
-
-
 def flatten_lapse(t1: Column, freq: Column, qc: Column, snr: Column) -> Column:
     """Lapse at which the coda decays into the noise; NULL for snr <= 1."""
     return F.when((qc > 0) & (snr > 1) & (freq > 0), t1 + qc / (math.pi * freq) * F.log(snr))

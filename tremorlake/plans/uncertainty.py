@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions.exprs import day, rnd
 from tremorlake.operators import align as al
+from tremorlake.operators import gibbs as g
 from tremorlake.operators import uncertainty as u
 from tremorlake.plans import bindings as b
 from tremorlake.plans.bindings import with_ctes
@@ -114,10 +115,21 @@ def _all_to_all_chain(spark, sf):
     return u.all_to_all_reference(e, KEY).select(*KEY, "i", rnd(F.col("dvv") * F.pi(), 6).alias("dvv"), rnd(F.col("sigma") * F.pi(), 6).alias("sigma"), "component", "n_pairs")
 
 
-def _gibbs(spark, sf):
-    m = _members(spark, sf).groupBy("pair_id", "component", F.months_between(F.date_trunc("month", "ts"), F.lit("1995-01-01").cast("timestamp")).cast("long").alias("t")).agg(
+def _posterior(spark, sf):
+    m = _members(spark, sf).groupBy("pair_id", "component", F.datediff("ts", F.lit("1995-01-01")).cast("long").alias("t")).agg(
         F.avg("dvv").alias("dvv"), F.avg("sigma").alias("sigma"))
-    return u.hierarchical_dvv(m, ["pair_id"], member="component", n_iter=300, burn=100)
+    return g.hierarchical_dvv(m, ["pair_id"], member="component")
+
+
+def _gibbs(spark, sf):
+    return _posterior(spark, sf)
+
+
+def _gibbs_cov(spark, sf):
+    """Measurement covariance of the posterior, with the epochs' own rows as a check of its diagonal."""
+    p = cut(_posterior(spark, sf))
+    c = g.measurement_covariance(p, ["pair_id"], tolerance=1e-3)
+    return c.groupBy("pair_id").agg(F.count("*").alias("n_pairs"), F.sum(F.when(F.col("i") == F.col("j"), F.col("cov"))).alias("trace"), F.max("beyond").alias("beyond"))
 
 
 def _sample(spark, sf):
@@ -198,7 +210,7 @@ def _depth(spark, sf):
 QUERIES = {
     "ensemble_variance": _ensemble, "choice_floor": _floor, "band_marginal_error": _band_error, "window_model_average": _model_average,
     "error_covariance": _cov, "error_covariance_hourly": _cov_hourly, "methodological_factor": _factor, "methodological_cov": _method_cov, "effective_n": _neff, "single_reference_cov": _single,
-    "corr_length": _corr_length, "all_to_all_reference": _all_to_all, "all_to_all_equations": _all_to_all_equations, "all_to_all_chain": _all_to_all_chain, "hierarchical_dvv": _gibbs, "sample_choices": _sample,
+    "corr_length": _corr_length, "all_to_all_reference": _all_to_all, "all_to_all_equations": _all_to_all_equations, "all_to_all_chain": _all_to_all_chain, "hierarchical_dvv": _gibbs, "hierarchical_covariance": _gibbs_cov, "sample_choices": _sample,
     "flatten_lapse": _flatten, "candidate_windows": _candidates, "rolling_lapse_windows": _rolling, "window_scores": _window_scores,
     "rank_windows": _rank, "lapse_profile": _profile, "kernel_overlap": _overlap, "kernel_matrix": _matrix, "depth_profile": _depth,
 }
