@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tremorlake.functions.exprs import clip
+from tremorlake.functions.exprs import clip, finite
 from tremorlake.operators import align, forcing
-from tremorlake.operators.regress import INTERCEPT, harmonic_fit, wls_fit
+from tremorlake.operators.regress import INTERCEPT, harmonic_fit, solve_normal
 from tremorlake.operators.scan import (
+    CHUNK_DAYS,
     exact_quantiles,
     halo,
     key_stats,
@@ -353,6 +354,57 @@ def tidal_ratio_summary(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return med.join(mad, list(keys)).select(*keys, "beta_tidal", (1.4826 * F.col("_mad")).alias("sigma"))
 
 
+#: running sums of one side of a split; h is the reservoir, w the weight of a complete row
+_SIDE = ("rows", "h", "n", "bad", "w", "wh", "whh", "wd", "whd", "wdd")
+#: decayed sums over the rows from a split on: power of the decay, term
+_FADED = {"a1": (1, "rows"), "w1": (1, "w"), "h1": (1, "wh"), "d1": (1, "wd"), "w2": (2, "w")}
+
+
+def _split_sums(base: DataFrame, keys: list[str], d: str, sigma: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the sums before them, of their key and, decayed, from them to the end of their chunk; and the decayed
+    sums of all later chunks, one row a chunk."""
+    rate = forcing.BASEFLOW_RATE
+    span = min(CHUNK_DAYS * 86400.0, 30.0 / (2 * rate))
+    reach = math.ceil(745.0 / (rate * span)) + 1
+    rows = forcing.reservoir(base, keys, out="_h")
+    rows = rows.withColumns({"_d": finite(d), "_s": finite(sigma)})
+    full = F.col("_d").isNotNull() & F.col("_s").isNotNull()
+    w = F.when(full & (F.col("_s") > 0), 1.0 / (F.col("_s") * F.col("_s"))).otherwise(0.0)
+    h, dd = F.col("_h"), F.coalesce("_d", F.lit(0.0))
+    terms = {
+        "rows": F.lit(1.0), "h": h, "n": full.cast("double"), "bad": (full & (F.col("_s") <= 0)).cast("double"),
+        "w": w, "wh": w * h, "whh": w * h * h, "wd": w * dd, "whd": w * h * dd, "wdd": w * dd * dd,
+    }
+    t = micros("ts") / 1e6
+    rows = rows.select(*keys, "ts", "_h", t.alias("_t"), *[e.alias(f"_{n}_") for n, e in terms.items()])
+    rows = rows.withColumn("_chunk", F.floor(F.col("_t") / span).cast("long")).withColumn("_age", F.col("_t") - F.col("_chunk") * span)
+    faded = {x: F.col(f"_{c}_") * F.exp(F.lit(-k * rate) * F.col("_age")) for x, (k, c) in _FADED.items()}
+    totals = rows.groupBy(*keys, "_chunk").agg(*[F.sum(e).alias(x) for x, e in faded.items()])
+    later = W.partitionBy(*keys).orderBy(F.col("_chunk").desc()).rangeBetween(-reach, -1)
+    totals = totals.withColumn("_after", F.collect_list(F.struct("_chunk", *_FADED)).over(later))
+
+    def of_later(x: str, k: int) -> Column:
+        fade = lambda p: F.exp(F.lit(-k * rate * span) * (p["_chunk"] - F.col("_chunk")))
+        return F.aggregate("_after", F.lit(0.0), lambda acc, p: acc + p[x] * fade(p))
+
+    carried = [of_later(x, k).alias(f"_later_{x}") for x, (k, _) in _FADED.items()]
+    carried = totals.select(*keys, "_chunk", *carried)
+    rows = key_stats(rows, keys, {f"_all_{c}": F.sum(f"_{c}_") for c in _SIDE})
+    rows = running(rows, keys, ["ts"], {**{f"_to_{c}": ("sum", F.col(f"_{c}_")) for c in _SIDE}, "_last": ("lag", F.struct("_t", "_h"))})
+    rest = W.partitionBy(*keys, "_chunk").orderBy(F.col("ts").desc()).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumns({f"_rest_{x}": F.sum(e).over(rest) for x, e in faded.items()}), carried
+
+
+def _line(s: dict) -> list[Column]:
+    """Normal equations of [1, h less its mean] from the sums of one side."""
+    m = s["h"] / s["rows"]
+    wx = s["wh"] - m * s["w"]
+    return [
+        s["n"].cast("long").alias("n_obs"), F.array(s["w"], wx, s["whh"] - 2 * m * s["wh"] + m * m * s["w"]).alias("xtwx"),
+        F.array(s["wd"], s["whd"] - m * s["wd"]).alias("xtwd"), s["wdd"].alias("dtwd"), F.when(s["bad"] > 0, 0.0).otherwise(1.0).alias("min_sigma"),
+    ]
+
+
 def tier2_split_window(
     rows: DataFrame,
     keys: Sequence[str],
@@ -367,39 +419,55 @@ def tier2_split_window(
 
     ``splits`` (keys, split_ts) are event times, any number of them; without it
     the record is split evenly.  The reservoir restarts on each side.
+
+    The rows are scanned once, whatever the number of splits: the side before a split has the running sums of the normal
+    equations, the side after it the rest. What the reservoir held at the split fades from there on at the known rate, so the restart is
+    the running reservoir less a multiple of that fade, whose sums are decayed sums from the end.
     """
     keys = list(keys)
+    rate = forcing.BASEFLOW_RATE
     base = rows.na.drop(subset=["precipitation", d])
-
-    def slope(df: DataFrame, ids: list[str], name: str) -> DataFrame:
-        h = forcing.reservoir(df, ids, out="_h")
-        h = forcing.centre_column(h, ids, "_h", "p1_dGWL")
-        fit = wls_fit(h, ids, d, [INTERCEPT, "p1_dGWL"], sigma=sigma)
-        return fit.select(
-            *ids, "n_obs", F.col("coef")[1].alias(name), F.sqrt(F.col("cov")[3]).alias(f"{name}_std")
-        )
-
-    pooled = slope(base, keys, "p1").select(*keys, F.col("p1").alias("_pooled"))
     if splits is None:
         ends = base.groupBy(*keys).agg(F.min(micros("ts")).alias("_a"), F.max(micros("ts")).alias("_b"))
         steps = F.array(*[F.lit(k / (n_splits + 1.0)) for k in range(1, n_splits + 1)])
         splits = ends.select(*keys, F.explode(steps).alias("_f"), "_a", "_b").select(
             *keys, F.timestamp_micros((F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).cast("long")).alias("split_ts")
         )
-    sided = base.join(splits.select(*keys, "split_ts"), keys).withColumn(
-        "side", F.when(F.col("ts") < F.col("split_ts"), "pre").otherwise("post")
-    )
-    fits = slope(sided, [*keys, "split_ts", "side"], "p1").where(F.col("n_obs") >= min_samples)
-    pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    summed, carried = _split_sums(base, keys, d, sigma)
+    state = [c for c in summed.columns if c not in (*keys, "ts")]
+    at = align.neighbours(
+        splits.select(*keys, "split_ts"), summed.select(*keys, F.col("ts").alias("split_ts"), F.struct("ts", *state).alias("value")), keys, x="split_ts"
+    )
+    first = F.when(F.col("prev.x") == F.col("split_ts"), F.col("prev.v")).otherwise(F.col("next.v"))  # first row of the side after
+    at = at.select(*keys, "split_ts", first.alias("_r")).where(F.col("_r").isNotNull() & F.col("_r._last").isNotNull())
+    at = at.select(*keys, "split_ts", "_r.*").join(carried, [*keys, "_chunk"])
+    whole = {c: F.col(f"_all_{c}") for c in _SIDE}
+    pre = {c: F.col(f"_to_{c}") - F.col(f"_{c}_") for c in _SIDE}
+    post = {c: whole[c] - pre[c] for c in _SIDE}
+    gap = F.col("_t") - F.col("_last._t")
+    fade = {
+        x: (F.col(f"_rest_{x}") + F.col(f"_later_{x}")) * F.exp(F.lit(k * rate) * (F.col("_age") - gap)) for x, (k, _) in _FADED.items()
+    }
+    held = F.col("_last._h")  # in the reservoir at the last row before the split
+    post |= {
+        "h": post["h"] - held * fade["a1"], "wh": post["wh"] - held * fade["w1"],
+        "whh": post["whh"] - 2 * held * fade["h1"] + held * held * fade["w2"], "whd": post["whd"] - held * fade["d1"],
+    }
+    sides = {"all": whole, "pre": pre, "post": post}
+    lines = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), *_line(s)) for n, s in sides.items()])).alias("_l")
+    fits = solve_normal(at.select(*keys, "split_ts", lines).select(*keys, "split_ts", "_l.*"), [INTERCEPT, "p1_dGWL"])
+    fits = fits.select(*keys, "split_ts", "side", "n_obs", F.col("coef")[1].alias("p1"), F.sqrt(F.col("cov")[3]).alias("p1_std"))
+    pick = lambda side, c: F.max(F.when((F.col("side") == side) & (F.col("n_obs") >= min_samples), F.col(c)))
     per = fits.groupBy(*keys, "split_ts").agg(
-        *[pick(s, c).alias(f"{c}_{s}") for s in ("pre", "post") for c in ("p1", "p1_std", "n_obs")]
+        F.max(F.when(F.col("side") == "all", F.col("p1"))).alias("_pooled"),
+        *[pick(s, c).alias(f"{c}_{s}") for s in ("pre", "post") for c in ("p1", "p1_std", "n_obs")],
     ).where(F.col("p1_pre").isNotNull() & F.col("p1_post").isNotNull())
     denom = F.when(F.abs("_pooled") > 0, F.abs("_pooled")).otherwise(1.0)
     apart = (
         (F.col("p1_pre") + 2 * F.col("p1_std_pre") < F.col("p1_post") - 2 * F.col("p1_std_post"))
         | (F.col("p1_post") + 2 * F.col("p1_std_post") < F.col("p1_pre") - 2 * F.col("p1_std_pre"))
     )
-    return per.join(pooled, keys).select(
+    return per.select(
         *keys, "split_ts", F.col("n_obs_pre").alias("n_pre"), F.col("n_obs_post").alias("n_post"),
         "p1_pre", "p1_post",
         (F.abs(F.col("p1_post") - F.col("p1_pre")) / denom).alias("delta_relative"),

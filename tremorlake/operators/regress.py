@@ -23,6 +23,7 @@ from tremorlake.operators.scan import (
     is_hot,
     key_stats,
     micros,
+    running,
     with_row_index,
 )
 from tremorlake.session import cut
@@ -30,6 +31,7 @@ from tremorlake.session import cut
 INTERCEPT = "a0"
 PHYSICAL_BOUNDS = {"p1_dGWL": (None, 0.0)}
 AIC_GAIN = -4.0
+LAG_BLOCK_DAYS = 400.0
 
 
 def _x(c: str) -> Column:
@@ -290,6 +292,33 @@ def build_design(
     return rows, names, units
 
 
+def _lag_sums(pdf: pd.DataFrame, names: Sequence[str], d: str, sigma: str, lags_us: np.ndarray, span_us: int) -> dict | None:
+    """Normal sums of one block for every lag; rows of earlier blocks only serve the interpolation."""
+    pdf = pdf.sort_values("_t", kind="stable")
+    t, block = pdf["_t"].to_numpy(), int(pdf["_block"].iloc[0])
+    own = (t // span_us == block) & pdf["_full"].to_numpy(bool)
+    if not own.any():
+        return None
+    first, zero = pdf.iloc[0], block * span_us  # the first row brings the sample before it
+    knots, value = t - zero, pdf["_v"].to_numpy()
+    if pd.notna(first["_t0"]):
+        knots, value = np.append(int(first["_t0"]) - zero, knots), np.append(first["_v0"], value)
+    rows = pdf[own]
+    x = np.stack([np.ones(len(rows)) if c == INTERCEPT else np.zeros(len(rows)) if c == "p2_T" else rows[c].to_numpy(float) for c in names], 1)
+    y, s = rows[d].to_numpy(float), rows[sigma].to_numpy(float)
+    w = np.where(s > 0, 1.0 / np.where(s > 0, s, 1.0) ** 2, 0.0)
+    at = t[own][None, :] - zero - lags_us[:, None]
+    lagged = np.interp(at, knots, value)
+    lagged[at < int(first["_start"]) - zero] = 0.0  # before the record
+    k, wx = list(names).index("p2_T"), x * w[:, None]
+    m = np.repeat((x.T @ wx)[None], len(lags_us), 0)
+    b = np.repeat((wx.T @ y)[None], len(lags_us), 0)
+    m[:, k, :] = m[:, :, k] = lagged @ wx
+    m[:, k, k], b[:, k] = (lagged * lagged) @ w, lagged @ (w * y)
+    upper = np.triu_indices(len(names))
+    return {"n_obs": len(rows), "xtwx": m[:, upper[0], upper[1]].ravel(), "xtwd": b.ravel(), "dtwd": float(w @ (y * y)), "min_sigma": float(s.min())}
+
+
 def shift_scan(
     aligned: DataFrame,
     keys: Sequence[str],
@@ -302,22 +331,53 @@ def shift_scan(
 ) -> tuple[DataFrame, DataFrame]:
     """Profile the thermal lag for every key and shift in one pass.
 
-    The temperature series enters the ordered scan once; only the epochs are
-    expanded over the shifts.  Returns (best per key, chi2 curve).
+    Epochs are grouped into time blocks, each with the epochs that its lags reach back to; a block gives the sums of the normal
+    equations of all lags, the blocks' sums are added up per key, and each lag is one small solve. No row is made per
+    epoch and lag, so what is shuffled does not depend on their number.  Returns (best per key, chi2 curve).
     """
     if any(s < 0 or not math.isfinite(s) for s in shifts_days):
         raise ValueError("shifts must be finite and non-negative")
+    keys = list(keys)
     base, names, _ = build_design(aligned, keys, time_shift_days=0.0, **design)
     grid = sorted({float(s) for s in shifts_days})
-    slim = base.select(*keys, "ts", "temperature", d, sigma, *[n for n in names if n not in (INTERCEPT, "p2_T")])
-    lagged = align.self_lag(
-        slim, keys, value="temperature", shifts_days=grid, out="p2_T", shift="shift_days"
-    )
-    full = [*keys, "shift_days"]
-    # the weighted chi2 follows from the sums: no second pass over 201 copies
-    ne = normal_equations(lagged, full, d, names, sigma)
+    lags_us = np.array([int(s * align.DAY_US) for s in grid], np.int64)
+    reach_us = int(lags_us[-1])
+    span_us = max(2 * reach_us, int(LAG_BLOCK_DAYS * align.DAY_US))
+    others = [n for n in names if n not in (INTERCEPT, "p2_T")]
+    used = [d, sigma, *others]
+    rows = base.withColumns({c: finite(c) for c in used})
+    full = F.lit(True)
+    for c in used:
+        full = full & F.col(c).isNotNull()
+    rows = rows.select(*keys, *used, micros("ts").alias("_t"), "temperature", full.alias("_full"))
+    rows = key_stats(rows, keys, {"_mu": F.avg("temperature"), "_start": F.min("_t")}, salt_on=["_t"])
+    rows = rows.withColumn("_v", F.col("temperature") - F.col("_mu")).drop("temperature", "_mu")
+    before = running(rows, keys, ["_t"], {"_p": ("lag", F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))}, chunk=F.floor(F.col("_t") / span_us))
+    home = lambda c: F.floor(c / span_us).cast("long")
+    spread = before.select("*", F.col("_p.t").alias("_t0"), F.col("_p.v").alias("_v0"), F.explode(F.sequence(home(F.col("_t")), home(F.col("_t") + reach_us))).alias("_block")).drop("_p")
+    kinds = {f.name: f.dataType.simpleString() for f in base.schema}
+    head = "".join(f"{k} {kinds[k]}, " for k in keys)
+    sums = "n_obs long, xtwx array<double>, xtwd array<double>, dtwd double, min_sigma double"
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = _lag_sums(pdf, names, d, sigma, lags_us, span_us)
+        cols = [*keys, "n_obs", "xtwx", "xtwd", "dtwd", "min_sigma"]
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **part}] if part else [], columns=cols)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = {c: pdf[c].sum() for c in ("n_obs", "dtwd")} | {c: np.sum(np.stack(pdf[c].to_numpy()), axis=0) for c in ("xtwx", "xtwd")}
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **total, "min_sigma": pdf["min_sigma"].min()}])
+
+    parts = spread.groupBy(*keys, "_block").applyInPandas(block, head + sums)
+    merged = parts.groupBy(*keys).applyInPandas(merge, head + sums)
+    p = len(names)
+    tri = p * (p + 1) // 2
+    lags = F.posexplode(F.array(*[F.lit(s) for s in grid])).alias("_k", "shift_days")
+    piece = lambda c, width: F.slice(c, F.col("_k") * width + 1, F.lit(width)).alias(c)
+    ne = merged.select("*", lags).select(*keys, "shift_days", "n_obs", piece("xtwx", tri), piece("xtwd", p), "dtwd", "min_sigma")
+    # the weighted chi2 follows from the sums: no second pass over the epochs
     fit = solve_normal(ne, names, bounds=bounds, keep_sums=True)
-    p, pos = len(names), 0
+    pos = 0
     quad = F.lit(0.0)
     for i in range(p):
         for j in range(i, p):
