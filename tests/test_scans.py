@@ -99,3 +99,41 @@ def test_split_windows_equal_two_fits_per_split(spark):
             assert r.delta_relative == pytest.approx(abs(q - p) / abs(fit["all"][0]), rel=1e-5)
             assert r.non_overlap_2sigma == (p + 2 * ps < q - 2 * qs or q + 2 * qs < p - 2 * ps)
     assert n > 40
+
+
+def test_exponentials_meet_the_kernel_within_the_bound():
+    from tremorlake.functions.special import exp1_array
+    from tremorlake.operators.forcing import healing_nodes
+
+    for lo, hi, tol in ((86400.0, 30 * 365.25 * 86400, 1e-10), (3600.0, 86400.0, 1e-12), (1.0, 1e9, 1e-6)):
+        tau, w = healing_nodes(lo, hi, tol)
+        t = np.random.default_rng(1).uniform(np.log(lo / 50), np.log(hi * 100), 5000)
+        exact = exp1_array(np.exp(t) / hi) - exp1_array(np.exp(t) / lo)
+        assert np.abs(np.exp(-np.exp(t)[:, None] / tau) @ w - exact).max() < 3 * tol * np.log(hi / lo)
+        assert len(tau) < 150
+
+
+def test_total_healing_equals_the_sum_over_events(spark):
+    from pyspark.sql import functions as F
+
+    from tremorlake.operators import forcing
+
+    rng = np.random.default_rng(2)
+    t0 = pd.Timestamp("2001-01-01")
+    epochs = pd.DataFrame([(s, t0 + pd.Timedelta(int(d), "D"), 1) for s in ("a", "b", "c") for d in rng.choice(3000, 400, replace=False)], columns=["site_id", "ts", "other"])
+    ev = [(s, i, t0 + pd.Timedelta(int(rng.integers(-400, 3100)) * 24 + int(rng.choice([0, 5])), "h"), float(rng.uniform(0, 2))) for s in ("a", "b", None) for i in range(200)]
+    events = spark.createDataFrame(pd.DataFrame(ev, columns=["site_id", "event_id", "ts", "m"]))
+    rows = spark.createDataFrame(epochs)
+    long = forcing.healing(rows, events.drop("m"), KEY).groupBy("site_id", "ts").agg(F.sum("healing").alias("want")).toPandas()
+    got = forcing.healing_total(rows, events, KEY).toPandas().merge(long, on=["site_id", "ts"], how="left").fillna({"want": 0.0})
+    assert len(got) == len(epochs) and np.abs(got.healing - got.want).max() < 1e-8
+    assert (got[got.site_id == "c"].n_events == 0).all() and got.other.eq(1).all()
+    counts = [sum(1 for e in ev if e[0] == r.site_id and e[2] <= r.ts) for r in got.itertuples()]
+    assert got.n_events.tolist() == counts
+    heavy = forcing.healing(rows, events, KEY).join(events.select("site_id", "event_id", "m"), ["site_id", "event_id"])
+    want = heavy.groupBy("site_id", "ts").agg(F.sum(F.col("healing") * F.col("m")).alias("want")).toPandas()
+    got = forcing.healing_total(rows, events, KEY, amplitude="m").toPandas().merge(want, on=["site_id", "ts"])
+    assert np.abs(got.healing - got.want).max() < 1e-8
+    assert forcing.healing_total(rows, events.limit(0), KEY).agg(F.max("healing")).first()[0] == 0.0
+    short = forcing.healing_total(rows, events, KEY, tau_min_s=600.0, tau_max_s=5e6).toPandas()
+    assert np.isfinite(short.healing).all()

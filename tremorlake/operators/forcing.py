@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from tremorlake.functions.exprs import GRAVITY, WATER_RHO
-from tremorlake.functions.special import erf_udf, exp1_udf
+from tremorlake.functions.special import erf_array, erf_udf, exp1_array, exp1_udf
 from tremorlake.operators.align import self_lag
 from tremorlake.operators.scan import CHUNK_DAYS, DAY_US, halo, is_hot, key_stats, micros, running, with_row_index
 from tremorlake.session import cut
@@ -226,9 +228,6 @@ def thermo_diffuse(
 
     Linear in the record, so it is an FFT per key over at most one value per day.
     """
-    import numpy as np
-    import pandas as pd
-
     keys = list(keys)
     schema = ", ".join(
         f"{f.name} {f.dataType.simpleString()}" for f in grid.schema if f.name in keys
@@ -272,9 +271,6 @@ def pressure_convolve(
     The load is the departure from the record mean; today's load and yesterday's
     share one kernel value, and the first day is 0.
     """
-    import numpy as np
-    import pandas as pd
-
     keys = list(keys)
     schema = ", ".join(
         f"{f.name} {f.dataType.simpleString()}" for f in grid.schema if f.name in keys
@@ -286,7 +282,7 @@ def pressure_convolve(
         load = WATER_RHO * GRAVITY * (pdf["value"].to_numpy() - pdf["value"].mean())
         n = len(load)
         lag_s = 86400.0 * np.maximum(np.arange(n), 1)
-        e = np.array([math.erf(a) for a in depth_m / np.sqrt(4.0 * diffusivity_m2_s * lag_s)])
+        e = erf_array(depth_m / np.sqrt(4.0 * diffusivity_m2_s * lag_s))
         kernel = undrained * e + (1.0 - e)
         size = 1 << (2 * n - 1).bit_length()
         full = np.fft.irfft(np.fft.rfft(load, size) * np.fft.rfft(kernel, size), size)[:n]
@@ -322,6 +318,108 @@ def healing(
     return pairs.select(*keys, "ts", "event_id", (amplitude * column).alias("healing"))
 
 
+def healing_nodes(tau_min_s: float, tau_max_s: float, tolerance: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """(relaxation times, weights): exponentials whose sum is E1(t / tau_max) - E1(t / tau_min), within ``tolerance``.
+
+    The kernel is the integral of exp(-t / tau) over log tau, so Gauss-Legendre nodes in log tau do; their
+    number grows until the error, over times from a hundredth of tau_min to a thousand tau_max, is small enough.
+    """
+    lo, hi = math.log(tau_min_s), math.log(tau_max_s)
+    t = np.concatenate([[0.0], np.geomspace(tau_min_s / 100, tau_max_s * 1000, 4000)])
+    exact = np.append(hi - lo, exp1_array(t[1:] / tau_max_s) - exp1_array(t[1:] / tau_min_s))
+    n = 8
+    while True:
+        x, w = np.polynomial.legendre.leggauss(n)
+        tau, weight = np.exp(lo + (x + 1) * (hi - lo) / 2), w * (hi - lo) / 2
+        with np.errstate(under="ignore"):
+            error = np.abs(np.exp(-t[:, None] / tau) @ weight - exact).max()
+        if error <= tolerance * (hi - lo):
+            return tau, weight
+        if n > 512:
+            raise ValueError("tolerance too small")
+        n += 4
+
+
+def healing_total(
+    epochs: DataFrame,
+    events: DataFrame,
+    keys: Sequence[str],
+    *,
+    tau_min_s: float = 86400.0,
+    tau_max_s: float = 30.0 * YEAR_S,
+    amplitude: str | None = None,
+    tolerance: float = 1e-10,
+    chunk_days: float = 30.0,
+) -> DataFrame:
+    """Healing of all events together: ``epochs`` with n_events (so far) and healing, for any number of events.
+
+    Events of earlier time chunks enter through one decayed sum for each of the kernel's exponentials, events of an epoch's own
+    chunk exactly. So work follows epochs plus events (times the chunk), not their product. ``amplitude``
+    names a column of ``events`` that weighs them (null: 1). Rows without time take no part; an epoch before all events has 0.
+    An event less than a second before an epoch counts as one second old only inside a chunk.
+    """
+    if not 0 < tau_min_s < tau_max_s:
+        raise ValueError("need 0 < tau_min_s < tau_max_s")
+    keys = list(keys)
+    tau, weight = healing_nodes(tau_min_s, tau_max_s, tolerance)
+    scale, span_us = -1.0 / math.log(tau_max_s / tau_min_s), int(chunk_days * DAY_US)
+    gain = F.lit(1.0) if amplitude is None else F.coalesce(F.col(amplitude).cast("double"), F.lit(1.0))
+    ev = events.where(F.col("ts").isNotNull()).select(*keys, micros("ts").alias("_t"), gain.alias("_a"))
+    ev = ev.withColumn("_chunk", F.floor(F.col("_t") / span_us).cast("long"))
+    left = ((F.col("_chunk") + 1) * span_us - F.col("_t")) / 1e6  # seconds to the chunk's end
+    held = ev.groupBy(*keys, "_chunk").agg(
+        F.count("*").alias("_n"), F.array(*[F.sum(F.col("_a") * F.exp(-left / float(x))) for x in tau]).alias("_s")
+    )
+    rows = epochs.withColumn("_t", micros("ts")).withColumn("_chunk", F.floor(F.col("_t") / span_us).cast("long"))
+    asked = rows.select(*keys, "_chunk").where(F.col("_chunk").isNotNull()).distinct()
+    marks = held.unionByName(asked.select(*keys, "_chunk", F.lit(0).cast("long").alias("_n"), F.lit(None).cast("array<double>").alias("_s")))
+    kinds = {f.name: f.dataType.simpleString() for f in epochs.schema}
+    head = "".join(f"{k} {kinds[k]}, " for k in keys)
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What earlier chunks hold at each chunk's start; a key has one row per chunk of events."""
+        state, last, seen, at, out = np.zeros(len(tau)), np.zeros(len(tau)), 0, None, []
+        for chunk, part in pdf.groupby("_chunk", sort=True):
+            if at is not None:  # what the chunk before held at its start, and its own events from its end
+                with np.errstate(under="ignore"):
+                    state = state * np.exp(-(chunk - at) * span_us / 1e6 / tau) + last * np.exp(-(chunk - at - 1) * span_us / 1e6 / tau)
+            out.append((chunk, seen, state))
+            own = [np.asarray(s) for s in part["_s"] if s is not None]
+            last, at = np.sum(own, axis=0) if own else np.zeros(len(tau)), chunk
+            seen += int(part["_n"].sum())
+        res = pd.DataFrame(out, columns=["_chunk", "_seen", "_state"])
+        for k in keys:
+            res[k] = pdf[k].iloc[0]
+        return res[[*keys, "_chunk", "_seen", "_state"]]
+
+    carried = marks.groupBy(*keys).applyInPandas(carry, f"{head}_chunk long, _seen long, _state array<double>")
+    same = F.col("r._chunk") == F.col("c._chunk")
+    for k in keys:
+        same &= F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}"))
+    rows = rows.alias("r").join(carried.alias("c"), same, "left").select("r.*", "_seen", "_state")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in epochs.schema) + ", n_events long, healing double"
+    names = [*epochs.columns, "n_events", "healing"]
+
+    def near(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        t, total, count = pdf["_t"].to_numpy(), np.zeros(len(pdf)), np.zeros(len(pdf), np.int64)
+        if len(pdf) and pdf["_state"].iloc[0] is not None and pdf["_t"].notna().all():
+            age = (t - int(pdf["_chunk"].iloc[0]) * span_us) / 1e6
+            with np.errstate(under="ignore"):
+                total += np.exp(-age[:, None] / tau) @ (weight * np.asarray(pdf["_state"].iloc[0]))
+            count += int(pdf["_seen"].iloc[0])
+            total *= scale
+            for i in range(0, len(own), 4096):
+                e = own.iloc[i : i + 4096]
+                dt = (t[:, None] - e["_t"].to_numpy()[None, :]) / 1e6
+                late = np.maximum(dt, 1.0)
+                kernel = np.where(dt < 0, 0.0, np.where(dt == 0, 1.0, scale * (exp1_array(late / tau_max_s) - exp1_array(late / tau_min_s))))
+                total += kernel @ e["_a"].to_numpy()
+                count += (dt >= 0).sum(1)
+        return pdf.assign(n_events=count, healing=total)[names]
+
+    return rows.groupBy(*keys, "_chunk").cogroup(ev.groupBy(*keys, "_chunk")).applyInPandas(near, schema)
+
+
 def surface_load(
     height_m: Column, *, beta: float = 1.0, bulk_modulus_gpa: Column | float = 5.0, rho: float = WATER_RHO
 ) -> Column:

@@ -58,6 +58,13 @@ def _healing(spark, sf):
     return out.groupBy("site_id", day()).agg(F.sum("healing").alias("healing"), F.count("*").alias("n_events"))
 
 
+def _healing_total(spark, sf):
+    """Every event of the catalog, weighed by its magnitude."""
+    ev = b.quakes(spark, sf).withColumn("gain", F.pow(10.0, F.col("magnitude") - 5.0))
+    out = f.healing_total(b.dvv_daily(spark, sf).select("site_id", "ts"), ev, KEY, amplitude="gain")
+    return out.select("site_id", day(), "n_events", "healing")
+
+
 def _load(spark, sf):
     out = b.forcing_long(spark, sf).where(F.col("channel") == "precipitation")
     x = f.surface_load(F.col("value"), beta=250.0, bulk_modulus_gpa=5.0)
@@ -266,6 +273,7 @@ QUERIES = {
     "pressure_step": _pressure_step,
     "pressure_convolve": _convolve,
     "healing": _healing,
+    "healing_total": _healing_total,
     "surface_load": _load,
     "water_retention": _retention,
     "build_design": _build_design,
