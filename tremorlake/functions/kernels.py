@@ -70,6 +70,8 @@ def cc_image(cur, ref, t, window, eps, branch="both") -> np.ndarray:
     """Coherence [n_epoch, n_eps] of the window with the stretched references."""
     sel = window_index(t, window, branch)
     c = unit(cur[:, sel])
+    if np.ndim(ref) == 1:  # one reference for all epochs
+        return c @ np.stack([unit(_stretched(ref, t, sel, e)) for e in eps], axis=1)
     return np.stack([(c * unit(_stretched(ref, t, sel, e))).sum(-1) for e in eps], axis=1)
 
 

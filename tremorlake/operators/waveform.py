@@ -12,6 +12,8 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tremorlake.functions import kernels
@@ -23,6 +25,7 @@ CHUNK = 64
 REF_DAYS = 45
 BLOCK_DAYS = 7
 MAX_BLOCK_LAG = 10
+SUM_VALUES = 4_000_000  # samples of vector sums that a task holds before it passes them on
 KEYS = ("pair_id", "component")
 
 
@@ -34,14 +37,72 @@ def _key_schema(df: DataFrame, keys: Sequence[str], rest: str) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keys) + ", " + rest
 
 
+def _partial_sums(batch: pa.RecordBatch, keys: Sequence[str], held: dict) -> None:
+    """Add a batch's waveforms to the sums per key; waveforms of different lengths are kept apart."""
+    waves = batch.column("ccf")
+    length = pc.fill_null(pc.list_value_length(waves), 0).to_numpy(zero_copy_only=False)
+    ids = {f"k{i}": batch.column(k).to_pandas() for i, k in enumerate(keys)}
+    for at in pd.DataFrame({**ids, "n": length}).groupby([*ids, "n"], dropna=False, sort=False).indices.values():
+        n = int(length[at[0]])
+        if n == 0:
+            continue
+        rows = pa.array(at)
+        flat = waves.take(rows).flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+        seen = np.full(n, len(at), np.int64)
+        if flat.null_count:
+            absent = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, n)
+            x, seen = np.where(absent, 0.0, x), seen - absent.sum(0)
+        first = batch.select(list(keys)).take(pa.array([at[0]]))
+        name = (*(repr(v) for v in first.to_pylist()[0].values()), n)
+        if name in held:
+            held[name][1] += x.sum(0)
+            held[name][2] += seen
+            held[name][3] += len(at)
+        else:
+            held[name] = [first, x.sum(0), seen, len(at)]
+
+
+def _sum_batch(held: dict, keys: Sequence[str]) -> pa.RecordBatch:
+    cols = {k: pa.concat_arrays([h[0].column(k) for h in held.values()]) for k in keys}
+    cols["s"] = pa.array([h[1] for h in held.values()], pa.list_(pa.float64()))
+    cols["c"] = pa.array([h[2] for h in held.values()], pa.list_(pa.int64()))
+    cols["n"] = pa.array([h[3] for h in held.values()], pa.int64())
+    held.clear()
+    return pa.RecordBatch.from_pydict(cols)
+
+
 def elementwise_mean(df: DataFrame, keys: Sequence[str], *, ccf: str = "ccf") -> DataFrame:
-    """Mean waveform per key; partial sums per (key, lag) combine map-side."""
-    flat = df.select(*keys, F.posexplode(ccf).alias("_lag", "_v"))
-    means = flat.groupBy(*keys, "_lag").agg(F.avg(F.col("_v").cast("double")).alias("_m"), F.count("*").alias("_n"))
-    return means.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_lag", "_m"))), lambda x: x["_m"]).alias("ccf"),
-        F.max("_n").alias("n_epochs"),
-    )
+    """Mean waveform per key (keys, ccf, n_epochs).
+
+    Every task adds up the waveforms of each key as vectors, and only those sums are shuffled and merged. Null
+    samples are left out of the mean; a null or empty waveform does not count.
+    """
+    keys = list(keys)
+    head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.schema if f.name in keys)
+
+    def add(batches):
+        held: dict = {}
+        for batch in batches:
+            _partial_sums(batch, keys, held)
+            if sum(len(h[1]) for h in held.values()) > SUM_VALUES:
+                yield _sum_batch(held, keys)
+        if held:
+            yield _sum_batch(held, keys)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = max(map(len, pdf["s"]))
+        total, seen, epochs = np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for s, c, n in zip(pdf["s"], pdf["c"], pdf["n"]):
+            total[: len(s)] += s
+            seen[: len(s)] += c
+            epochs[: len(s)] += n
+        mean = [float(t) / int(c) if c else None for t, c in zip(total, seen)]
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "ccf": mean, "n_epochs": int(epochs.max())}])
+
+    order = [f.name for f in df.schema if f.name in keys]
+    sums = df.select(*order, F.col(ccf).alias("ccf")).mapInArrow(add, f"{head}s array<double>, c array<long>, n long")
+    return sums.groupBy(*keys).applyInPandas(merge, f"{head}ccf array<double>, n_epochs long").select(*keys, "ccf", "n_epochs")
 
 
 def fixed_reference(ccf: DataFrame, keys: Sequence[str] = KEYS, *, fraction: float = 0.6) -> DataFrame:
@@ -127,37 +188,33 @@ def cc_image(
     ccf: DataFrame, reference: DataFrame, keys: Sequence[str] = KEYS, *, fs: float, t0: float,
     window: tuple[float, float], eps_max: float = 0.06, n_eps: int = 161, branch: str = "both",
 ) -> DataFrame:
-    """Coherence image per epoch as an array over the stretch grid, in JVM expressions.
+    """Coherence image per epoch as an array over the stretch grid.
 
-    The bank of stretched, normalised references is built once per key and
-    joined; waveforms are taken as already band-passed.
+    Epochs come in chunks with their reference as one extra row; the bank of stretched, normalised references is made
+    once a chunk and one matrix product gives the chunk's image. Waveforms are taken as already band-passed; an epoch without
+    waveform has a null image, a key without reference no rows.
     """
-    n_lag = F.size("ccf")
-    eps = [-eps_max + 2 * eps_max * i / (n_eps - 1) for i in range(n_eps)]
-    t_of = lambda k: t0 + k / fs
-    lag = {"both": F.abs, "causal": lambda t: t, "acausal": lambda t: -t}[branch]
-    picked = F.filter(
-        F.sequence(F.lit(0), n_lag - 1), lambda k: (lag(t_of(k)) >= window[0]) & (lag(t_of(k)) <= window[1])
-    )
-
-    def trial(e: float) -> Column:
-        def read(k):
-            pos = F.greatest(F.least((t_of(k) / (1.0 + e) - t0) * fs, (n_lag - 1).cast("double")), F.lit(0.0))
-            j = F.least(F.floor(pos), n_lag - 2).cast("int")
-            w = pos - j
-            return F.get("ccf", j) * (1 - w) + F.get("ccf", j + 1) * w
-
-        return F.transform(F.col("_sel"), read)
-
-    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)) + 1e-12
-    bank = reference.withColumn("_sel", picked).select(*keys, "_sel", F.array(*[trial(e) for e in eps]).alias("_bank"))
-    bank = bank.withColumn("_bank", F.transform("_bank", lambda r: F.struct(r.alias("r"), norm(r).alias("n"))))
-    rows = attach(ccf.select(*keys, "day", "ccf"), bank, keys, ["day"], hot=True)
-    cur = F.transform("_sel", lambda k: F.get("ccf", k).cast("double"))
-    rows = rows.withColumn("_cur", cur).withColumn("_norm", norm(F.col("_cur")))
-    dot = lambda r: F.aggregate(F.zip_with("_cur", r, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    image = F.transform("_bank", lambda b: dot(b["r"]) / (F.col("_norm") * b["n"]))
-    return rows.select(*keys, "day", image.alias("cc"))
+    keys = list(keys)
+    chunk = F.floor(F.col("day") / CHUNK).cast("long").alias("_chunk")
+    rows = ccf.select(*keys, "day", F.col("ccf").cast("array<double>"), chunk)
+    refs = rows.select(*keys, "_chunk").distinct().join(reference.select(*keys, F.col("ccf").cast("array<double>")), keys)
+    both = rows.withColumn("_ref", F.lit(False)).unionByName(refs.select(*keys, F.lit(None).cast("long").alias("day"), "ccf", "_chunk", F.lit(True).alias("_ref")))
+    eps = np.linspace(-eps_max, eps_max, n_eps)
+
+    def image(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_ref = pdf["_ref"].to_numpy(bool)
+        ref, waves = pdf.loc[is_ref, "ccf"], pdf[~is_ref]
+        out = waves[[*keys, "day"]].assign(cc=pd.Series([None] * len(waves), waves.index, dtype=object))
+        if not len(ref) or ref.iloc[0] is None:
+            return out.iloc[:0]
+        have = waves["ccf"].notna()
+        if have.any():
+            r = np.asarray(ref.iloc[0], float)
+            cc = kernels.cc_image(np.stack(waves.loc[have, "ccf"].to_numpy()), r, _axis(len(r), fs, t0), window, eps, branch)
+            out.loc[have, "cc"] = pd.Series(list(cc), out.index[have], dtype=object)
+        return out
+
+    return both.groupBy(*keys, "_chunk").applyInPandas(image, _key_schema(ccf, keys, "day bigint, cc array<double>"))
 
 
 def peak_eps(image: DataFrame, keys: Sequence[str] = KEYS, *, eps_max: float = 0.06, n_eps: int = 161) -> DataFrame:
@@ -179,7 +236,7 @@ def _measure_chunk(pdf: pd.DataFrame, keys: list[str], fs: float, t0: float, ref
     The band-pass is linear, so a moving reference of filtered stacks is the filtered reference.
     """
     chunk = int(pdf["_chunk"].iloc[0])
-    fixed = pdf.loc[pdf["day"] < 0, "ccf"]
+    fixed = pdf.loc[pdf["day"] == -1, "ccf"]
     ref = None if fixed.empty else np.asarray(fixed.iloc[0], float)
     rows = pdf[pdf["day"] >= 0].sort_values("day")
     day = rows["day"].to_numpy()
@@ -283,12 +340,15 @@ def measure_dvv(
     ref_rows = fixed.join(chunks, keys).select(*keys, F.lit(-1).cast("long").alias("day"), "ccf", "_chunk")
     both = rows.withColumn("ccf", F.col("ccf").cast("array<double>")).unionByName(ref_rows)
 
-    if grids is not None:
-        both = both.join(grids, keys[0])
+    if grids is not None:  # the grid too is one row a chunk
+        cfg_rows = chunks.join(grids, keys[0]).select(*keys, F.lit(-2).cast("long").alias("day"), "_chunk", "_cfg")
+        both = both.unionByName(cfg_rows, allowMissingColumns=True)
     schema = _key_schema(ccf, keys, RESULT)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cfgs = shared if shared is not None else json.loads(pdf["_cfg"].iloc[0])
+        cfgs = shared
+        if cfgs is None:
+            cfgs = [c for text in pdf.loc[pdf["day"] == -2, "_cfg"] for c in json.loads(text)]
         chunk = int(pdf["_chunk"].iloc[0])
         cfgs = [c for c in cfgs if c["reference"] != "inversion"]
         if not cfgs or not ((pdf["day"] >= 0) & (pdf["day"] // size == chunk)).any():
@@ -304,7 +364,8 @@ def measure_dvv(
             .agg(F.collect_list(F.col("config_index").cast("long")).alias("cells"))
             .groupBy(keys[0]).agg(F.collect_list(F.struct("blo", "bhi", "t1", "t2", "cells")).alias("_inv"))
         )
-        joint = _inversions(base.join(cells, keys[0]), keys, fs, t0)
+        asked = base.join(cells.select(keys[0]), keys[0], "left_semi")
+        joint = _inversions(asked, asked.select(*keys).distinct().join(cells, keys[0]), keys, fs, t0)
     else:
         spots: dict = {}
         for c in shared:
@@ -312,7 +373,7 @@ def measure_dvv(
                 spots.setdefault((*map(float, c["band"]), *map(float, c["window"])), []).append(int(c["config_index"]))
         if not spots:
             return out
-        joint = _inversions(base.withColumn("_inv", _inversion_list(spots)), keys, fs, t0)
+        joint = _inversions(base, base.select(*keys).distinct().withColumn("_inv", _inversion_list(spots)), keys, fs, t0)
     return out.unionByName(joint.select(
         *keys, "config_index", "day", "dvv", F.lit(None).cast("double").alias("cc"),
         F.col("dvv").isNotNull().alias("valid"), F.lit(None).cast("string").alias("error"),
@@ -334,12 +395,12 @@ def joint_inversion(
 ) -> DataFrame:
     """Continuous series (keys, day, dvv) from weekly stacks measured against each other."""
     spots = {(*map(float, band), *map(float, window)): [0]}
-    rows = ccf.select(*keys, "day", "ccf").withColumn("_inv", _inversion_list(spots))
-    return _inversions(rows, list(keys), fs, t0, smooth).drop("config_index")
+    specs = ccf.select(*keys).distinct().withColumn("_inv", _inversion_list(spots))
+    return _inversions(ccf.select(*keys, "day", "ccf"), specs, list(keys), fs, t0, smooth).drop("config_index")
 
 
-def _inversions(ccf: DataFrame, keys: list[str], fs: float, t0: float, smooth: float = 5.0) -> DataFrame:
-    """All (band, window) inversions of every key; ``_inv`` lists them with their cells.
+def _inversions(ccf: DataFrame, specs: DataFrame, keys: list[str], fs: float, t0: float, smooth: float = 5.0) -> DataFrame:
+    """All (band, window) inversions of every key; ``specs`` (keys, _inv) lists them with their cells.
 
     Edges (block i against block j, up to ten blocks apart) are measured in
     chunks of blocks; the banded system is solved block by block (``chain``); the search
@@ -347,7 +408,6 @@ def _inversions(ccf: DataFrame, keys: list[str], fs: float, t0: float, smooth: f
     """
     plain = keys
     days = ccf.groupBy(*plain).agg(F.count("*").alias("_n"))
-    specs = ccf.groupBy(*plain).agg(F.first("_inv").alias("_inv"))
     blocks = block_stack(ccf, plain).join(specs, plain).select(
         *plain, "block", "ccf", F.posexplode("_inv").alias("spot", "_s")
     ).select(*plain, "spot", "block", "ccf", "_s.blo", "_s.bhi", "_s.t1", "_s.t2")
