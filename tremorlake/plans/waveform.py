@@ -44,7 +44,7 @@ def _bandpass(spark, sf):
 
 def _image(spark, sf):
     c = cut(b.ccf(spark, sf))
-    return w.cc_image(c, w.fixed_reference(c, K), K, fs=FS, t0=T0, window=WIN, n_eps=9)
+    return w.cc_image(c, w.fixed_reference(c, K), K, fs=FS, t0=T0, window=WIN)
 
 
 def _cc_image(spark, sf):
@@ -53,12 +53,12 @@ def _cc_image(spark, sf):
 
 
 def _peak(spark, sf):
-    return w.peak_eps(_image(spark, sf), K, n_eps=9).select("pair_id", "day", *[rnd(c, 8).alias(c) for c in ("eps", "dvv", "cc")])
+    return w.peak_eps(_image(spark, sf), K).select("pair_id", "day", *[rnd(c, 8).alias(c) for c in ("eps", "dvv", "cc")])
 
 
 def _image_average(spark, sf):
     long = _image(spark, sf).select("pair_id", F.col("day").alias("_d"), F.posexplode("cc").alias("eps_idx", "cc"))
-    long = long.select("pair_id", F.floor(F.col("_d") / 6).alias("ts"), F.col("eps_idx").cast("long").alias("eps_idx"), (F.col("eps_idx") * 0.015 - 0.06).alias("eps"), "cc")
+    long = long.select("pair_id", F.floor(F.col("_d") / 6).alias("ts"), F.col("eps_idx").cast("long").alias("eps_idx"), (F.col("eps_idx") * 0.00075 - 0.06).alias("eps"), "cc")
     return cb.image_average(long, ["pair_id", "ts"]).select("pair_id", "ts", "eps_idx", rnd("cc", 8).alias("cc"))
 
 
@@ -152,7 +152,7 @@ QUERIES = {
 _LONG = "lg as materialized (select pair_id, day, unnest(ccf)::double as v, unnest(range(64)) as k from ccf)"
 _OUT = "round(sqrt(sum(v*v)),8) as norm, round(max(case when k=0 then v end),9)+0.0 as \"first\", round(max(case when k=63 then v end),9)+0.0 as \"last\""
 _FX = "fx as materialized (select pair_id, k, avg(v) as v from lg join (select pair_id, count(*) as n from ccf group by 1) using(pair_id) where day<floor(0.6*n) group by 1,2)"
-_IM = _LONG + "," + _FX + """, ep as (select e, -0.06::double+0.015::double*e as eps from (select unnest(range(9)) as e)),
+_IM = _LONG + "," + _FX + """, ep as (select e, -0.06::double+0.12::double*e/160 as eps from (select unnest(range(161)) as e)),
   ps as (select k, e, least(greatest((k-32.0::double)/(1+eps)+32,0.0::double),63.0::double) as pos from (select unnest(range(64)) as k), ep where abs(k-32) between 4 and 28),
   tr as materialized (select a.pair_id, ps.e, ps.k, a.v*(1-(pos-least(floor(pos),62)))+c.v*(pos-least(floor(pos),62)) as r from ps join fx a on a.k=least(floor(pos),62) join fx c on c.k=least(floor(pos),62)+1 and c.pair_id=a.pair_id),
   im as materialized (select lg.pair_id, lg.day, e, sum(v*r)/((sqrt(sum(v*v))+1e-12)*(sqrt(sum(r*r))+1e-12)) as cc from lg join tr on tr.pair_id=lg.pair_id and tr.k=lg.k group by 1,2,3)"""
@@ -202,7 +202,7 @@ ORACLE = {
     "block_stack": with_ctes("ccf", f"select pair_id, block, {_OUT} from (select pair_id, day//7 as block, k, avg(v) as v from lg group by 1,2,3 having count(*)=7) group by 1,2", _LONG),
     "cc_image": with_ctes("ccf", "select pair_id, day, e as eps_idx, round(cc,8)+0.0 as cc from im", _IM),
     "peak_eps": with_ctes("ccf", """, bb as (select pair_id, day, arg_max(e,cc) as i, max(cc) as b from im group by 1,2), ac as (select bb.*, x.cc as a, y.cc as c from bb left join im x on x.pair_id=bb.pair_id and x.day=bb.day and x.e=i-1
-        left join im y on y.pair_id=bb.pair_id and y.day=bb.day and y.e=i+1), pe as (select *, -0.06::double+0.015::double*(i+case when a is null or c is null or a-2*b+c=0 then 0 else 0.5::double*(a-c)/(a-2*b+c) end) as eps from ac)
+        left join im y on y.pair_id=bb.pair_id and y.day=bb.day and y.e=i+1), pe as (select *, -0.06::double+0.12::double/160*(i+case when a is null or c is null or a-2*b+c=0 then 0 else 0.5::double*(a-c)/(a-2*b+c) end) as eps from ac)
         select pair_id, day, round(eps,8)+0.0 as eps, round(-eps/(1+eps),8)+0.0 as dvv, round(b,8)+0.0 as cc from pe""", _IM),
     "image_average": with_ctes("ccf", "select pair_id, day//6 as ts, e as eps_idx, round(avg(cc),8)+0.0 as cc from im group by 1,2,3", _IM),
 }
