@@ -35,6 +35,7 @@ CLASSES = TOP + TAILS
 ROUNDS = 4
 SEGMENT = 64  # training cuts class sequences into segments; scoring does not
 CHUNK_BYTES = 8 << 20
+SLICE = 1 << 20  # text that is taken apart at once; a slice needs some 45 times its bytes
 END = int(np.int64(0x5EEDE0D5EEDE0D5))
 SEED = 11
 
@@ -70,7 +71,7 @@ def _chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(token), chunk)), pa.array(token), pa.array(tail[at].astype(np.int32)), pa.array(total)], schema=schema)
 
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE):
             h, tail, offsets = tokens_of(part.column("text"))
             learns = ~part.column("held_out").to_numpy(zero_copy_only=False)
             chunk = part.column("chunk").to_numpy()
@@ -97,7 +98,7 @@ def _encode(total: int, kinds: int, per_class: dict[int, tuple[int, int]]):
         counts = counts.drop_duplicates("token").sort_values("token")
         known, n, rank = (counts[c].to_numpy() for c in ("token", "count", "rank"))
         out = []
-        for part in slices(pa.RecordBatch.from_pandas(texts[["text"]], schema=pa.schema([("text", pa.string())]), preserve_index=False)):
+        for part in slices(pa.RecordBatch.from_pandas(texts[["text"]], schema=pa.schema([("text", pa.string())]), preserve_index=False), most=SLICE):
             h, tail, offsets = tokens_of(part.column("text"))
             at = np.searchsorted(known, h)
             c, r = n[at], rank[at]
