@@ -2,7 +2,8 @@
 
 Rows are range-partitioned and sorted by doc_id.  Each task encodes its texts, appends the end id and packs
 runs of whole documents into blocks.  In a block, rounds of Re-Pair replace the most frequent neighbouring id
-pairs by new symbols (a whole group of pairs in each round, occurrences from left to right without overlap).  A block stores the
+pairs by new symbols (a whole group of pairs in each round, occurrences from left to right without overlap), until no pair is
+frequent.  A block stores the
 rules, the expansion length of every rule and the remaining symbols; a running sum of the lengths finds the
 symbols that cover any range of ids, and only those are expanded.
 
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -27,8 +29,7 @@ MODEL = "byte_bpe_50k.json"
 END = 2
 BLOCK_IDS = 1 << 20
 PART_BYTES = 24 << 20
-ROUNDS = 5
-PAIRS = 3000  # new symbols of a round at most
+PAIRS = 8192  # new symbols of a round at most; rounds go on until no pair is frequent
 LEAST = 8  # occurrences from which a pair is worth a rule
 SLICE = 3 << 20
 TOGETHER = 10_000  # new pieces that the library gets at once
@@ -38,46 +39,77 @@ MAGIC = 0x52455041495231
 # -- Re-Pair -----------------------------------------------------------------
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, which): the places of the most frequent pairs and the number of the pair there."""
-    key = (left.astype(np.uint64) << np.uint64(32)) | right
-    bin_of = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    size = np.bincount(bin_of, minlength=1 << 20)
+def _frequent(seq: np.ndarray, at: np.ndarray | None, most: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(places, which): places of the most frequent pairs and the number of the pair there, looking at ``at`` (None: everywhere).
+
+    Pairs are counted in hashed bins; a bin stands for the pair that is last in it, unless ``exact`` tells pairs apart.
+    """
+    key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:] if at is None else (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+    shift = 64 - max(8, min(20, len(key).bit_length()))
+    bin_of = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(shift)).astype(np.int32)
+    bins = 1 << (64 - shift)
+    size = np.bincount(bin_of, minlength=bins)
     full = size[size >= LEAST]
     if not len(full):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     least = np.partition(full, -most)[-most] if len(full) > most else LEAST
-    at = np.flatnonzero(size[bin_of] >= least)
-    pair, which, n = np.unique(key[at], return_inverse=True, return_counts=True)
+    near = np.flatnonzero((size >= least)[bin_of])
+    if exact:
+        _, bin_of = np.unique(key[near], return_inverse=True)
+        bins = int(bin_of.max()) + 1
+    else:
+        key, bin_of = key[near], bin_of[near]
+        stands = np.zeros(bins, np.uint64)
+        stands[bin_of] = key
+        mine = stands[bin_of] == key
+        near, bin_of = near[mine], bin_of[mine]
+    n = np.bincount(bin_of, minlength=bins)
     good = np.flatnonzero(n >= LEAST)
     good = good[np.argsort(-n[good], kind="stable")[:most]]
-    number = np.full(len(pair), -1)
+    number = np.full(bins, -1, np.int32)
     number[good] = np.arange(len(good))
-    which = number[which]
-    return at[which >= 0], which[which >= 0]
+    which = number[bin_of]
+    near, which = near[which >= 0], which[which >= 0]
+    return near if at is None else at[near], which
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, most: int = PAIRS) -> bytes:
-    """A block of ids below ``base``."""
+def compress(ids: np.ndarray, base: int, most: int = PAIRS) -> bytes:
+    """A block of ids below ``base``, pairs replaced until none occurs ``LEAST`` times.
+
+    After a round only pairs with one of its new symbols can have become frequent, so the next looks at those alone; when they
+    give nothing, all pairs are looked at again, exactly, until that gives nothing either. Symbols stop at the number where
+    each would need twice the bytes: beyond it no pair pays.
+    """
     seq = ids.astype(np.uint32)
     rules = []
-    symbols = base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        at, which = _frequent(seq[:-1], seq[1:], most)
+    symbols, at, exact = base, None, False
+    limit = 1 << 16 if base < 1 << 16 else 1 << 32
+    while len(seq) > 1 and symbols < limit:
+        everywhere = at is None
+        at, which = _frequent(seq, at, min(most, limit - symbols), exact and everywhere)
         if not len(at):
-            break
+            if everywhere and exact:
+                break
+            at, exact = None, True
+            continue
         run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # in a run of neighbouring places every second one is free
         offset = at - np.repeat(at[run], np.diff(np.append(run, len(at))))
         at, which = at[offset % 2 == 0], which[offset % 2 == 0]
-        used, first, which = np.unique(which, return_index=True, return_inverse=True)
-        rules.append(np.stack([seq[at[first]], seq[at[first] + 1]], axis=1))
-        seq[at] = symbols + which
+        first = np.full(int(which.max()) + 1, -1)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        used = np.flatnonzero(first >= 0)
+        renumber = np.cumsum(first >= 0) - 1
+        first = at[first[used]]
+        rules.append(np.stack([seq[first], seq[first + 1]], axis=1))
+        seq[at] = symbols + renumber[which]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
         symbols += len(used)
+        made = at - np.arange(len(at))  # places of the new symbols, now that the ones after them are gone
+        touched = np.zeros(len(seq), bool)
+        touched[made], touched[np.maximum(made - 1, 0)] = True, True
+        at = np.flatnonzero(touched[:-1])
     table_ = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     length = np.ones(symbols, np.uint32)
     for at, r in _levels(rules, base):
@@ -210,7 +242,9 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         first = np.flatnonzero(self._cuts(data, offsets))
         last = np.append(first[1:], len(data))
-        piece, at, back = np.unique(hashes(data, first, last), return_index=True, return_inverse=True)
+        back, piece = pd.factorize(hashes(data, first, last))
+        at = np.empty(len(piece), np.int64)
+        at[back[::-1]] = np.arange(len(back))[::-1]  # first place of each piece
         if len(self.place) > self.most or len(self.flat) > 16 * self.most:
             self._forget()
         piece = piece.tolist()
