@@ -98,18 +98,22 @@ def recommend_config(
     return joined.select(*keep, F.col("_key").alias("use_case"), *axis, "eps_max", "gen_band")
 
 
-def representative_case(requests: DataFrame, cases: DataFrame) -> DataFrame:
-    """First case of the application and grade, else of any grade.
+def representative_case(requests: DataFrame, cases: DataFrame, *, order: str = "case_id", default_grade: str = "easy") -> DataFrame:
+    """First listed case of the application and grade, else of any grade.
 
+    ``requests`` (use_case as free text, grade) keep their rows and columns; one whose text names no application, or an
+    application without a case, gets a NULL case_id, and a NULL grade asks for ``default_grade``. ``order`` is the column of
+    ``cases`` that says which is listed first (equal places: the smaller case_id).
     One aggregate over the cases; requests join its small result.
     """
-    any_grade = cases.groupBy("use_case").agg(F.min("case_id").alias("_any"))
-    by_grade = cases.groupBy("use_case", "grade").agg(F.min("case_id").alias("_exact"))
-    return (
-        requests.join(by_grade, ["use_case", "grade"], "left")
-        .join(any_grade, "use_case")
-        .select(*requests.columns, F.coalesce("_exact", "_any").alias("case_id"))
+    place = F.struct(order, "case_id")
+    first = cases.groupBy(F.col("use_case").alias("_key"), F.col("grade").alias("_grade")).agg(F.min(place).alias("_first"))
+    first = first.groupBy("_key").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("_grade").isNotNull(), F.struct("_grade", "_first")))).alias("_by"), F.min("_first").alias("_any")
     )
+    asked = requests.withColumn("_key", resolve_use_case(F.col("use_case")))
+    exact = F.try_element_at("_by", F.coalesce("grade", F.lit(default_grade)))
+    return asked.join(first, "_key", "left").select(*requests.columns, F.coalesce(exact["case_id"], F.col("_any.case_id")).alias("case_id"))
 
 
 def _pair(lo: Column, hi: Column) -> Column:
@@ -135,8 +139,8 @@ def build_grid(cases: DataFrame, grid: str = "multiverse") -> DataFrame:
     if grid not in GRIDS:
         raise ValueError(f"unknown grid {grid!r}; known: {sorted(GRIDS)}")
     spec = GRIDS[grid]
-    every = recommend_config(cases.select("case_id", "use_case", "two_layer"))
-    rec = every.where(F.col("use_case").isNotNull())
+    rec = recommend_config(cases.select("case_id", "use_case", "two_layer"))
+    known = F.col("use_case").isNotNull()
     b, w = F.col("band"), F.col("window")
 
     def floor_lo(k: float) -> Column:
@@ -159,16 +163,17 @@ def build_grid(cases: DataFrame, grid: str = "multiverse") -> DataFrame:
         "reference": F.array(*[F.lit(v) for v in spec["reference"]]),
         "gate": F.array(*[F.lit(v) for v in spec["gate"]]),
     }
+    # an unknown use case has one choice on every axis, NULL, so it goes through the same pass
+    options = {a: F.when(known, v).otherwise(F.array(F.col(a))) for a, v in options.items()}
     out = rec.select(
-        "case_id", "use_case", "eps_max", F.lit(0).alias("config_index"),
+        "case_id", "use_case", "eps_max", F.when(known, F.lit(0)).alias("config_index"),
         *[v.alias(f"_{a}") for a, v in options.items()],
     )
     for axis in AXES:
         out = out.select("*", F.posexplode(f"_{axis}").alias("_p", axis)).withColumn(
             "config_index", F.col("config_index") * F.size(f"_{axis}") + F.col("_p")
         ).drop("_p", f"_{axis}")
-    unknown = every.where(F.col("use_case").isNull()).select("case_id", "use_case", "eps_max", F.lit(None).cast("int").alias("config_index"), *AXES)
-    return out.unionByName(unknown)
+    return out
 
 
 # --- scoring ---------------------------------------------------------------------------

@@ -137,11 +137,12 @@ def _recommend(spark, sf):
 
 
 def _representative(spark, sf):
-    cases = _cases(spark, sf).where((F.col("use_case") != "cryosphere") | (F.col("grade") == "hard"))
-    req = b.table(spark, sf, "part").select(
-        F.element_at(F.array(*[F.lit(k) for k in s.USE_CASES]), (F.col("p_size") % 6 + 1)).alias("use_case"),
-        F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("grade")).distinct()
-    return s.representative_case(req, cases)
+    """Free-text requests; the cases are listed by price."""
+    cases = _cases(spark, sf).where((F.col("use_case") != "cryosphere") | (F.col("grade") == "hard")).where(F.col("use_case") != "landslide")
+    req = _free_text(spark, sf).select(
+        F.col("text").alias("use_case"),
+        F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard"), F.lit(None).cast("string")), (F.col("p_partkey") % 4 + 1).cast("int")).alias("grade")).distinct()
+    return s.representative_case(req, cases, order="p_retailprice")
 
 
 def _expected(spark, sf):
@@ -319,9 +320,10 @@ ORACLE = {
     "recommend_config": "with " + _UC + f""" select p_partkey, uc.use_case, case when uc.use_case is not null then 'stretching (TS)' end as estimator, blo as band_lo, bhi as band_hi, wlo as t1, whi as t2, coalesce(case when p_size%4=0 then p_size end, stack)::bigint as stack,
         case when uc.use_case is not null then 'fixed' end as reference, case when uc.use_case is not null then true end as gate, eps_max
         from (select p_partkey, p_size, {_RESOLVE} as uk from (select p_partkey, p_size, {_TEXT} as x from part)) left join uc on uc.use_case=uk""",
-    "representative_case": "with " + _UC + "," + _CASES + """, c2 as (select * from cs where use_case<>'cryosphere' or grade='hard'),
-        rq as (select distinct uc.use_case, ['easy','medium','hard'][p_partkey%3+1] as grade from part join uc on uc.uid=p_size%6)
-        select use_case, grade, coalesce((select min(case_id) from c2 where c2.use_case=rq.use_case and c2.grade=rq.grade),(select min(case_id) from c2 where c2.use_case=rq.use_case)) as case_id from rq""",
+    "representative_case": "with " + _UC + "," + _CASES + f""", c2 as (select * from cs where (use_case<>'cryosphere' or grade='hard') and use_case<>'landslide'),
+        rq as (select distinct x as use_case, {_RESOLVE} as uk, ['easy','medium','hard',null][p_partkey%4+1] as grade from (select p_partkey, {_TEXT} as x from part))
+        select use_case, grade, coalesce((select arg_min(case_id, p_retailprice*1e7+case_id) from c2 where c2.use_case=uk and c2.grade=coalesce(rq.grade,'easy')),
+          (select arg_min(case_id, p_retailprice*1e7+case_id) from c2 where c2.use_case=uk)) as case_id from rq""",
     "expected_metrics": """with e as (select p_partkey as case_id, p_retailprice/1e6 as er from part where p_partkey%7>0), a as (select l_partkey as case_id, avg(l_quantity)/2e4 as ar from lineitem group by 1)
         select coalesce(e.case_id,a.case_id) as case_id, round(er,9) as expected_rms, round(ar,12) as actual_rms, case when ar is null then 'missing' when er is null then 'unexpected' when abs(ar-er)<=0.35*er then 'ok' else 'out of tolerance' end as status
         from e full outer join a on e.case_id=a.case_id""",
