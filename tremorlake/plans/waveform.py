@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tremorlake.functions.exprs import rnd
+from tremorlake.operators import campaign as ca
 from tremorlake.operators import combine as cb
 from tremorlake.operators import sweep as sw
 from tremorlake.operators import waveform as w
 from tremorlake.plans import bindings as b
 from tremorlake.plans.bindings import with_ctes
-from tremorlake.session import cut
+from tremorlake.session import cut, shared_folder
 
 K = ["pair_id", "component"]
 FS, T0 = 1.0, -32.0
@@ -102,20 +105,28 @@ def _scored(spark, sf):
     return w.score_cells(w.measure_dvv(c, cfgs, K, fs=FS, t0=T0, ref_days=15), _truth(c))
 
 
+def _scaled(band, window):
+    """A case's own band and window on the axis of the test waveforms (one sample a second, 31 s each side)."""
+    top_f, top_t = max(v[0][1] for v in sw.USE_CASES.values()) * 1.5, max(v[1][1] for v in sw.USE_CASES.values()) * 1.8
+    pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    return pair(F.sqrt(band["lo"] / top_f) * 0.4, F.sqrt(band["hi"] / top_f) * 0.4 + 0.05), pair(F.sqrt(window["lo"] / top_t) * 10.0, 10.0 + F.sqrt(window["hi"] / top_t) * 20.0)
+
+
 def _sweep(spark, sf):
-    """Every case with the grid of its own application, from a config table."""
+    """Every case with the grid of its own application, interrupted after the first wave and resumed."""
     c = cut(b.ccf(spark, sf))
     keys = F.array(*[F.lit(k) for k in sw.USE_CASES])
     cases = c.select("pair_id").distinct().select(
         F.col("pair_id").alias("case_id"), F.element_at(keys, (F.pmod(F.xxhash64("pair_id"), F.lit(6)) + 1).cast("int")).alias("use_case"), F.lit(False).alias("two_layer"))
     grid = sw.build_grid(cases, "compact").withColumnRenamed("case_id", "pair_id")
-    # the test waveforms have one sample per second, so every cell uses their band and window
-    grid = grid.withColumn("band", F.struct(F.lit(BAND[0]).alias("lo"), F.lit(BAND[1]).alias("hi"))).withColumn("window", F.struct(F.lit(WIN[0]).alias("lo"), F.lit(WIN[1]).alias("hi")))
+    band, window = _scaled(F.col("band"), F.col("window"))
+    grid = grid.withColumns({"band": band, "window": window})
     inverse = grid.where(F.col("reference") == "moving").withColumns({"reference": F.lit("inversion"), "config_index": F.col("config_index") + 100})
-    grid = grid.unionByName(inverse)
-    done = grid.where(F.lit(False)).select("pair_id", "config_index")
-    todo = w.pending_cells(grid, done, ("pair_id", "config_index"))
-    return w.score_cells(w.measure_dvv(c, todo, K, fs=FS, t0=T0, ref_days=15, max_stack=10), _truth(c))
+    grid = cut(grid.unionByName(inverse))
+    path = f"{shared_folder(spark).rstrip('/')}/sweep-{uuid.uuid4().hex}"
+    run = lambda **kw: ca.run_sweep(c, grid, _truth(c), path, K, fs=FS, t0=T0, ref_days=15, max_stack=10, waves=2, **kw)
+    run(most_waves=1)
+    return run()
 
 
 def _multiverse(spark, sf):
@@ -132,12 +143,20 @@ def _multiverse(spark, sf):
 
 
 def _config_scores(spark, sf):
-    """Submitted configs: invalid ones score 0, valid ones are run and scored."""
+    """One submission per brand and pair; invalid ones score 0, valid ones are run and scored by their case's thresholds."""
     c = cut(b.ccf(spark, sf))
-    cfgs = [_cfg("stretching (TS)", 0), _cfg("MWCS", 1), _cfg("magic", 2)]
-    scored = w.score_cells(w.measure_dvv(c, cfgs, K, fs=FS, t0=T0), _truth(c))
-    good, bad = sw.score_thresholds(F.lit(0.01), F.lit(0.35), F.lit(0.05))
-    return scored.select("pair_id", "config_index", "rms", sw.score_from_rms(F.when(F.col("ok"), F.col("rms")), good, bad).alias("score"))
+    size, n = F.col("size"), F.col("n")
+    pair = lambda lo, hi: F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
+    brands = b.table(spark, sf, "part").groupBy(F.col("p_brand").alias("submission_id"), (F.col("p_size") % 10).alias("n")).agg(F.count("*").alias("b"), F.sum("p_size").alias("a"))
+    sub = brands.withColumn("size", F.pmod(F.col("a") * 7 + F.col("b") * 3 + n, F.lit(50))).select(
+        "submission_id", F.concat(F.lit("pair"), n.cast("string")).alias("pair_id"), F.element_at(F.array(*[F.lit(k) for k in sw.USE_CASES]), (size % 6 + 1).cast("int")).alias("use_case"),
+        F.element_at(F.array(F.lit("stretching (TS)"), F.lit("MWCS"), F.lit("magic")), (size % 3 + 1).cast("int")).alias("estimator"),
+        F.when(size % 7 > 0, pair(0.03 + size / 1000.0, 0.3 + size / 400.0)).alias("band"), pair(2 + size / 10.0, 4 + size / 2.0).alias("window"),
+        F.when(size % 4 > 0, (size % 5 + 1).cast("int")).alias("stack"), F.when(size % 2 > 0, F.lit("moving")).alias("reference"), F.lit(True).alias("gate"))
+    pairs = c.select("pair_id").distinct().withColumn("n", F.substring("pair_id", 5, 9).cast("int"))
+    cases = pairs.select("pair_id", (0.005 + n / 1000.0).alias("rms_target"), F.lit(0.35).alias("rel_tol"), F.when(n % 3 > 0, 0.02 + n / 500.0).alias("rms_wrong_layer"))
+    out = ca.score_config_submissions(sub, c, _truth(c), cases, K, fs=FS, t0=T0, ref_days=15, max_stack=10)
+    return out.select("submission_id", "pair_id", "valid", rnd("rms", 9).alias("rms"), rnd("score", 7).alias("score"))
 
 
 QUERIES = {
