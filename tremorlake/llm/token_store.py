@@ -30,6 +30,7 @@ END = 2
 BLOCK_IDS = 1 << 20
 PART_BYTES = 24 << 20
 PAIRS = 8192  # new symbols of a round at most; rounds go on until no pair is frequent
+SHORT = 64  # expansions up to this length are laid out when a block is opened
 LEAST = 8  # occurrences from which a pair is worth a rule
 SLICE = 3 << 20
 TOGETHER = 10_000  # new pieces that the library gets at once
@@ -139,15 +140,17 @@ class Block:
         at += int(2 * n * wide)
         self.length = np.concatenate([np.ones(self.base, np.int64), np.frombuffer(payload, np.uint32, n, at).astype(np.int64)])
         self.seq = np.frombuffer(payload, kind, m, at + 4 * int(n)).astype(np.int64)
-        # all expansions, one after the other; a round's rules only use earlier symbols
-        self.start = np.cumsum(self.length) - self.length
-        self.flat = np.zeros(int(self.length.sum()), np.uint32)
+        # short expansions, one after the other; a round's rules only use earlier symbols
+        self.rules, short = rules, np.where(self.length <= SHORT, self.length, 0)
+        self.start = np.cumsum(short) - short
+        self.flat = np.zeros(int(short.sum()), np.uint32)
         self.flat[: self.base] = np.arange(self.base)
         edge = 0
         for size in sizes:
-            r, made = rules[edge : edge + size], self.base + edge
-            for side, shift in ((r[:, 0], np.zeros(size, np.int64)), (r[:, 1], self.length[r[:, 0]])):
-                to = self._spread(self.start[made : made + size] + shift, self.length[side])
+            made = np.flatnonzero(short[self.base + edge : self.base + edge + size]) + self.base + edge
+            r = rules[made - self.base]
+            for side, shift in ((r[:, 0], 0), (r[:, 1], self.length[r[:, 0]])):
+                to = self._spread(self.start[made] + shift, self.length[side])
                 self.flat[to] = self.flat[self._spread(self.start[side], self.length[side])]
             edge += int(size)
         self.ends = np.cumsum(self.length[self.seq])
@@ -157,6 +160,15 @@ class Block:
         return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
+        while True:  # symbols of long expansions fall into their two parts, so memory follows the result
+            long = self.length[seq] > SHORT
+            if not long.any():
+                break
+            parts = np.empty(len(seq) + int(long.sum()), np.int64)
+            at = np.arange(len(seq)) + np.cumsum(long) - long
+            split = self.rules[seq[long] - self.base]
+            parts[at], parts[at[long]], parts[at[long] + 1] = seq, split[:, 0], split[:, 1]
+            seq = parts
         return self.flat[self._spread(self.start[seq], self.length[seq])]
 
     def ids(self) -> np.ndarray:
@@ -203,7 +215,7 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -213,7 +225,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of the pieces, sorted, and their numbers
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
@@ -245,10 +257,13 @@ class Encoder:
         back, piece = pd.factorize(hashes(data, first, last))
         at = np.empty(len(piece), np.int64)
         at[back[::-1]] = np.arange(len(back))[::-1]  # first place of each piece
-        if len(self.place) > self.most or len(self.flat) > 16 * self.most:
+        if len(self.place) > self.most or len(self.flat) > 8 * self.most:
             self._forget()
-        piece = piece.tolist()
-        where = np.fromiter((self.place.get(p, -1) for p in piece), np.int64, len(piece))
+        near = np.searchsorted(self.known, piece)
+        where = np.full(len(piece), -1)
+        if len(self.known):
+            slot = np.minimum(near, len(self.known) - 1)
+            where = np.where(self.known[slot] == piece, self.place[slot], -1)
         fresh = np.flatnonzero(where < 0)
         if len(fresh):
             raw = data.tobytes()
@@ -263,7 +278,8 @@ class Encoder:
             self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
             self.length = np.append(self.length, size)
             self.flat = np.concatenate([self.flat, *ids])
-            self.place.update((piece[f], int(where[f])) for f in fresh)
+            order = fresh[np.argsort(piece[fresh])]
+            self.known, self.place = np.insert(self.known, near[order], piece[order]), np.insert(self.place, near[order], where[order])
         where = where[back]
         length = self.length[where]
         total = np.concatenate([[0], np.cumsum(length)])
