@@ -89,3 +89,26 @@ def test_blocks_stay_small(spark):
     e = pd.DataFrame({"i": np.arange(128), "j": np.arange(1, 129), "w": 1.0, "wd": 0.0, "wdd": 0.0, "m": 1})
     part = chain._Block(e, 0, 128, 2, 0.0).schur(4)
     assert part["s"].size == 16 and np.abs(part["s"].reshape(4, 4).sum(1)).max() < 1e-9
+
+
+def test_depth_factor_reproduces_the_dense_covariance(spark):
+    from tremorlake.operators.uncertainty import depth_covariance, gain_matrix
+
+    rng = np.random.default_rng(4)
+    z, bands = np.round(np.linspace(0.02, 0.6, 25), 3), ["b0", "b1", "b2"]
+    g = {p: rng.normal(size=(3, 25)) for p in ("p", "q")}
+    a = rng.normal(size=(3, 3))
+    cd = 1e-6 * (a @ a.T + np.eye(3))
+    kernel = spark.createDataFrame([(p, b, float(d), float(g[p][i, k])) for p in g for i, b in enumerate(bands) for k, d in enumerate(z)], "profile string, band string, depth_km double, g double")
+    cov = spark.createDataFrame([(bands[i], bands[j], float(cd[i, j])) for i in range(3) for j in range(3)], "band_i string, band_j string, cov double")
+    gain = gain_matrix(kernel, cov)
+    got = depth_covariance(gain).toPandas()
+    prior = 25e-6 * np.exp(-0.5 * ((z[:, None] - z) / 0.1) ** 2)
+    for p in g:
+        post = prior - prior @ g[p].T @ np.linalg.solve(g[p] @ prior @ g[p].T + cd, g[p] @ prior)
+        mine = got[got.profile == p]
+        assert len(mine) == 25 * 26 // 2
+        at = {float(d): k for k, d in enumerate(z)}
+        assert max(abs(v - post[at[i], at[j]]) for i, j, v in zip(mine.depth_i, mine.depth_j, mine["cov"])) < 1e-14
+        std = gain.where(F.col("profile") == p).select("depth_km", "std").distinct().toPandas()
+        assert max(abs(s**2 - post[at[d], at[d]]) for d, s in zip(std.depth_km, std["std"])) < 1e-14

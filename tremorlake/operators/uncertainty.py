@@ -407,6 +407,8 @@ def gain_matrix(kernel: DataFrame, band_cov: DataFrame, *, profile: str = "profi
     """Per profile the epoch-independent gain, posterior std and resolution.
 
     Works in data space: only an n_band x n_band system per profile is solved.
+    ``factor`` holds the posterior covariance: prior less the product of the factors, summed over the bands
+    (``depth_covariance``).
     ``kernel``: profile, band, depth_km, g; ``band_cov``: band_i, band_j, cov.
     """
     cov = band_cov.groupBy(F.col("band_i").alias("band")).agg(F.collect_list(F.struct("band_j", "cov")).alias("_cov"))
@@ -424,18 +426,20 @@ def gain_matrix(kernel: DataFrame, band_cov: DataFrame, *, profile: str = "profi
         gm = g.to_numpy()
         cm = prior_std**2 * np.exp(-0.5 * ((z[:, None] - z[None, :]) / corr_length_km) ** 2)
         gc = gm @ cm
-        gain = np.linalg.solve(gc @ gm.T + cd, gc).T
+        data = gc @ gm.T + cd
+        gain = np.linalg.solve(data, gc).T
         std = np.sqrt(np.clip(np.diag(cm) - (gain * gc.T).sum(1), 0, None))
+        factor = np.linalg.solve(np.linalg.cholesky((data + data.T) / 2), gc).T
         res = (gain * gm.T).sum(1)
         n, k = len(z), len(bands)
         return pd.DataFrame({
             profile: pdf[profile].iloc[0], "band": np.tile(bands, n), "depth_km": np.repeat(z, k), "gain": gain.ravel(),
-            "std": np.repeat(std, k), "resolution": np.repeat(res, k),
+            "std": np.repeat(std, k), "resolution": np.repeat(res, k), "factor": factor.ravel(),
         })
 
     kinds = {f.name: f.dataType.simpleString() for f in kernel.schema}
     return src.groupBy(profile).applyInPandas(
-        solve, f"{profile} {kinds[profile]}, band {kinds['band']}, depth_km double, gain double, std double, resolution double"
+        solve, f"{profile} {kinds[profile]}, band {kinds['band']}, depth_km double, gain double, std double, resolution double, factor double"
     )
 
 
@@ -450,3 +454,17 @@ def depth_profile(gain: DataFrame, dvv_bands: DataFrame, keys: Sequence[str], *,
     sums = joined.groupBy(*keys, profile, "depth_km").agg(F.sum(F.col("gain") * F.col("dvv")).alias("_sum"), F.count_distinct("band").alias("n_bands"))
     whole = F.when(F.col("n_bands") == F.col("_need"), F.col("_sum"))
     return sums.join(need, profile).select(*keys, profile, "depth_km", "n_bands", whole.alias("mean"))
+
+
+def depth_covariance(gain: DataFrame, *, profile: str = "profile", prior_std: float = 5e-3, corr_length_km: float = 0.1) -> DataFrame:
+    """Posterior covariance of every pair of depths (profile, depth_i <= depth_j, cov), from the factors of ``gain_matrix``.
+
+    It does not depend on the data, so it holds for every epoch that has all bands. Prior settings must be those of the gain.
+    """
+    rows = gain.groupBy(profile, "depth_km").agg(F.transform(F.sort_array(F.collect_list(F.struct("band", "factor"))), lambda x: x["factor"]).alias("_f"))
+    left = rows.select(profile, F.col("depth_km").alias("depth_i"), F.col("_f").alias("_fi"))
+    right = rows.select(profile, F.col("depth_km").alias("depth_j"), F.col("_f").alias("_fj"))
+    both = left.join(right, profile).where(F.col("depth_i") <= F.col("depth_j"))
+    gap = (F.col("depth_j") - F.col("depth_i")) / corr_length_km
+    known = F.aggregate(F.zip_with("_fi", "_fj", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return both.select(profile, "depth_i", "depth_j", (prior_std**2 * F.exp(-0.5 * gap * gap) - known).alias("cov"))

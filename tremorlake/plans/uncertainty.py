@@ -198,13 +198,32 @@ def _matrix(spark, sf):
     return u.kernel_matrix(_kernel(spark, sf), ["profile", "band"], max_depth_km=0.4).select("profile", "band", rnd("depth_km", 6).alias("depth_km"), rnd("g", 9).alias("g"))
 
 
-def _depth(spark, sf):
+def _gain(spark, sf):
     g = u.kernel_matrix(_kernel(spark, sf), ["profile", "band"])
     bands = g.select("band").distinct()
-    cov = bands.select(F.col("band").alias("band_i"), F.col("band").alias("band_j"), F.lit(1e-8).alias("cov"))
-    gain = u.gain_matrix(g, cov)
+    return u.gain_matrix(g, bands.select(F.col("band").alias("band_i"), F.col("band").alias("band_j"), F.lit(1e-8).alias("cov")))
+
+
+def _depth(spark, sf):
     d = b.table(spark, sf, "part").groupBy(F.col("p_type").alias("profile"), F.col("p_brand").alias("band"), F.col("p_size").alias("epoch")).agg((F.avg("p_retailprice") / 1e6).alias("dvv"))
-    return u.depth_profile(gain, d, ["epoch"])
+    return u.depth_profile(_gain(spark, sf), d, ["epoch"])
+
+
+def _depth_cov(spark, sf):
+    """Every (profile, band) on its own, so that the matrix to invert is a number."""
+    k = u.kernel_matrix(_kernel(spark, sf), ["profile", "band"])
+    k = k.select(F.concat_ws("|", "profile", "band").alias("profile"), "band", "depth_km", "g")
+    bands = k.select("band").distinct()
+    cov = bands.select(F.col("band").alias("band_i"), F.col("band").alias("band_j"), F.lit(1e-8).alias("cov"))
+    out = u.depth_covariance(u.gain_matrix(k, cov))
+    return out.select("profile", rnd("depth_i", 6).alias("depth_i"), rnd("depth_j", 6).alias("depth_j"), rnd(F.col("cov") * 1e6, 6).alias("cov"))
+
+
+def _depth_cov_all(spark, sf):
+    gain = cut(_gain(spark, sf))
+    out = u.depth_covariance(gain)
+    own = out.where("depth_i = depth_j").join(gain.select("profile", F.col("depth_km").alias("depth_i"), "std").distinct(), ["profile", "depth_i"])
+    return own.select("profile", "depth_i", F.col("cov").alias("variance"), "std")
 
 
 QUERIES = {
@@ -212,7 +231,7 @@ QUERIES = {
     "error_covariance": _cov, "error_covariance_hourly": _cov_hourly, "methodological_factor": _factor, "methodological_cov": _method_cov, "effective_n": _neff, "single_reference_cov": _single,
     "corr_length": _corr_length, "all_to_all_reference": _all_to_all, "all_to_all_equations": _all_to_all_equations, "all_to_all_chain": _all_to_all_chain, "hierarchical_dvv": _gibbs, "hierarchical_covariance": _gibbs_cov, "sample_choices": _sample,
     "flatten_lapse": _flatten, "candidate_windows": _candidates, "rolling_lapse_windows": _rolling, "window_scores": _window_scores,
-    "rank_windows": _rank, "lapse_profile": _profile, "kernel_overlap": _overlap, "kernel_matrix": _matrix, "depth_profile": _depth,
+    "rank_windows": _rank, "lapse_profile": _profile, "kernel_overlap": _overlap, "kernel_matrix": _matrix, "depth_profile": _depth, "depth_covariance": _depth_cov, "depth_variance": _depth_cov_all,
 }
 
 _CH = """(select f, case when cc>0 and cc<=1 then sqrt((1-cc*cc)/(2*cc*cc)*6*sqrt(pi()/2)/(pow(2*pi()*f,2)*(pow(t2,3)-pow(t1,3)))) end as fl from
@@ -276,6 +295,11 @@ ORACLE = {
     "lapse_profile": "with " + _BD + "," + _SC + " select site_id, fmin, st as start_s, end_s, row_number() over (partition by site_id order by (st+end_s)/2, fmin, st) as position, score>=0.7 as eligible from sc where substack_days=7",
     "kernel_overlap": "with " + _KN + """ select profile, band, round(case when t>0 then least(coalesce(i,0)/t,1.0::double) else 0.0::double end,8)+0.0 as overlap from (select profile, band, sum(ar) as t, sum(case when d>=99.9 and d1<=300.1 then ar end) as i from (select *, (a+a1)/2*(d1-d) as ar from
         (select *, lead(a) over w as a1, lead(d) over w as d1 from (select profile, band, z*1e3 as d, abs(k-1.4::double) as a from kn) window w as (partition by profile, band order by d))) group by 1,2)""",
+    "depth_covariance": "with " + _KN + """, km as (select profile||'|'||band as profile, z, coalesce(kr/nullif(sum(abs(kr)*dz) over (partition by profile, band),0),kr)*dz as g from (select *, vs/0.9::double*k as kr,
+        case when up is not null and dn is not null then (dn-up)/2 else coalesce(dn-z, z-up, 0.0::double) end as dz from (select *, lag(z) over w as up, lead(z) over w as dn from kn window w as (partition by profile, band order by z)))),
+        pr as (select a.profile, a.z as zi, b.z as zj, b.g as gj, 25e-6::double*exp(-0.5::double*pow((a.z-b.z)/0.1::double,2)) as cm from km a join km b using(profile)),
+        gc as (select profile, zi as z, sum(gj*cm) as gc from pr group by 1,2), sd as (select profile, sum(g*gc)+1e-8 as s from gc join km using(profile, z) group by 1)
+        select pr.profile, round(zi,6) as depth_i, round(zj,6) as depth_j, round((cm-x.gc*y.gc/s)*1e6,6)+0.0 as cov from pr join gc x on x.profile=pr.profile and x.z=zi join gc y on y.profile=pr.profile and y.z=zj join sd on sd.profile=pr.profile where zi<=zj""",
     "kernel_matrix": "with " + _KN + """ select profile, band, round(z,6) as depth_km, round(coalesce(kr/nullif(sum(abs(kr)*dz) over (partition by profile, band),0),kr)*dz,9) as g from (select *, vs/0.9::double*k as kr,
         case when up is not null and dn is not null then (dn-up)/2 else coalesce(dn-z, z-up, 0.0::double) end as dz from (select *, lag(z) over w as up, lead(z) over w as dn from kn where z<=0.4 window w as (partition by profile, band order by z)))""",
 }
