@@ -676,6 +676,26 @@ def posterior_draws(
     return draws.select(*keys, "draw", F.explode(rows).alias("r")).select(*keys, "r.param", "draw", "r.value")
 
 
+def bootstrap_draws(samples: DataFrame, keys: Sequence[str], *, n_draws: int = 1000, seed: int = 7, order: str = "sample") -> DataFrame:
+    """Draws from a posterior that is given as samples: rows of ``samples`` per key, with replacement, numbered by ``draw``.
+
+    The number of a drawn row is a hash of key and draw, so reruns agree; rows are numbered by ``order``, and a draw meets its row in
+    an equi-join. A key without samples has no draws.
+    """
+    keys = list(keys)
+    rows = with_row_index(samples, keys, [order], "_i", chunk=F.floor(F.col(order) / 4096))
+    size = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    draws = size.select(*keys, "_n", F.explode(F.sequence(F.lit(1), F.lit(n_draws)).cast("array<long>")).alias("draw"))
+    draws = draws.select(*keys, "draw", F.pmod(F.xxhash64(*keys, "draw", F.lit(seed)), F.col("_n")).alias("_i"))
+    return draws.join(rows, [*keys, "_i"]).drop("_i")
+
+
+def propagate(draws: DataFrame, keys: Sequence[str], **functions: Column) -> DataFrame:
+    """Mean and standard deviation over the draws of each key, for every named function of the drawn columns."""
+    aggs = [a for n, f in functions.items() for a in (F.avg(f).alias(f"{n}_mean"), F.stddev_samp(f).alias(f"{n}_std"))]
+    return draws.groupBy(*keys).agg(F.count("*").alias("n_draws"), *aggs)
+
+
 def truth_recovery_check(coef: DataFrame, truth: DataFrame, keys: Sequence[str], *, z_max: float = 4.0) -> DataFrame:
     """z score of each fitted parameter against a truth table."""
     z = (F.col("mean") - F.col("truth")) / F.nullif(F.col("std"), F.lit(0.0))

@@ -187,6 +187,12 @@ def _coef_summary(spark, sf):
     return _coef(spark, sf).select("site_id", "param", *[rnd(c, 8).alias(c) for c in ("mean", "std", "ci95_low", "ci95_high")], "units")
 
 
+def _bootstrap(spark, sf):
+    """Stored samples: the orders of a customer segment's priority; more draws than samples, so means agree closely."""
+    smp = b.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("site_id"), F.col("o_orderkey").alias("sample"), (F.col("o_totalprice") / 1e5).alias("value"))
+    return r.propagate(r.bootstrap_draws(smp, KEY, n_draws=20_000), KEY, value=F.col("value"), square=F.col("value") * F.col("value"))
+
+
 def _draws(spark, sf):
     fit, names, _ = _resid(spark, sf)
     d = r.posterior_draws(fit, KEY, names, n_draws=500)
@@ -286,6 +292,7 @@ QUERIES = {
     "fit_stats": _fit_stats,
     "coef_summary": _coef_summary,
     "posterior_draws": _draws,
+    "bootstrap_draws": _bootstrap,
     "truth_recovery_check": _truth,
     "pressure_sensitivity": _pressure_sensitivity,
     "shift_scan": _shift,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tremorlake.functions.exprs import day, rnd
 from tremorlake.operators import quality as q
 from tremorlake.plans import bindings as b
 from tremorlake.plans.bindings import with_ctes
+from tremorlake.session import shared_folder
 from tremorlake.sources import io
 
 KEY = ["site_id"]
@@ -86,6 +89,29 @@ def _station_archive(spark, sf):
     )
 
 
+def _station_folder(spark, sf):
+    """The same archive from a folder with one set of files per station, read back in one scan."""
+    o = b.table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("station"), F.col("o_orderdate").alias("DATE"), (F.col("o_totalprice") / 1e4).alias("DVV"),
+        (F.col("o_custkey") % 100 / 100.0).alias("CC"), "o_orderkey")
+    path = f"{shared_folder(spark).rstrip('/')}/stations-{uuid.uuid4().hex}"
+    o.groupBy("station", "DATE").agg(F.min_by(F.struct("DVV", "CC"), "o_orderkey").alias("r")).select("station", "DATE", "r.*").write.partitionBy("station").parquet(path)
+    out = io.load_station_archive(spark, path, name=r"station=([^/]+)/")
+    return out.select("site_id", day(), rnd("dvv", 12).alias("dvv"), rnd("dvv_err", 9).alias("dvv_err"), rnd("cc", 6).alias("cc"), "err_defaulted")
+
+
+def _export_run(spark, sf):
+    """Tables of a run written and read back."""
+    daily = b.dvv_daily(spark, sf).select("site_id", F.col("ts").cast("string").alias("ts"), "dvv")
+    parts = daily.groupBy("site_id").agg(F.count("*").alias("n_obs"), F.round(F.avg("dvv"), 9).alias("mean"))
+    path = f"{shared_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    io.export_run({"residuals": daily, "parameters": parts, "results": parts.select("site_id", (F.col("n_obs") > 30).alias("enough"))}, path)
+    residuals = spark.read.parquet(f"{path}/residuals").groupBy("site_id").agg(F.count("*").alias("n_rows"), rnd(F.sum("dvv"), 6).alias("total"))
+    params = spark.read.option("header", True).schema("site_id string, n_obs long, mean double").csv(f"{path}/parameters")
+    results = spark.read.schema("site_id string, enough boolean").json(f"{path}/results")
+    return residuals.join(params.select("site_id", "n_obs", "mean"), "site_id").join(results.select("site_id", "enough"), "site_id")
+
+
 def _read_layers(spark, sf):
     nested = b.site_layers(spark, sf).groupBy("site_id").agg(
         F.sort_array(
@@ -174,6 +200,8 @@ QUERIES = {
     "load_forcing": _load_forcing,
     "load_catalog": _load_catalog,
     "load_station_archive": _station_archive,
+    "load_station_folder": _station_folder,
+    "export_run": _export_run,
     "read_layers": _read_layers,
     "export_benchmark_rows": _benchmark_rows,
     "finite_rows": _finite_rows,
@@ -213,6 +241,13 @@ ORACLE = {
         o_custkey%100/100.0::double as q,
         row_number() over (partition by o_orderpriority, o_orderdate order by o_orderkey) as rn
         from orders) where rn=1""",
+    "load_station_folder": """select site_id, day, round(dvv/100,12) as dvv, 1e-3 as dvv_err,
+        round(q,6) as cc, true as err_defaulted from (
+        select o_orderpriority as site_id, cast(o_orderdate as date) as day, o_totalprice/1e4 as dvv,
+        o_custkey%100/100.0::double as q,
+        row_number() over (partition by o_orderpriority, o_orderdate order by o_orderkey) as rn
+        from orders) where rn=1""",
+    "export_run": with_ctes("dvv", """select site_id, count(*) as n_rows, round(sum(dvv),6) as total, count(*) as n_obs, round(avg(dvv),9) as mean, count(*)>30 as enough from dvv group by 1"""),
     "read_layers": with_ctes("layers", """select site_id, layer_idx, round(thickness_km,9) as thickness_km,
         round(vp,9) as vp, round(vs,9) as vs, round(rho,9) as rho from layers"""),
     "export_benchmark_rows": """with r as (select lang, doc_id, n_chars,
