@@ -350,10 +350,11 @@ def window_scores(df: DataFrame) -> DataFrame:
 
 
 def rank_windows(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rank by score (NULL last), then start; a key has a bounded window menu."""
+    """Rank by score (NULL last), then start, band, end and substack; a key has a bounded window menu."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy(*keys).orderBy(F.col("score").desc_nulls_last(), "start_s", "fmin", "end_s")
+    ties = ["start_s", "fmin", "end_s", *(c for c in ("substack_days",) if c in scored.columns)]
+    w = W.partitionBy(*keys).orderBy(F.col("score").desc_nulls_last(), *ties)
     return scored.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
@@ -361,7 +362,8 @@ def lapse_profile(scored: DataFrame, keys: Sequence[str], *, min_score: float =
     """Early-to-late position and eligibility of the windows of a key."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy(*keys).orderBy((F.col("start_s") + F.col("end_s")) / 2, "fmin", "start_s")
+    ties = ["fmin", "start_s", *(c for c in ("substack_days",) if c in scored.columns)]
+    w = W.partitionBy(*keys).orderBy((F.col("start_s") + F.col("end_s")) / 2, *ties)
     return scored.withColumn("position", F.row_number().over(w).cast("long")).withColumn(
         "eligible", F.coalesce(F.col("score") >= min_score, F.lit(False))
     )

@@ -155,9 +155,8 @@ def _tier2(spark, sf):
 
 
 def _tier2_events(spark, sf):
-    """Splits at every strong event of the site's own catalog."""
-    ev = b.quakes(spark, sf).where(F.col("magnitude") >= 6.9).groupBy("site_id", F.date_trunc("year", "ts").alias("y")).agg(
-        F.min("ts").alias("split_ts"))
+    """Splits at every event of the site's own catalog, whatever its magnitude."""
+    ev = b.quakes(spark, sf).select("site_id", F.col("ts").alias("split_ts")).distinct()
     rows = d.tier2_split_window(cut(b.aligned(spark, sf)), KEY, splits=ev)
     return d.tier2_status(rows, KEY)
 

@@ -79,7 +79,7 @@ def _single(spark, sf):
 
 
 def _corr_length(spark, sf):
-    d = _members(spark, sf).where(F.col("component") != "P").withColumn("residual", F.col("dvv") + F.sin(F.dayofyear("ts") / 58.0) * 0.3)
+    d = _members(spark, sf).withColumn("residual", F.col("dvv") + F.sin(F.dayofyear("ts") / 58.0) * 0.3)
     out = u.corr_length(d, ["pair_id"], member="component")
     return out.select("pair_id", "dt", rnd("corr_length_days", 6).alias("corr_length_days"))
 
@@ -174,13 +174,11 @@ def _window_scores(spark, sf):
 
 
 def _rank(spark, sf):
-    s = _scored(spark, sf).where(F.col("substack_days") == 7)
-    return u.rank_windows(s, KEY).select("site_id", "fmin", "start_s", "end_s", "rank")
+    return u.rank_windows(_scored(spark, sf), KEY).select("site_id", "fmin", "start_s", "end_s", "substack_days", "rank")
 
 
 def _profile(spark, sf):
-    s = _scored(spark, sf).where(F.col("substack_days") == 7)
-    return u.lapse_profile(s, KEY).select("site_id", "fmin", "start_s", "end_s", "position", "eligible")
+    return u.lapse_profile(_scored(spark, sf), KEY).select("site_id", "fmin", "start_s", "end_s", "substack_days", "position", "eligible")
 
 
 def _kernel(spark, sf):
@@ -273,7 +271,7 @@ ORACLE = {
         sum(1/(dvv_err*dvv_err)) as d from (select *, lag(ts) over w as pt, lag(dvv_err) over w as ps from dvv window w as (partition by site_id order by ts)) group by 1)"""),
     "single_reference_cov": with_ctes("dvv", """select site_id, i, round((case when i=0 then rv else dvv_err*dvv_err+rv end)*1e6,6) as var, round(rv*1e6,6) as ref_var from (select *, row_number() over (partition by site_id order by ts)-1 as i,
         pow(first_value(dvv_err) over (partition by site_id order by ts),2) as rv from dvv)"""),
-    "corr_length": with_ctes("component", """, m as (select pair_id, component, ts, dvv+sin(dayofyear(ts)/58.0::double)*0.3::double as x from component where component<>'P'),
+    "corr_length": with_ctes("component", """, m as (select pair_id, component, ts, dvv+sin(dayofyear(ts)/58.0::double)*0.3::double as x from component),
         c as (select *, x-avg(x) over (partition by pair_id, component) as r, row_number() over (partition by pair_id, component order by ts) as i, count(*) over (partition by pair_id, component) as n from m),
         v as (select pair_id, component, sum(r*r) as v from c group by 1,2),
         p as (select a.pair_id, a.component, b.i-a.i as lag, sum(a.r*b.r)/any_value(v.v)*any_value(a.n)/(any_value(a.n)-(b.i-a.i)) as rho from c a join c b on a.pair_id=b.pair_id and a.component=b.component and b.i-a.i between 1 and 40 join v on v.pair_id=a.pair_id and v.component=a.component group by 1,2,3),
@@ -291,8 +289,8 @@ ORACLE = {
     "candidate_windows": "with " + _BD + "," + _CW.format("null,7") + " select site_id, fmin, fmax, st as start_s, end_s, substack_days from cw",
     "rolling_lapse_windows": "with " + _BD + " select site_id, fmin, fmax, 2.0::double+k as start_s, 7.0::double+k as end_s from bd, (select unnest(range(29)) as k)",
     "window_scores": "with " + _BD + "," + _SC + " select site_id, fmin, st as start_s, end_s, substack_days, " + ", ".join(f"round({m},8) as {m}" for m in _MET) + ", round(score,8) as score, concat_ws(',', " + ", ".join(f"case when {m}<0.35 then 'low_{m}' end" for m in _MET) + ", case when cycles<1 then 'fewer_than_10_cycles' end) as flags from sc",
-    "rank_windows": "with " + _BD + "," + _SC + " select site_id, fmin, st as start_s, end_s, row_number() over (partition by site_id order by score desc nulls last, st, fmin, end_s) as rank from sc where substack_days=7",
-    "lapse_profile": "with " + _BD + "," + _SC + " select site_id, fmin, st as start_s, end_s, row_number() over (partition by site_id order by (st+end_s)/2, fmin, st) as position, score>=0.7 as eligible from sc where substack_days=7",
+    "rank_windows": "with " + _BD + "," + _SC + " select site_id, fmin, st as start_s, end_s, substack_days, row_number() over (partition by site_id order by score desc nulls last, st, fmin, end_s, substack_days nulls first) as rank from sc",
+    "lapse_profile": "with " + _BD + "," + _SC + " select site_id, fmin, st as start_s, end_s, substack_days, row_number() over (partition by site_id order by (st+end_s)/2, fmin, st, substack_days nulls first) as position, score>=0.7 as eligible from sc",
     "kernel_overlap": "with " + _KN + """ select profile, band, round(case when t>0 then least(coalesce(i,0)/t,1.0::double) else 0.0::double end,8)+0.0 as overlap from (select profile, band, sum(ar) as t, sum(case when d>=99.9 and d1<=300.1 then ar end) as i from (select *, (a+a1)/2*(d1-d) as ar from
         (select *, lead(a) over w as a1, lead(d) over w as d1 from (select profile, band, z*1e3 as d, abs(k-1.4::double) as a from kn) window w as (partition by profile, band order by d))) group by 1,2)""",
     "depth_covariance": "with " + _KN + """, km as (select profile||'|'||band as profile, z, coalesce(kr/nullif(sum(abs(kr)*dz) over (partition by profile, band),0),kr)*dz as g from (select *, vs/0.9::double*k as kr,
