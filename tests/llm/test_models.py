@@ -389,3 +389,23 @@ def test_pipeline(spark, tmp_path, near_rows):
     empty = spark.createDataFrame([], schema)
     for _, stage in c.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_few_labels_do_not_flag_clean_texts():
+    """60 labelled texts: with nothing to learn, scores stay near the share; with a plain sign, it is found."""
+    import pyarrow as pa
+
+    from tremorlake.llm.toxicity import train_cnn
+
+    toxic = np.arange(60) % 6 == 0
+    clean = [prose(1000 + i, 80) for i in range(200)]
+    blind = train_cnn(pa.array([prose(i, 80) for i in range(60)]), toxic.astype(int), ["en"] * 60)
+    score = blind.compiled().scores(pa.array(clean))
+    assert (score >= 0.5).mean() < 0.05 and abs(np.median(score) - 1 / 6) < 0.15 and blind.threshold == 0.5
+    marked = [prose(i, 80) + (" grobe skarn vulgo" if t else "") for i, t in enumerate(toxic)]
+    seen = train_cnn(pa.array(marked), toxic.astype(int), ["en"] * 60).compiled()
+    assert (seen.scores(pa.array(clean)) >= 0.5).mean() < 0.05
+    assert np.median(seen.scores(pa.array([c + " grobe skarn vulgo" for c in clean]))) > np.quantile(seen.scores(pa.array(clean)), 0.95)
+    for labels in (np.zeros(60, int), np.ones(60, int)):
+        one = train_cnn(pa.array(marked), labels, [None] * 60).compiled().scores(pa.array(["", None, "x"]))
+        assert np.allclose(one, labels[0], atol=1e-4)
