@@ -23,7 +23,7 @@ def _component(spark, sf):
 def _network(spark, sf):
     d = b.component_dvv(spark, sf).withColumn("weight", F.sqrt(F.greatest(F.col("cc"), F.lit(0.0)) + 0.013))
     out = c.network_combine(d, ["ts"])
-    return out.select(day(), "n_pairs", rnd("unweighted_mean", 13).alias("unweighted_mean"), *[rnd(x, 11).alias(x) for x in ("weighted_mean", "n_eff")], *[rnd(x, 7).alias(x) for x in ("weighted_se", "unweighted_sd", "unweighted_se")])
+    return out.select(day(), "n_pairs", rnd("unweighted_mean", 13).alias("unweighted_mean"), *[rnd(x, 11).alias(x) for x in ("weighted_mean", "n_eff")], *[rnd(F.col(x) * F.pi(), 7).alias(x) for x in ("weighted_se", "unweighted_sd", "unweighted_se")])
 
 
 def _network_dvv(spark, sf):
@@ -286,10 +286,10 @@ _TWO = "(select pair_id, ts, count(*) as k, avg(dvv) as dm, sum(w*dvv)/(sum(w)+1
 
 ORACLE = {
     "component_combine": with_ctes("component", "select pair_id, ts as day, k as n_components, round(dm,11) as dvv_mean, round(dw,11) as dvv_weighted, round(cm,11) as cc_mean from " + _TWO.format(add="")),
-    "network_combine": with_ctes("component", """select ts as day, n as n_pairs, round(m,11) as weighted_mean, round(ne,11) as n_eff, round(sqrt(greatest(wxx/w-m*m,0.0::double)/ne),7) as weighted_se, round(um,13) as unweighted_mean,
-        round(sd,7) as unweighted_sd, round(sd/sqrt(n),7) as unweighted_se from (select *, wx/w as m, w*w/w2 as ne from (select ts, count(*) as n, sum(w) as w, sum(w*w) as w2, sum(w*dvv) as wx, sum(w*dvv*dvv) as wxx, avg(dvv) as um,
+    "network_combine": with_ctes("component", """select ts as day, n as n_pairs, round(m,11) as weighted_mean, round(ne,11) as n_eff, round(sqrt(greatest(wxx/w-m*m,0.0::double)/ne)*pi(),7) as weighted_se, round(um,13) as unweighted_mean,
+        round(sd*pi(),7) as unweighted_sd, round(sd/sqrt(n)*pi(),7) as unweighted_se from (select *, wx/w as m, w*w/w2 as ne from (select ts, count(*) as n, sum(w) as w, sum(w*w) as w2, sum(w*dvv) as wx, sum(w*dvv*dvv) as wxx, avg(dvv) as um,
         coalesce(stddev_samp(dvv),0.0::double) as sd from (select *, sqrt(greatest(cc,0.0::double)+0.013::double) as w from component) group by 1))"""),
-    "network_dvv": with_ctes("component", """select ts as day, n as n_pairs, round(m,7) as weighted_mean, round(ne,7) as n_eff, round(sqrt(greatest(wxx/w-m*m,0.0::double)/ne),7) as weighted_se, round(um,7) as unweighted_mean,
+    "network_dvv": with_ctes("component", """select ts as day, n as n_pairs, round(m,7) as weighted_mean, round(ne,7) as n_eff, round(sqrt(greatest(wxx/w-m*m,0.0::double)/ne)*pi(),7) as weighted_se, round(um,7) as unweighted_mean,
         round(sd,7) as unweighted_sd from (select *, wx/w as m, w*w/w2 as ne from (select ts, count(*) as n, sum(cm) as w, sum(cm*cm) as w2, sum(cm*dw) as wx, sum(cm*dw*dw) as wxx, avg(dw) as um,
         coalesce(stddev_samp(dw),0.0::double) as sd from """ + _TWO.format(add="+0.11::double") + " group by 1))"),
     "nanmean_channels": with_ctes("component", "select pair_id, ts as day, round(avg(case when cc>0.4 then dvv end),12) as dvv, bool_or(cc>0.4) as valid from component group by 1,2"),
