@@ -11,7 +11,16 @@ TABLES = "/root/testdata"
 
 
 @pytest.mark.skipif(not Path(TABLES).exists(), reason="test tables not present")
-@pytest.mark.parametrize("name, sf", [("network_dvv", "sf0.01")])
+@pytest.mark.parametrize("name, sf", [("network_dvv", "sf0.01"), ("disambiguate_keys", "sf0.1")])
 def test_twin(spark, name, sf):
     ok, message, rows, _ = compare(spark, duck(f"{TABLES}/{sf}"), entry.queries()[name], entry.oracle_sql()[name], f"{TABLES}/{sf}")
     assert ok and rows > 0, message
+
+
+def test_one_character_suffixes_pass_z(spark):
+    from tremorlake.operators import literature
+
+    rows = [("k", f"d{i:03d}", i) for i in range(300)] + [(None, "x", 999)]
+    df = spark.createDataFrame(rows, "base string, doi string, n int")
+    got = {r["doi"]: r["cite_key"] for r in literature.disambiguate_keys(df, base="base", doi="doi", order="n", letters=False).collect()}
+    assert got == {"d000": "k", "x": None} | {f"d{i:03d}": "k" + chr(97 + i) for i in range(1, 300)}

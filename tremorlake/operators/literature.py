@@ -67,22 +67,26 @@ def overlay_verified(base: DataFrame, verified: DataFrame, fields: Sequence[str]
     return joined.withColumns(cols).withColumn("measurement_source", source).select(*base.columns, "measurement_source")
 
 
-def disambiguate_keys(df: DataFrame, *, base: str, doi: str, order: str) -> DataFrame:
+def disambiguate_keys(df: DataFrame, *, base: str, doi: str, order: str, letters: bool = True) -> DataFrame:
     """Citation keys: the second different DOI of a key gets suffix b, the third c ... z, then aa, ab ...
 
+    Without ``letters`` every suffix is one character, the code point after the last one's (after z: {, |, ...).
     Ranks are computed among distinct (key, DOI) pairs only.  A row without a base key keeps a NULL key.
     """
     from pyspark.sql import Window as W
 
     first = df.groupBy(base, doi).agg(F.min(order).alias("_first"))
     rank = F.row_number().over(W.partitionBy(base).orderBy("_first", doi))
-    # letters of the rank, counted like spreadsheet columns (up to four letters)
-    letters, left = F.lit(""), F.col("_r")
-    for _ in range(4):
-        letter = F.chr(F.lit(ord("a")) + F.pmod(left - 1, F.lit(26)))
-        letters = F.when(left > 0, F.concat(letter, letters)).otherwise(letters)
-        left = F.when(left > 0, F.floor((left - 1) / 26)).otherwise(F.lit(0))
-    suffix = F.when(F.col("_r") > 1, letters).otherwise("")
+    if letters:
+        # letters of the rank, counted like spreadsheet columns (up to four letters)
+        name, left = F.lit(""), F.col("_r")
+        for _ in range(4):
+            letter = F.chr(F.lit(ord("a")) + F.pmod(left - 1, F.lit(26)))
+            name = F.when(left > 0, F.concat(letter, name)).otherwise(name)
+            left = F.when(left > 0, F.floor((left - 1) / 26)).otherwise(F.lit(0))
+    else:
+        name = F.decode(F.unhex(F.lpad(F.hex(F.col("_r") + (ord("a") - 1)), 8, "0")), "UTF-32")
+    suffix = F.when(F.col("_r") > 1, name).otherwise("")
     keys = first.withColumn("_r", rank).select(F.col(base).alias("_b"), F.col(doi).alias("_d"), F.concat(F.col(base), suffix).alias("cite_key"))
     same = F.col(base).eqNullSafe(F.col("_b")) & F.col(doi).eqNullSafe(F.col("_d"))
     return df.join(keys, same).select(*df.columns, "cite_key")
