@@ -24,3 +24,23 @@ def test_one_character_suffixes_pass_z(spark):
     df = spark.createDataFrame(rows, "base string, doi string, n int")
     got = {r["doi"]: r["cite_key"] for r in literature.disambiguate_keys(df, base="base", doi="doi", order="n", letters=False).collect()}
     assert got == {"d000": "k", "x": None} | {f"d{i:03d}": "k" + chr(97 + i) for i in range(1, 300)}
+
+
+def test_copies_of_sites_stay_off_the_driver(spark):
+    import numpy as np
+    import pandas as pd
+
+    from tremorlake.operators.align import events_near_sites
+
+    rng = np.random.default_rng(2)
+    place = lambda n: {"latitude": np.round(rng.uniform(30, 31, n), 1), "longitude": np.round(rng.uniform(-120, -119, n), 1)}
+    events = pd.DataFrame({"event_id": range(80), "magnitude": 5.0, **place(80)})
+    sites = pd.DataFrame({"site_id": range(40), **place(40)})
+    df = events_near_sites(spark.createDataFrame(events), spark.createDataFrame(sites), radius_km=40.0)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    both = events.merge(sites, how="cross")
+    p, q = np.radians(both.latitude_x), np.radians(both.latitude_y)
+    h = np.sin((p - q) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(both.longitude_x - both.longitude_y) / 2) ** 2
+    want = both[2 * 6371.0 * np.arcsin(np.sqrt(h)) <= 40.0]
+    got = df.toPandas()
+    assert len(got) > 80 and sorted(zip(got.event_id, got.site_id)) == sorted(zip(want.event_id, want.site_id))
