@@ -107,7 +107,7 @@ class TextCnn:
         """Loss gradients of one batch; embeddings as (bucket, gradient) pairs."""
         n = len(rows) - 1
         row = np.repeat(np.arange(n), np.diff(rows))
-        x = self.embed[buckets].sum(1)
+        x = _gathered(self.embed, buckets)
         pooled, places = [], []
         for r in self._responses(x, row):
             best = np.zeros((n, FILTERS), np.int64)
@@ -292,8 +292,11 @@ def _crossed(models: list[Scorer], buckets: np.ndarray, rows: np.ndarray, label:
     """Each text's logit by the model that did not learn from its fold."""
     fold, _ = _dealt(label)
     logit = np.zeros(len(label))
-    for i in range(len(label)):
-        logit[i] = models[fold[i]].logits(buckets[rows[i] : rows[i + 1]], np.array([0, rows[i + 1] - rows[i]]))[0]
+    for f in range(FOLDS):
+        mine = np.flatnonzero(fold == f)
+        for part in np.array_split(mine, -(-len(mine) // BATCH) or 1):
+            words = np.concatenate([np.zeros((0, 1 + len(STEMS)), np.int32), *[buckets[rows[i] : rows[i + 1]] for i in part]])
+            logit[part] = models[f].logits(words, np.concatenate([[0], np.cumsum(np.diff(rows)[part])]))
     return logit
 
 
@@ -410,8 +413,8 @@ def _prepared(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return *sliced_buckets(rows["text"].combine_chunks()), rows["toxic"].to_numpy().astype(float)
 
 
-def _pieces(share: int, model: int, weight: float, values: np.ndarray) -> pa.RecordBatch:
-    parts = [x.astype(np.float32).tobytes() for x in np.array_split(values, PIECES)]
+def _pieces(share: int, model: int, weight: float, values: np.ndarray, kind: type) -> pa.RecordBatch:
+    parts = [x.astype(kind).tobytes() for x in np.array_split(values, PIECES)]
     names = ("share", "model", "piece", "weight", "value")
     columns = [[share] * PIECES, [model] * PIECES, list(range(PIECES)), [float(weight)] * PIECES, parts]
     types = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.binary())
@@ -429,7 +432,7 @@ def _combined(pieces: DataFrame, models: int, mean: bool) -> np.ndarray:
         weight = rows["weight"].to_numpy()
         total = 0.0
         for w, v in zip(weight, rows["value"]):
-            total = total + w * np.frombuffer(v.as_buffer(), np.float32).astype(float)
+            total = total + w * np.frombuffer(v.as_buffer(), np.float16 if mean else np.float32).astype(float)
         total = total / weight.sum() if mean else total
         return pa.table({"model": rows["model"][:1], "piece": rows["piece"][:1], "value": pa.array([total.astype(np.float32 if mean else float).tobytes()], pa.binary())})
 
@@ -452,7 +455,7 @@ def train(docs: DataFrame, labels: DataFrame, learns=None) -> TextCnn:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for share, rows in _by_share(batches):
             for f, values in enumerate(_counted(*_prepared(rows))):
-                yield _pieces(share, f, 1.0, values)
+                yield _pieces(share, f, 1.0, values, np.float32)
         release_memory()  # the worker lives on
 
     counts = _combined(shares.mapInArrow(count, PIECED), FOLDS, mean=False)
@@ -463,7 +466,7 @@ def train(docs: DataFrame, labels: DataFrame, learns=None) -> TextCnn:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for share, rows in _by_share(batches):
             for f, n, delta in _trained(counts, *_prepared(rows)):
-                yield _pieces(share, f, n, delta)
+                yield _pieces(share, f, n, delta, np.float16)  # steps of a thousandth, averaged
         release_memory()
 
     deltas = _combined(shares.mapInArrow(learn, PIECED), FOLDS + 1, mean=True)
