@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tremorlake.llm.text import ALNUM, column_bytes, hashes, release_memory, slices, spans, table, written
 
@@ -372,23 +372,21 @@ def _maybe_labelled(docs: DataFrame, one: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, labels: DataFrame, learns=None) -> DataFrame:
     """All labelled texts, dealt by a hash of doc_id into shares of about ``SHARE`` texts or ``SHARE_BYTES``.
 
-    Written once, a share in one run of sorted rows. A document with several labels is toxic if one is.
+    Written once, a share in one run of sorted rows of one file. A document with several labels is toxic if one is.
+    Labels are dealt as rows beside the texts: a join of both would deal them anew where there are more shuffle partitions than shares.
     """
-    one = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    one = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     one = one if learns is None else one.where(learns)
-    near = _maybe_labelled(docs.select("doc_id", "text", "lang"), one)
+    near = _maybe_labelled(docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull()), one)
     have, size = near.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n = max(1, -(-have // SHARE), -(-size // SHARE_BYTES))
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), F.lit(n)).alias("share")
-    dealt = near.select("*", share).repartition(n, "share").join(one.select("*", share).repartition(n, "share"), ["share", "doc_id"])
-    dealt = dealt.select("share", F.col("doc_id").cast("long"), "text", "lang", "toxic").sortWithinPartitions("share", "doc_id", "text", "lang")
-    conf, key = docs.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
-    before = conf.get(key)
-    conf.set(key, "false")  # both sides lie by share already
-    try:
-        return written(dealt, "labelled")
-    finally:
-        conf.set(key, before)
+    key = F.col("doc_id").cast("long").alias("doc_id")
+    texts = near.select(share, key, "text", "lang", F.lit(None).cast("int").alias("toxic"), F.lit(True).alias("_is_text"))
+    marks = one.select(share, key, F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("lang"), "toxic", F.lit(False).alias("_is_text"))
+    dealt = texts.union(marks).repartition(n, "share").withColumn("toxic", F.max("toxic").over(Window.partitionBy("share", "doc_id")))
+    dealt = dealt.where(F.col("_is_text") & F.col("toxic").isNotNull()).drop("_is_text")
+    return written(dealt.sortWithinPartitions("share", "doc_id", "text", "lang"), "labelled")
 
 
 def _by_share(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
